@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import graph_queries, memory_queries, session_queries
+
+QUERIES = memory_queries.QUERIES | session_queries.QUERIES | graph_queries.QUERIES
+ORACLE_SQL = memory_queries.ORACLE_SQL | session_queries.ORACLE_SQL | graph_queries.ORACLE_SQL
