@@ -54,8 +54,12 @@ def framed(c):
 
 def timestamp_ms(c):
     """Epoch milliseconds of a timestamp in the ledger's grammar, null if it isn't one."""
-    ok = c.rlike(TIMESTAMP)
-    return F.when(ok, F.unix_millis(F.try_to_timestamp(F.upper(c))))
+    # the parser's offsets end at 18 hours, the grammar's at 23:59: offsets are taken off here
+    local = F.unix_millis(F.try_to_timestamp(F.concat(F.upper(F.substring(c, 1, 23)), F.lit("Z"))))
+    minutes = F.substring(c, 25, 2).cast("int") * 60 + F.substring(c, 28, 2).cast("int")
+    sign = F.when(F.substring(c, 24, 1) == "-", -1).otherwise(1)
+    shift = F.when(F.length(c) == 29, sign * minutes).otherwise(0).cast("long") * 60_000
+    return F.when(c.rlike(TIMESTAMP), local - shift)
 
 
 def first_failure(*checks):
