@@ -38,6 +38,7 @@ from .common import materialise, table
 GRAM_WORDS = 15
 WINDOW_WORDS = 15
 MIN_WORDS = 30
+UNROLLED = 4
 
 #: A piece ends after a line feed, or after a full stop, mark or ellipsis before white space.
 BORDER = r"(?<=\n)|(?<=[.!?])(?=[\x20\x09\x0B-\x0D])"
@@ -62,24 +63,44 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 def fingerprints(lines: DataFrame, gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS) -> DataFrame:
     """fp, doc_id, mark, pos: the window minima of every document's grams."""
-    most = max(gram_words, window_words)  # every line has a word, so no run needs more lines
+    # a run or window that has not ended after UNROLLED lines goes on in a general loop
+    at = lambda c, i: F.get(F.col(c), i)
     empty = F.struct(F.lit(0).alias("words"), F.lit(0).cast("long").alias("hash"), F.lit(False).alias("full"))
 
-    def gram(i):
+    def long_gram(i):
         def grow(acc, j):
-            h, n = F.get(F.col("h"), j), F.get(F.col("n"), j)
-            return F.when(acc["full"], acc).otherwise(F.struct((acc["words"] + n).alias("words"), F.xxhash64(acc["hash"], h).alias("hash"), (acc["words"] + n >= gram_words).alias("full")))
+            return F.when(acc["full"], acc).otherwise(F.struct((acc["words"] + at("n", j)).alias("words"), F.xxhash64(acc["hash"], at("h", j)).alias("hash"), (acc["words"] + at("n", j) >= gram_words).alias("full")))
 
-        run = F.aggregate(F.sequence(i, F.least(F.size("h") - 1, i + most)), empty, grow)
+        run = F.aggregate(F.sequence(i, F.least(F.size("h") - 1, i + gram_words)), empty, grow)
         return F.when(run["full"], run["hash"])
 
+    def gram(i):
+        out = words = None
+        for k in range(UNROLLED):
+            words = at("n", i + k) if words is None else words + at("n", i + k)
+            piece = F.xxhash64(F.lit(k), *[at("h", i + j) for j in range(k + 1)])
+            out = F.when(words >= gram_words, piece) if out is None else out.when(words >= gram_words, piece)
+        return out.when(words.isNull(), F.lit(None).cast("long")).otherwise(long_gram(i))
+
     index = F.sequence(F.lit(0), F.size("h") - 1)
-    df = lines.withColumn("g", F.transform(index, gram)).withColumn("cum", F.aggregate(F.col("n"), F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.element_at(F.when(F.size(a) > 0, a), -1), F.lit(0)) + x))))
+    df = lines.withColumn("g", F.transform(index, gram))
+
+    def offer(j):
+        return F.when(at("g", j).isNotNull(), F.struct(at("g", j).alias("fp"), (-j).alias("minus")))
+
+    def long_least(i):
+        start = F.struct(F.lit(0).alias("words"), F.lit(None).cast("struct<fp:bigint,minus:int>").alias("best"))
+        step = lambda acc, j: F.struct((acc["words"] + at("n", j)).alias("words"), F.when(acc["words"] < window_words, F.least(acc["best"], offer(j))).otherwise(acc["best"]).alias("best"))
+        return F.aggregate(F.sequence(i, F.least(F.size("h") - 1, i + window_words)), start, step)["best"]
 
     def least(i):
-        start = F.when(i > 0, F.get(F.col("cum"), i - 1)).otherwise(0)
-        near = F.filter(F.sequence(i, F.least(F.size("h") - 1, i + window_words)), lambda j: (j == i) | (F.get(F.col("cum"), j - 1) - start < window_words))
-        return F.array_min(F.transform(near, lambda j: F.when(F.get(F.col("g"), j).isNotNull(), F.struct(F.get(F.col("g"), j).alias("fp"), (-j).alias("minus")))))
+        out = words = None
+        for k in range(UNROLLED):
+            words = at("n", i + k) if words is None else words + at("n", i + k)
+            best = F.least(*[offer(i + j) for j in range(k + 1)]) if k else offer(i)
+            ends = (words >= window_words) | (i + k + 1 >= F.size("h"))
+            out = F.when(ends, best) if out is None else out.when(ends, best)
+        return out.otherwise(long_least(i))
 
     picked = F.array_distinct(F.filter(F.transform(index, least), lambda x: x.isNotNull()))
     return df.select("doc_id", "mark", F.explode(picked).alias("x")).select("x.fp", "doc_id", "mark", (-F.col("x.minus")).alias("pos"))
@@ -87,31 +108,44 @@ def fingerprints(lines: DataFrame, gram_words: int = GRAM_WORDS, window_words: i
 
 def repeated_runs(docs: DataFrame, gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, mark, runs: array of [from, to) piece numbers that repeat an earlier place."""
-    lines = materialise(line_table(docs).dropDuplicates(["doc_id", "mark"]), "lines")
+    lines = materialise(line_table(docs), "lines")
+    if not lines.groupBy("doc_id", "mark").count().filter("count > 1").isEmpty():
+        lines = materialise(lines.dropDuplicates(["doc_id", "mark"]), "lines")
     prints = materialise(fingerprints(lines, gram_words, window_words), "prints")
     place = F.struct("doc_id", "mark", "pos")
     first = prints.groupBy("fp").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("fp").alias("f_fp"), "first")
     later = prints.join(first, F.col("fp") == F.col("f_fp")).filter(place > F.col("first"))
-    diagonals = later.select("doc_id", "mark", F.col("first.doc_id").alias("s_doc"), F.col("first.mark").alias("s_mark"), (F.col("pos") - F.col("first.pos")).alias("gap")).distinct()
+    diagonals = later.groupBy("doc_id", "mark", F.col("first.doc_id").alias("s_doc"), F.col("first.mark").alias("s_mark")).agg(F.collect_set(F.col("pos") - F.col("first.pos")).alias("gaps"))
     source = lines.select(F.col("doc_id").alias("l_doc"), F.col("mark").alias("l_mark"), F.col("h").alias("s_h"))
     pairs = diagonals.join(source, F.col("s_doc").eqNullSafe(F.col("l_doc")) & (F.col("s_mark") == F.col("l_mark"))).drop("l_doc", "l_mark", "s_doc", "s_mark")
     own = lines.select(F.col("doc_id").alias("o_doc"), F.col("mark").alias("o_mark"), "at", "h", "n")
     pairs = pairs.join(own, F.col("doc_id").eqNullSafe(F.col("o_doc")) & (F.col("mark") == F.col("o_mark"))).drop("o_doc", "o_mark")
-    # extension both ways: the maximal equal runs along the diagonal, gathered in one pass
-    state = F.struct(F.array().cast("array<struct<a:int,b:int>>").alias("runs"), F.lit(-1).alias("open"), F.lit(0).alias("words"))
+    empty = F.array().cast("array<struct<a:int,b:int>>")
+    state = F.struct(empty.alias("runs"), F.lit(-1).alias("open"), F.lit(0).alias("words"))
+
+    def shared_words(gap):
+        shift = F.greatest(gap, F.lit(0))
+        over = F.least(F.size("h") - shift, F.size("s_h") + gap - shift)
+        equal = F.zip_with(F.slice("h", shift + 1, over), F.slice("s_h", shift - gap + 1, over), lambda x, y: x == y)
+        return F.aggregate(F.zip_with(equal, F.slice("n", shift + 1, over), lambda e, n: F.when(e, n).otherwise(0)), F.lit(0), lambda acc, x: acc + x)
 
     def closed(acc, i):
         run = F.struct(F.get(F.col("at"), acc["open"]).alias("a"), (F.get(F.col("at"), i - 1) + 1).alias("b"))
         return F.when((acc["open"] >= 0) & (acc["words"] >= min_words), F.concat(acc["runs"], F.array(run))).otherwise(acc["runs"])
 
-    def step(acc, i):
-        j = i - F.col("gap")
-        same = (j >= 0) & (j < F.size("s_h")) & (F.get(F.col("s_h"), j) == F.get(F.col("h"), i))
-        return F.when(F.coalesce(same, F.lit(False)), F.struct(acc["runs"].alias("runs"), F.when(acc["open"] < 0, i).otherwise(acc["open"]).alias("open"), (acc["words"] + F.get(F.col("n"), i)).alias("words"))).otherwise(
-            F.struct(closed(acc, i).alias("runs"), F.lit(-1).alias("open"), F.lit(0).alias("words")))
-
-    # one index past the end closes the last run: h there is null, so it never matches
-    runs = F.aggregate(F.sequence(F.lit(0), F.size("h")), state, step, lambda acc: acc["runs"])
+    # extension both ways: the maximal equal runs along the diagonal, gathered in one pass
+    def equal_runs(gap):
+        def step(acc, i):
+            j = i - gap
+            same = (j >= 0) & (j < F.size("s_h")) & (F.get(F.col("s_h"), j) == F.get(F.col("h"), i))
+            return F.when(F.coalesce(same, F.lit(False)), F.struct(acc["runs"].alias("runs"), F.when(acc["open"] < 0, i).otherwise(acc["open"]).alias("open"), (acc["words"] + F.get(F.col("n"), i)).alias("words"))).otherwise(
+                F.struct(closed(acc, i).alias("runs"), F.lit(-1).alias("open"), F.lit(0).alias("words")))
+
+        # one index past the end closes the last run: h there is null, so it never matches
+        return F.aggregate(F.sequence(F.lit(0), F.size("h")), state, step, lambda acc: acc["runs"])
+
+    # most diagonals share no more than one gram: those without words enough give nothing
+    runs = F.flatten(F.transform("gaps", lambda g: F.when(shared_words(g) >= min_words, equal_runs(g)).otherwise(empty)))
     found = pairs.select("doc_id", "mark", F.explode(runs).alias("run"))
     return found.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("run")).alias("runs"))
 
@@ -119,20 +153,20 @@ def repeated_runs(docs: DataFrame, gram_words: int = GRAM_WORDS, window_words: i
 def dedup_lines(docs: DataFrame, gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with later repeated runs cut from ``text``, and n_cut (pieces cut)."""
     names = [c for c in docs.columns if c not in ("text", "n_cut")]
-    runs = repeated_runs(docs.select("doc_id", "text"), gram_words, window_words, min_words).select(F.col("doc_id").alias("r_doc"), F.col("mark").alias("r_mark"), "runs")
-    out = docs.join(runs, F.col("doc_id").eqNullSafe(F.col("r_doc")) & (F.xxhash64("text") == F.col("r_mark")), "left")
+    runs = repeated_runs(docs.select("doc_id", "text"), gram_words, window_words, min_words).select(F.col("doc_id").alias("__r_doc"), F.col("mark").alias("__r_mark"), F.col("runs").alias("__runs"))
+    out = docs.join(runs, F.col("doc_id").eqNullSafe(F.col("__r_doc")) & (F.xxhash64("text") == F.col("__r_mark")), "left")
     p = pieces(F.col("text"))
     # kept stretches between the sorted runs
     gaps = F.aggregate(
-        F.concat(F.col("runs"), F.array(F.struct(F.size(p).alias("a"), F.size(p).alias("b")))),
+        F.concat(F.col("__runs"), F.array(F.struct(F.size(p).alias("a"), F.size(p).alias("b")))),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("keep")),
         lambda acc, r: F.struct(F.greatest(acc["at"], r["b"]).alias("at"), F.when(r["a"] > acc["at"], F.concat(acc["keep"], F.array(F.struct(acc["at"].alias("a"), r["a"].alias("b"))))).otherwise(acc["keep"]).alias("keep")),
         lambda acc: acc["keep"],
     )
     kept = F.array_join(F.transform(gaps, lambda g: F.array_join(F.slice(p, g["a"] + 1, g["b"] - g["a"]), "")), "")
     cut = F.size(p) - F.aggregate(gaps, F.lit(0), lambda acc, g: acc + g["b"] - g["a"])
-    text = F.when(F.col("runs").isNull(), F.col("text")).otherwise(kept)
-    return out.select(*[F.col(c) for c in names], text.alias("text"), F.when(F.col("runs").isNull(), 0).otherwise(cut).cast("long").alias("n_cut"))
+    text = F.when(F.col("__runs").isNull(), F.col("text")).otherwise(kept)
+    return out.select(*[F.col(c) for c in names], text.alias("text"), F.when(F.col("__runs").isNull(), 0).otherwise(cut).cast("long").alias("n_cut"))
 
 
 def op6_linededup(spark, sf_dir):
