@@ -123,13 +123,13 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     taken = mix(docs, **options)
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(0)).cast("int")
     # rows that agree in doc_id, source and size are interchangeable: number them on both sides
-    per = taken.groupBy("doc_id", "source", "size").agg(F.sum(times).alias("m_times"), F.count(F.lit(1)).alias("m_rows"))
-    per = per.filter(F.col("m_times") > 0).select(F.col("doc_id").alias("m_doc"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), "m_times", "m_rows")
+    per = taken.groupBy("doc_id", "source", "size").agg(F.sum(times).alias("__m_times"), F.count(F.lit(1)).alias("__m_rows"))
+    per = per.filter(F.col("__m_times") > 0).select(F.col("doc_id").alias("__m_doc"), F.col("source").alias("__m_source"), F.col("size").alias("__m_size"), "__m_times", "__m_rows")
     names = docs.columns
     left = docs.withColumn("__size", word_count(F.col("text")))
-    joined = left.join(per, F.col("doc_id").eqNullSafe(F.col("m_doc")) & F.col("source").eqNullSafe(F.col("m_source")) & (F.col("__size") == F.col("m_size")))
+    joined = left.join(per, F.col("doc_id").eqNullSafe(F.col("__m_doc")) & F.col("source").eqNullSafe(F.col("__m_source")) & (F.col("__size") == F.col("__m_size")))
     # with repeated rows the copies are shared out evenly, rounded up
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("m_times") / F.col("m_rows")).cast("int")))).select(*names)
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("__m_times") / F.col("__m_rows")).cast("int")))).select(*names)
 
 
 def op10_mixing(spark, sf_dir):

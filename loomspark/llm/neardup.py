@@ -197,7 +197,7 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.join(roots, "at").select("node", "root")
 
 
-def _block(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """Links between components among the members of one block of one band.
 
     Rows on the left side meet rows on the right side; a link is returned only if it joins

@@ -158,7 +158,7 @@ def count_with_edits(docs: DataFrame, edits: DataFrame | None = None, path: str
     if edits is None:
         df = df.withColumn("edits", F.array().cast("array<struct<seq:long,start:long,end:long,new:string>>"))
     else:
-        per = edits.groupBy(F.col("doc_id").cast("long").alias("e_doc")).agg(F.array_sort(F.collect_list(F.struct(F.col("seq").cast("long"), F.col("start").cast("long"), F.col("end").cast("long"), F.coalesce("new", F.lit("")).alias("new")))).alias("edits"))
+        per = edits.groupBy(F.col("doc_id").cast("long").alias("e_doc")).agg(F.array_sort(F.collect_list(F.struct(F.col("seq").cast("long").alias("seq"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.coalesce("new", F.lit("")).alias("new")))).alias("edits"))
         df = df.join(per, F.col("doc_id") == F.col("e_doc"), "left").select("doc_id", "text", "edits")
     return _apply(df, shared, with_text)
 

@@ -224,8 +224,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that :func:`score` predicts toxic."""
-    bad = score(docs, labels).filter("predicted = 1").select(F.col("doc_id").alias("bad_doc")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("bad_doc"), "left_anti")
+    bad = score(docs, labels).filter("predicted = 1").select(F.col("doc_id").alias("__bad_doc")).distinct()
+    return docs.join(bad, F.col("doc_id").cast("long") == F.col("__bad_doc"), "left_anti")
 
 
 def op1_toxicity(spark, sf_dir):
