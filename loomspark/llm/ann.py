@@ -81,7 +81,7 @@ class Index:
         """For every query the merged rows of all visited buckets."""
         sets = perturbations(self.k, probes)
         n = len(q)
-        found = [[] for _ in range(n)]
+        seen = np.zeros((n, len(self.tables[0][1])), bool)
         for t, (keys, order) in enumerate(self.tables):
             f = (q @ self.a[t] + self.b[t]) / self.w
             cell = np.floor(f)
@@ -93,15 +93,13 @@ class Index:
             own = (cell.astype(np.int64) * self.mul[t]).sum(1)
             probe = np.stack([own + move[:, list(s)].sum(1) if s else own for s in sets], axis=1)
             lo, hi = np.searchsorted(keys, probe, "left"), np.searchsorted(keys, probe, "right")
-            for i in range(n):
-                for a, b in zip(lo[i].tolist(), hi[i].tolist(), strict=True):
-                    if b > a:
-                        found[i].append(order[a:b])
-        for rows in found:
-            seen = np.zeros(len(self.tables[0][1]), bool)
-            for r in rows:
-                seen[r] = True
-            yield np.flatnonzero(seen)
+            # all rows of all visited buckets at once: bucket starts plus running offsets
+            who, _ = np.nonzero(hi > lo)
+            size, first = (hi - lo)[hi > lo], lo[hi > lo]
+            at = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+            seen[np.repeat(who, size), order[at]] = True
+        for row in seen:
+            yield np.flatnonzero(row)
 
 
 def _clean(vectors: DataFrame) -> DataFrame:
