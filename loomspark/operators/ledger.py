@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from ..functions.text import first_failure, timestamp_ms
 
 LIFECYCLE = ("session_start", "session_end")
-#: Event kinds that each adapter passes on.
-OPENCODE_V1 = ("session.created", "session.updated", "session.deleted", "session.error", "session.idle", "message.updated", "message.part.updated", "permission.updated")
+#: Event kinds that the two adapter versions pass on.
+ADAPTER_V1 = ("session.created", "session.deleted", "session.updated", "session.status", "session.idle", "message.updated", "message.part.updated", "session.error")
+ADAPTER_V2 = ("session.created", "session.deleted", "session.execution.started", "session.execution.succeeded", "session.execution.interrupted", "session.text.ended", "session.reasoning.ended", "session.execution.failed", "session.step.failed", "session.compaction.failed")
 OBSERVATION_FIELDS = {"event_type", "session_id", "project_name", "current_working_directory", "timestamp", "hook_type", "data"}
 LIFECYCLE_FIELDS = OBSERVATION_FIELDS - {"hook_type", "data"}
 
@@ -93,7 +94,7 @@ def session_metadata(events: DataFrame) -> DataFrame:
     return events.withColumn("cwd", cwd).withColumn("project", F.coalesce(basename(F.col("worktree")), basename(F.col("cwd"))))
 
 
-def derived(events: DataFrame, prefix: str = "opencode.v1.", kinds: tuple[str, ...] = OPENCODE_V1) -> DataFrame:
+def derived(events: DataFrame, prefix: str = "opencode.v1.", kinds: tuple[str, ...] = ADAPTER_V1) -> DataFrame:
     """session_id, seq, kind, delta -> ledger events: created starts before it is observed,
     deleted ends after it; streamed deltas and unknown kinds are not passed on."""
     ok = events.filter(F.col("kind").isin(*kinds) & ~((F.col("kind") == "message.part.updated") & F.col("delta").isNotNull()))
@@ -118,14 +119,14 @@ def row_changes(events: DataFrame, db: str, table: str, most_keys: int) -> DataF
     name = F.regexp_replace(F.lower("table"), r"^public\.", "")
     keys = F.col("returning")
     reason = first_failure(
-        (F.col("db") != db, "database"),
-        (name != table.lower(), "table"),
-        (F.lower("op") != "insert", "operation"),
+        (F.col("db") != db, "unrelated"),
+        (name != table.lower(), "unrelated"),
+        (F.col("op") != "insert", "unrelated"),
         (F.coalesce(F.col("truncated"), F.lit(False)), "truncated"),
-        (~F.col("at").between(0, 253402300799999), "timestamp"),
-        (keys.isNull() | (F.size(keys) == 0), "empty"),
-        (F.size(keys) > most_keys, "too_many"),
+        (~F.col("at").between(0, 253402300799999), "malformed"),
+        (keys.isNull() | (F.size(keys) == 0), "malformed"),
+        (F.size(keys) > most_keys, "oversized"),
         (F.size(F.array_distinct(keys)) != F.size(keys), "duplicate"),
-        (F.size(keys) != F.col("affected_rows"), "count"),
+        (F.size(keys) != F.col("affected_rows"), "malformed"),
     )
     return events.withColumn("reason", reason)

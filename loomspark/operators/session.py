@@ -40,10 +40,10 @@ def claim_batch(sessions: DataFrame, lifecycle: DataFrame, observations: DataFra
     return top.join(per, "session_id").withColumn("source_revision", revision(F.col("sources")))
 
 
-def revision(sources):
+def revision(sources, namespace: str = REVISION_NAMESPACE):
     """Version-5 identifier over the sorted (event_type, receipt_id) pairs, each framed."""
     frame = F.array_join(F.transform(sources, lambda s: F.concat(s["event_type"], F.lit("\0"), s["receipt_id"], F.lit("\n"))), "")
-    return uuid5(REVISION_NAMESPACE, frame)
+    return uuid5(namespace, frame)
 
 
 def transcript(lifecycle: DataFrame, observations: DataFrame) -> DataFrame:
@@ -89,7 +89,7 @@ def legal(changes: DataFrame) -> DataFrame:
     return changes.join(F.broadcast(t), ["from_state", "to_state"], "left").withColumn("legal", F.coalesce("legal", F.lit(False)))
 
 
-def candidates(generated: DataFrame) -> DataFrame:
+def candidates(generated: DataFrame, namespace: str = REVISION_NAMESPACE) -> DataFrame:
     """session_id, type, title, content, concepts, receipts -> one row per content fingerprint.
 
     Title and content are trimmed, concepts trimmed, lower-cased, sorted; receipts of equal
@@ -101,7 +101,7 @@ def candidates(generated: DataFrame) -> DataFrame:
     out = df.groupBy("session_id", "fingerprint").agg(F.min(F.struct("type", "title", "content", "concepts")).alias("c"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("receipts")))).alias("receipts"))
     ident = F.concat(framed(F.col("session_id")), framed(F.col("fingerprint")))
     pos = F.row_number().over(Window.partitionBy("session_id").orderBy("fingerprint")) - 1
-    return out.select("session_id", pos.alias("ordinal"), "fingerprint", uuid5(REVISION_NAMESPACE, ident).alias("memory_id"), "c.*", "receipts")
+    return out.select("session_id", pos.alias("ordinal"), "fingerprint", uuid5(namespace, ident).alias("memory_id"), "c.*", "receipts")
 
 
 def stage_candidates(existing: DataFrame, new: DataFrame) -> DataFrame:

@@ -217,11 +217,11 @@ def session_ordered_runtime(spark, d):
 
 @query(
     "row_change_reasons",
-    "SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'database' WHEN o_orderkey % 7 = 0 THEN 'operation' WHEN o_orderkey % 5 = 0 THEN 'truncated' WHEN o_orderkey % 3 = 0 THEN 'duplicate' WHEN o_orderkey % 13 = 0 THEN 'count' END AS reason FROM orders",
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'unrelated' WHEN o_orderkey % 7 = 0 THEN 'unrelated' WHEN o_orderkey % 5 = 0 THEN 'truncated' WHEN o_orderkey % 3 = 0 THEN 'duplicate' WHEN o_orderkey % 13 = 0 THEN 'malformed' END AS reason FROM orders",
 )
 def row_change_reasons(spark, d):
     o = X.read(spark, d, "orders")
     k = F.col("o_orderkey")
     key = lambda v: F.struct(k.cast("string").alias("id"), F.lit(v).alias("version"))
-    e = o.select(k, F.when(k % 11 == 0, "other").otherwise("main").alias("db"), F.lit("PUBLIC.Memories").alias("table"), F.when(k % 7 == 0, "delete").otherwise("INSERT").alias("op"), F.when(k % 13 == 0, 3).otherwise(2).cast("long").alias("affected_rows"), F.when(k % 3 == 0, F.array(key("1"), key("1"))).otherwise(F.array(key("1"), key("2"))).alias("returning"), F.lit(1700000000000).alias("at"), F.when(k % 5 == 0, True).alias("truncated"))
+    e = o.select(k, F.when(k % 11 == 0, "other").otherwise("main").alias("db"), F.lit("PUBLIC.Memories").alias("table"), F.when(k % 7 == 0, "INSERT").otherwise("insert").alias("op"), F.when(k % 13 == 0, 3).otherwise(2).cast("long").alias("affected_rows"), F.when(k % 3 == 0, F.array(key("1"), key("1"))).otherwise(F.array(key("1"), key("2"))).alias("returning"), F.lit(1700000000000).alias("at"), F.when(k % 5 == 0, True).alias("truncated"))
     return L.row_changes(e, "main", "memories", 16).select("o_orderkey", "reason")
