@@ -5,10 +5,12 @@ pieces of a text joined again are the text.  Blank pieces do not count.  A line'
 that of its trimmed lower-case form and its weight is its number of words.
 
 1. Gram i is the shortest run of lines from i on with ``gram_words`` words or more.
-   Winnowing: of all grams that start within the first ``window_words`` words from a line
-   on, the one with the least hash is a fingerprint of that place.  Any two equal runs of
+   Winnowing: of all grams that start within the first
+   ``window_words`` words from a line on (or its first ``MOST_LINES`` lines), the one whose
+   first line has the least hash is a fingerprint of that place.  Any two equal runs of
    whole lines with ``window_words + gram_words - 1`` words or more therefore share a
-   fingerprint, at the same place in both, however many lines they have.
+   fingerprint, at the same place in both, however many lines they have: a window inside
+   both has the same lines, and all its grams lie inside as well.
 2. Fingerprints are joined with their earliest place (doc_id, then line number), found by a
    partial aggregate: a passage in a third of all documents costs a row for each, not a
    pair for each two.
@@ -38,7 +40,8 @@ from .common import materialise, table
 GRAM_WORDS = 15
 WINDOW_WORDS = 15
 MIN_WORDS = 30
-UNROLLED = 4
+#: A window has so many lines at most; a shorter one keeps the guarantee.
+MOST_LINES = 4
 
 #: A piece ends after a line feed, or after a full stop, mark or ellipsis before white space.
 BORDER = r"(?<=\n)|(?<=[.!?])(?=[\x20\x09\x0B-\x0D])"
@@ -48,62 +51,60 @@ def pieces(text):
     return F.split(F.coalesce(text, F.lit("")), BORDER)
 
 
-def _trimmed(piece):
-    return F.expr("trim(BOTH ' \\t\\n\\r\\f\\u000b' FROM lower(piece))") if piece is None else F.trim(F.lower(piece), F.lit(" \t\n\r\f\x0b"))
-
-
 def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id, mark, at (piece numbers), h (hashes), n (weights) of the lines of each text."""
-    lines = F.transform(pieces(F.col("text")), lambda p, i: F.struct(i.alias("at"), _trimmed(p).alias("key")))
+    """doc_id, mark, at (piece numbers), h (hashes), n (weights) of the lines of each text.
+
+    A text without lines has empty arrays.
+    """
+    blank = F.lit(" \t\n\r\f\x0b")
+    lines = F.transform(pieces(F.lower("text")), lambda p, i: F.struct(i.alias("at"), F.trim(p, blank).alias("key")))
     lines = F.filter(lines, lambda x: x["key"] != "")
     lines = F.transform(lines, lambda x: F.struct(x["at"].alias("at"), F.xxhash64(x["key"]).alias("h"), (F.length(x["key"]) - F.length(F.replace(x["key"], F.lit(" "), F.lit(""))) + 1).alias("n")))
+    # no filter on the arrays: it would be pushed down, and the lines be made twice
     df = docs.filter("text is not null and text != ''").select("doc_id", F.xxhash64("text").alias("mark"), lines.alias("x"))
-    return df.filter(F.size("x") > 0).select("doc_id", "mark", F.col("x.at").alias("at"), F.col("x.h").alias("h"), F.col("x.n").alias("n"))
+    return df.select("doc_id", "mark", F.col("x.at").alias("at"), F.col("x.h").alias("h"), F.col("x.n").alias("n"))
+
+
+def _where(rows: DataFrame, condition, value, name: str) -> DataFrame:
+    """``rows`` that meet ``condition``, with ``value`` as ``name``: a filter that the optimizer
+    doesn't push below the projections, where their expressions would be written out again."""
+    return rows.select("*", F.explode(F.when(condition, F.array(value))).alias(name))
 
 
 def fingerprints(lines: DataFrame, gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS) -> DataFrame:
-    """fp, doc_id, mark, pos: the window minima of every document's grams."""
-    # a run or window that has not ended after UNROLLED lines goes on in a general loop
-    at = lambda c, i: F.get(F.col(c), i)
-    empty = F.struct(F.lit(0).alias("words"), F.lit(0).cast("long").alias("hash"), F.lit(False).alias("full"))
-
-    def long_gram(i):
-        def grow(acc, j):
-            return F.when(acc["full"], acc).otherwise(F.struct((acc["words"] + at("n", j)).alias("words"), F.xxhash64(acc["hash"], at("h", j)).alias("hash"), (acc["words"] + at("n", j) >= gram_words).alias("full")))
-
-        run = F.aggregate(F.sequence(i, F.least(F.size("h") - 1, i + gram_words)), empty, grow)
-        return F.when(run["full"], run["hash"])
-
-    def gram(i):
-        out = words = None
-        for k in range(UNROLLED):
-            words = at("n", i + k) if words is None else words + at("n", i + k)
-            piece = F.xxhash64(F.lit(k), *[at("h", i + j) for j in range(k + 1)])
-            out = F.when(words >= gram_words, piece) if out is None else out.when(words >= gram_words, piece)
-        return out.when(words.isNull(), F.lit(None).cast("long")).otherwise(long_gram(i))
-
-    index = F.sequence(F.lit(0), F.size("h") - 1)
-    df = lines.withColumn("g", F.transform(index, gram))
-
-    def offer(j):
-        return F.when(at("g", j).isNotNull(), F.struct(at("g", j).alias("fp"), (-j).alias("minus")))
-
-    def long_least(i):
-        start = F.struct(F.lit(0).alias("words"), F.lit(None).cast("struct<fp:bigint,minus:int>").alias("best"))
-        step = lambda acc, j: F.struct((acc["words"] + at("n", j)).alias("words"), F.when(acc["words"] < window_words, F.least(acc["best"], offer(j))).otherwise(acc["best"]).alias("best"))
-        return F.aggregate(F.sequence(i, F.least(F.size("h") - 1, i + window_words)), start, step)["best"]
-
-    def least(i):
-        out = words = None
-        for k in range(UNROLLED):
-            words = at("n", i + k) if words is None else words + at("n", i + k)
-            best = F.least(*[offer(i + j) for j in range(k + 1)]) if k else offer(i)
-            ends = (words >= window_words) | (i + k + 1 >= F.size("h"))
-            out = F.when(ends, best) if out is None else out.when(ends, best)
-        return out.otherwise(long_least(i))
-
-    picked = F.array_distinct(F.filter(F.transform(index, least), lambda x: x.isNotNull()))
-    return df.select("doc_id", "mark", F.explode(picked).alias("x")).select("x.fp", "doc_id", "mark", (-F.col("x.minus")).alias("pos"))
+    """fp, doc_id, mark, pos: the window minima of every document's grams.
+
+    One generated loop over the lines, each of which looks at its neighbours in the arrays.
+    """
+    own = ["doc_id", "mark", "h", "n"]
+    near = lambda c, k, base="i": F.get(F.col(c), F.col(base) + k)
+    rows = lines.select(*own, F.posexplode("h").alias("i", "h0"))
+    ahead = [near("h", k).alias(f"h{k}") for k in range(1, MOST_LINES)]
+    sizes = [F.coalesce(near("n", k), F.lit(0)).alias(f"n{k}") for k in range(MOST_LINES - 1)]
+    rows = rows.select(*own, "i", "h0", *ahead, *sizes, near("h", -1).alias("hb"), F.coalesce(near("n", -1), F.lit(0)).alias("nb"))
+
+    def least(first, sums):
+        return F.least(first[0], *[F.when(w < window_words, h) for h, w in zip(first[1:], sums, strict=True)])
+
+    h = [F.col(f"h{k}") for k in range(MOST_LINES)]
+    sums = [sum((F.col(f"n{j}") for j in range(1, k + 1)), F.col("n0")) for k in range(MOST_LINES - 1)]
+    before = [F.col("nb"), *[F.col("nb") + x for x in sums[:-1]]]
+    rows = rows.select(*own, "i", *[f"h{k}" for k in range(MOST_LINES - 1)], "hb", least(h, sums).alias("best"), least([F.col("hb"), *h[:-1]], before).alias("best_before"))
+    offset = F.when(F.col("best") == F.col("h0"), 0)
+    for k in range(1, MOST_LINES - 1):
+        offset = offset.when(F.col("best") == F.col(f"h{k}"), k)
+    # none where the window of the line before has the same minimum: it is given already
+    new = (F.col("i") == 0) | (F.col("best") != F.col("best_before")) | (F.col("best_before") == F.col("hb"))
+    rows = rows.select(*own, "i", new.alias("new"), offset.otherwise(MOST_LINES - 1).alias("offset"))
+    rows = _where(rows, F.col("new"), F.col("i") + F.col("offset"), "pos")
+    rows = rows.select("doc_id", "mark", "pos", "h", "n", F.xxhash64(near("h", 0, "pos")).alias("x0"), near("n", 0, "pos").alias("w0"))
+    for k in range(1, gram_words):  # a line has a word at least
+        rows = rows.select("*", F.xxhash64(f"x{k - 1}", near("h", k, "pos")).alias(f"x{k}"), (F.col(f"w{k - 1}") + near("n", k, "pos")).alias(f"w{k}"))
+    gram = F
+    for k in range(gram_words):
+        gram = gram.when(F.col(f"w{k}") >= gram_words, F.col(f"x{k}"))
+    rows = rows.select("doc_id", "mark", "pos", gram.alias("gram"))
+    return _where(rows, F.col("gram").isNotNull(), F.col("gram"), "fp").select("fp", "doc_id", "mark", "pos")
 
 
 def repeated_runs(docs: DataFrame, gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
@@ -120,32 +121,18 @@ def repeated_runs(docs: DataFrame, gram_words: int = GRAM_WORDS, window_words: i
     pairs = diagonals.join(source, F.col("s_doc").eqNullSafe(F.col("l_doc")) & (F.col("s_mark") == F.col("l_mark"))).drop("l_doc", "l_mark", "s_doc", "s_mark")
     own = lines.select(F.col("doc_id").alias("o_doc"), F.col("mark").alias("o_mark"), "at", "h", "n")
     pairs = pairs.join(own, F.col("doc_id").eqNullSafe(F.col("o_doc")) & (F.col("mark") == F.col("o_mark"))).drop("o_doc", "o_mark")
-    empty = F.array().cast("array<struct<a:int,b:int>>")
-    state = F.struct(empty.alias("runs"), F.lit(-1).alias("open"), F.lit(0).alias("words"))
-
-    def shared_words(gap):
-        shift = F.greatest(gap, F.lit(0))
-        over = F.least(F.size("h") - shift, F.size("s_h") + gap - shift)
-        equal = F.zip_with(F.slice("h", shift + 1, over), F.slice("s_h", shift - gap + 1, over), lambda x, y: x == y)
-        return F.aggregate(F.zip_with(equal, F.slice("n", shift + 1, over), lambda e, n: F.when(e, n).otherwise(0)), F.lit(0), lambda acc, x: acc + x)
-
-    def closed(acc, i):
-        run = F.struct(F.get(F.col("at"), acc["open"]).alias("a"), (F.get(F.col("at"), i - 1) + 1).alias("b"))
-        return F.when((acc["open"] >= 0) & (acc["words"] >= min_words), F.concat(acc["runs"], F.array(run))).otherwise(acc["runs"])
-
-    # extension both ways: the maximal equal runs along the diagonal, gathered in one pass
-    def equal_runs(gap):
-        def step(acc, i):
-            j = i - gap
-            same = (j >= 0) & (j < F.size("s_h")) & (F.get(F.col("s_h"), j) == F.get(F.col("h"), i))
-            return F.when(F.coalesce(same, F.lit(False)), F.struct(acc["runs"].alias("runs"), F.when(acc["open"] < 0, i).otherwise(acc["open"]).alias("open"), (acc["words"] + F.get(F.col("n"), i)).alias("words"))).otherwise(
-                F.struct(closed(acc, i).alias("runs"), F.lit(-1).alias("open"), F.lit(0).alias("words")))
-
-        # one index past the end closes the last run: h there is null, so it never matches
-        return F.aggregate(F.sequence(F.lit(0), F.size("h")), state, step, lambda acc: acc["runs"])
-
-    # most diagonals share no more than one gram: those without words enough give nothing
-    runs = F.flatten(F.transform("gaps", lambda g: F.when(shared_words(g) >= min_words, equal_runs(g)).otherwise(empty)))
+    # extension both ways: the maximal equal runs of a diagonal lie between the places where
+    # its lines differ
+    one = pairs.select("doc_id", "mark", "at", "h", "n", "s_h", F.explode("gaps").alias("gap"))
+    one = one.select("*", F.greatest(F.col("gap"), F.lit(0)).alias("low"), F.least(F.size("h"), F.size("s_h") + F.col("gap")).alias("high"))
+    differ = F.filter(F.sequence("low", F.col("high") - 1), lambda i: F.get(F.col("h"), i) != F.get(F.col("s_h"), i - F.col("gap")))
+    one = one.select("doc_id", "mark", "at", "n", "low", "high", differ.alias("differ"))
+    ends = F.concat("differ", F.array("high"))
+    starts = F.concat(F.array(F.col("low") - 1), F.col("differ"))
+    between = F.filter(F.zip_with(starts, ends, lambda x, y: F.struct((x + 1).alias("a"), y.alias("b"))), lambda x: x["b"] > x["a"])
+    words = lambda x: F.aggregate(F.slice("n", x["a"] + 1, x["b"] - x["a"]), F.lit(0), lambda acc, y: acc + y)
+    runs = F.transform(F.filter(between, lambda x: words(x) >= min_words), lambda x: F.struct(F.get(F.col("at"), x["a"]).alias("a"), (F.get(F.col("at"), x["b"] - 1) + 1).alias("b")))
+    pairs = one
     found = pairs.select("doc_id", "mark", F.explode(runs).alias("run"))
     return found.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("run")).alias("runs"))
 
