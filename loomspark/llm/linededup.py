@@ -142,14 +142,17 @@ def dedup_lines(docs: DataFrame, gram_words: int = GRAM_WORDS, window_words: int
     names = [c for c in docs.columns if c not in ("text", "n_cut")]
     runs = repeated_runs(docs.select("doc_id", "text"), gram_words, window_words, min_words).select(F.col("doc_id").alias("__r_doc"), F.col("mark").alias("__r_mark"), F.col("runs").alias("__runs"))
     out = docs.join(runs, F.col("doc_id").eqNullSafe(F.col("__r_doc")) & (F.xxhash64("text") == F.col("__r_mark")), "left")
-    p = pieces(F.col("text"))
+    # columns of their own, so that each is made once a row
+    out = out.withColumn("__pieces", F.when(F.col("__runs").isNotNull(), pieces(F.col("text"))))
+    p, gaps = F.col("__pieces"), F.col("__gaps")
     # kept stretches between the sorted runs
-    gaps = F.aggregate(
+    stretches = F.aggregate(
         F.concat(F.col("__runs"), F.array(F.struct(F.size(p).alias("a"), F.size(p).alias("b")))),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("keep")),
         lambda acc, r: F.struct(F.greatest(acc["at"], r["b"]).alias("at"), F.when(r["a"] > acc["at"], F.concat(acc["keep"], F.array(F.struct(acc["at"].alias("a"), r["a"].alias("b"))))).otherwise(acc["keep"]).alias("keep")),
         lambda acc: acc["keep"],
     )
+    out = out.withColumn("__gaps", stretches)
     kept = F.array_join(F.transform(gaps, lambda g: F.array_join(F.slice(p, g["a"] + 1, g["b"] - g["a"]), "")), "")
     cut = F.size(p) - F.aggregate(gaps, F.lit(0), lambda acc, g: acc + g["b"] - g["a"])
     text = F.when(F.col("__runs").isNull(), F.col("text")).otherwise(kept)
