@@ -115,6 +115,8 @@ def repeated_runs(docs: DataFrame, gram_words: int = GRAM_WORDS, window_words: i
     prints = materialise(fingerprints(lines, gram_words, window_words), "prints")
     place = F.struct("doc_id", "mark", "pos")
     first = prints.groupBy("fp").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("fp").alias("f_fp"), "first")
+    # written, so that the join has a shuffle on either side and AQE can split a frequent fp
+    first = materialise(first, "first")
     later = prints.join(first, F.col("fp") == F.col("f_fp")).filter(place > F.col("first"))
     diagonals = later.groupBy("doc_id", "mark", F.col("first.doc_id").alias("s_doc"), F.col("first.mark").alias("s_mark")).agg(F.collect_set(F.col("pos") - F.col("first.pos")).alias("gaps"))
     source = lines.select(F.col("doc_id").alias("l_doc"), F.col("mark").alias("l_mark"), F.col("h").alias("s_h"))
