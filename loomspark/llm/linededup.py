@@ -44,7 +44,8 @@ MIN_WORDS = 30
 MOST_LINES = 4
 
 #: A piece ends after a line feed, or after a full stop, mark or ellipsis before white space.
-BORDER = r"(?<=\n)|(?<=[.!?])(?=[\x20\x09\x0B-\x0D])"
+#: (The first part alone rules out most places.)
+BORDER = r"(?<=[\n.!?])(?:(?<=\n)|(?=[\x20\x09\x0B-\x0D]))"
 
 
 def pieces(text):
