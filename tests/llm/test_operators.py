@@ -104,6 +104,32 @@ def test_winnowing_guarantee(spark):
         assert got[1].n_cut == 12, trial
 
 
+def test_fingerprints_against_brute_force(spark):
+    r = random.Random(5)
+    pool = [" ".join(words(r.choice((1, 1, 2, 5, 9, 16, 40)), k)) for k in range(25)]
+    rows = [(i, "\n".join(r.choice(pool) for _ in range(r.randrange(0, 60)))) for i in range(40)] + [(98, ""), (99, None)]
+    lines = linededup.line_table(spark.createDataFrame(rows, "doc_id long, text string"))
+    held = {x.doc_id: (x.h, x.n) for x in lines.collect()}
+    want, grams = set(), {}
+    for i, (h, n) in held.items():
+        def gram(j, h=h, n=n):
+            for e in range(j + 1, len(h) + 1):
+                if sum(n[j:e]) >= linededup.GRAM_WORDS:
+                    return tuple(h[j:e])
+            return None
+        for a in range(len(h)):
+            window = [j for j in range(a, min(len(h), a + linededup.MOST_LINES)) if sum(n[a:j]) < linededup.WINDOW_WORDS]
+            best = min(window, key=lambda j: (h[j], j))
+            if gram(best):
+                want.add((i, best))
+                grams[i, best] = gram(best)
+    got = [(x.doc_id, x.pos, x.fp) for x in linededup.fingerprints(lines).collect()]
+    assert len(got) == len(want) and {x[:2] for x in got} == want
+    # one fingerprint for each gram, and one gram for each fingerprint
+    pairs = {(grams[i, p], f) for i, p, f in got}
+    assert len(pairs) == len({g for g, _ in pairs}) == len({f for _, f in pairs})
+
+
 def test_quality(docs):
     got = {(r.doc_id, r.n_words): r for r in quality.judge(docs).collect()}
     for r in docs.collect():
