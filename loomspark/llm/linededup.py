@@ -11,18 +11,21 @@ that of its trimmed lower-case form and its weight is its number of words.
    whole lines with ``window_words + gram_words - 1`` words or more therefore share a
    fingerprint, at the same place in both, however many lines they have: a window inside
    both has the same lines, and all its grams lie inside as well.
-2. Fingerprints are joined with their earliest place (doc_id, then line number), found by a
-   partial aggregate: a passage in a third of all documents costs a row for each, not a
-   pair for each two.
-3. Matches on the same diagonal (document, earlier document, distance) are one: the line
-   hashes of the two documents are laid over each other at that distance and every equal run
-   with ``min_words`` words or more is extended both ways until the lines differ.
-4. Such runs go from the later place; the earliest place stays.  What stays is the text
-   without these pieces.
-
-Scale: fingerprints are (long, long, int) rows, about two for three lines; the text itself
-is shuffled once at most, to meet the runs to delete.  Line hashes of documents are stored
-once in the shared folder and joined with the diagonals by equi-joins that AQE can split.
+2. A fingerprint that stands at two places or more marks them (a partial aggregate and an
+   equi-join; no pairs).  A repeated run of ``min_words`` words or more holds a marked place.
+3. Two runs with ``min_words`` words or more belong to each line: the shortest from it on and
+   the shortest up to it.  Those with a marked place in them are hashed whole, each once, and
+   looked up by that key: every run but the one at the earliest place (doc_id, then line
+   number) repeats an earlier place.  Any longer repeated run is the union of such runs, so
+   that all repeated runs are found, whatever else their fingerprints stand in.
+4. Such runs go; the earliest place of each stays.  Runs that overlap or follow on each other
+   are one, with the blank pieces between.  What stays is the text without these pieces.
+
+Scale: fingerprints are (long, long, int) rows, about two for three lines, and runs are rows
+of six numbers, at most two for a line near a marked place: a passage in a third of all
+documents costs rows for each, not a pair for each two.  The text itself is shuffled once at
+most, to meet the runs to delete.  Line hashes of documents are stored once in the shared
+folder; all joins are equi-joins that AQE can split.
 
 Defined results: null text stays null and empty text empty, both without lines; equal
 documents: the smallest doc_id keeps its text, the others lose all lines of a repeated run;
@@ -42,6 +45,8 @@ WINDOW_WORDS = 15
 MIN_WORDS = 30
 #: A window has so many lines at most; a shorter one keeps the guarantee.
 MOST_LINES = 4
+#: Most runs of ``MIN_WORDS`` words have so many lines at most; longer ones take more steps.
+NEAR_LINES = 8
 
 #: A piece ends after a line feed, or after a full stop, mark or ellipsis before white space.
 #: (The first part alone rules out most places.)
@@ -108,36 +113,79 @@ def fingerprints(lines: DataFrame, gram_words: int = GRAM_WORDS, window_words: i
     return _where(rows, F.col("gram").isNotNull(), F.col("gram"), "fp").select("fp", "doc_id", "mark", "pos")
 
 
+def long_runs(marked: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """run, doc_id, mark, s, e, a, b: hash, lines [s, e) and pieces [a, b) of the shortest runs
+    from each line on and up to each line that hold a place of ``marked``.
+
+    ``marked``: doc_id, mark, at, h, n and the sorted line numbers ``seen``.
+    """
+    own = ["doc_id", "mark", "at", "h", "n"]
+    rows = marked.select(*own, "seen", F.posexplode("seen").alias("j", "p"))
+    last = F.least(F.coalesce(F.get("seen", F.col("j") + 1), F.size("h")) - 1, F.col("p") + min_words - 1)
+    first = F.greatest(F.coalesce(F.get("seen", F.col("j") - 1), F.lit(-1)) + 1, F.col("p") - min_words + 1)
+    rows = rows.select(*own, "p", first.alias("first"), last.alias("last"))
+    # a run from a line on counts for the first marked place in it, one up to a line for the last
+    rows = rows.select(*own, "p", "first", "last", F.explode(F.array(F.lit(1), F.lit(-1))).alias("way"))
+    rows = rows.select(*own, "p", "way", F.explode(F.when(F.col("way") == 1, F.sequence("first", "p")).otherwise(F.sequence("p", "last"))).alias("i"))
+    # from here on a row holds the next lines only, in text order, and not a whole document's
+    low = F.when(F.col("way") == 1, F.col("i")).otherwise(F.greatest(F.col("i") - min_words + 1, F.lit(0)))
+    rows = rows.select(*own, "p", "way", "i", low.alias("low"))
+    part = lambda c: F.slice(c, F.col("low") + 1, F.when(F.col("way") == 1, F.lit(min_words)).otherwise(F.col("i") - F.col("low") + 1))
+    rows = rows.select("doc_id", "mark", "p", "way", "i", "low", part("at").alias("at"), part("h").alias("h"), part("n").alias("n"))
+    own = ["doc_id", "mark", "p", "way", "i", "low", "at", "h"]
+    rows = rows.select(*own, F.when(F.col("way") == 1, F.col("n")).otherwise(F.reverse("n")).alias("n"))
+    # sums over the first lines in generated code; few rows have to walk over more lines
+    near = min(NEAR_LINES, min_words)
+    rows = rows.select(*own, "n", F.get("n", F.lit(0)).alias("w0"))
+    for k in range(1, near):
+        rows = rows.select("*", (F.col(f"w{k - 1}") + F.get("n", F.lit(k))).alias(f"w{k}"))
+    size, total = F, F
+    for k in range(near):
+        enough = F.col(f"w{k}") >= min_words
+        size, total = size.when(enough, k + 1), total.when(enough, F.col(f"w{k}"))
+    rows = rows.select(*own, "n", "w0", size.alias("size"), total.alias("total"), F.col(f"w{near - 1}").alias("so_far"))
+    # the sum so far and the lines taken are one number; a line has a word at least
+    low_part = F.lit((1 << 32) - 1)
+    walked = F.aggregate(F.slice("n", near + 1, min_words), F.col("so_far").cast("long") + (near << 32), lambda acc, x: F.when(acc.bitwiseAND(low_part) >= min_words, acc).otherwise(acc + x + (1 << 32)))
+    rows = rows.select(*own, "w0", "size", "total", F.when(F.col("size").isNull() & F.col("so_far").isNotNull(), walked).alias("walked"))
+    words = F.coalesce(F.col("total").cast("long"), F.col("walked").bitwiseAND(low_part))
+    rows = rows.select(*own, "w0", words.alias("total"), F.when(words >= min_words, F.coalesce("size", F.shiftright("walked", 32).cast("int"))).alias("size"))
+    # the shortest run up to a line is left out if it is also the shortest from its start on
+    good = (F.col("size") > F.abs(F.col("p") - F.col("i"))) & ((F.col("way") == 1) | (F.col("total") - F.col("w0") >= min_words))
+    rows = _where(rows, good, F.when(F.col("way") == 1, F.col("i")).otherwise(F.col("i") - F.col("size") + 1), "s")
+    at = F.col("s") - F.col("low")
+    return rows.select(F.xxhash64(F.slice("h", at + 1, F.col("size"))).alias("run"), "doc_id", "mark", "s", (F.col("s") + F.col("size")).alias("e"), F.get("at", at).alias("a"), (F.get("at", at + F.col("size") - 1) + 1).alias("b"))
+
+
 def repeated_runs(docs: DataFrame, gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, mark, runs: array of [from, to) piece numbers that repeat an earlier place."""
+    if min_words < gram_words + window_words - 1:
+        raise ValueError("min_words must be gram_words + window_words - 1 at least")
     lines = materialise(line_table(docs), "lines")
     if not lines.groupBy("doc_id", "mark").count().filter("count > 1").isEmpty():
         lines = materialise(lines.dropDuplicates(["doc_id", "mark"]), "lines")
     prints = materialise(fingerprints(lines, gram_words, window_words), "prints")
-    place = F.struct("doc_id", "mark", "pos")
-    first = prints.groupBy("fp").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("fp").alias("f_fp"), "first")
-    # written, so that the join has a shuffle on either side and AQE can split a frequent fp
+    # written, so that the join has a shuffle on either side and AQE can split a frequent key
+    often = materialise(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("fp").alias("f_fp")), "often")
+    seen = prints.join(often, F.col("fp") == F.col("f_fp")).groupBy(F.col("doc_id").alias("p_doc"), F.col("mark").alias("p_mark")).agg(F.array_sort(F.collect_set("pos")).alias("seen"))
+    marked = lines.join(seen, F.col("doc_id").eqNullSafe(F.col("p_doc")) & (F.col("mark") == F.col("p_mark"))).select("doc_id", "mark", "at", "h", "n", "seen")
+    runs = materialise(long_runs(marked, min_words), "runs")
+    place = F.struct("doc_id", "mark", "s")
+    first = runs.groupBy("run").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("run").alias("f_run"), "first")
     first = materialise(first, "first")
-    later = prints.join(first, F.col("fp") == F.col("f_fp")).filter(place > F.col("first"))
-    diagonals = later.groupBy("doc_id", "mark", F.col("first.doc_id").alias("s_doc"), F.col("first.mark").alias("s_mark")).agg(F.collect_set(F.col("pos") - F.col("first.pos")).alias("gaps"))
-    source = lines.select(F.col("doc_id").alias("l_doc"), F.col("mark").alias("l_mark"), F.col("h").alias("s_h"))
-    pairs = diagonals.join(source, F.col("s_doc").eqNullSafe(F.col("l_doc")) & (F.col("s_mark") == F.col("l_mark"))).drop("l_doc", "l_mark", "s_doc", "s_mark")
-    own = lines.select(F.col("doc_id").alias("o_doc"), F.col("mark").alias("o_mark"), "at", "h", "n")
-    pairs = pairs.join(own, F.col("doc_id").eqNullSafe(F.col("o_doc")) & (F.col("mark") == F.col("o_mark"))).drop("o_doc", "o_mark")
-    # extension both ways: the maximal equal runs of a diagonal lie between the places where
-    # its lines differ
-    one = pairs.select("doc_id", "mark", "at", "h", "n", "s_h", F.explode("gaps").alias("gap"))
-    one = one.select("*", F.greatest(F.col("gap"), F.lit(0)).alias("low"), F.least(F.size("h"), F.size("s_h") + F.col("gap")).alias("high"))
-    differ = F.filter(F.sequence("low", F.col("high") - 1), lambda i: F.get(F.col("h"), i) != F.get(F.col("s_h"), i - F.col("gap")))
-    one = one.select("doc_id", "mark", "at", "n", "low", "high", differ.alias("differ"))
-    ends = F.concat("differ", F.array("high"))
-    starts = F.concat(F.array(F.col("low") - 1), F.col("differ"))
-    between = F.filter(F.zip_with(starts, ends, lambda x, y: F.struct((x + 1).alias("a"), y.alias("b"))), lambda x: x["b"] > x["a"])
-    words = lambda x: F.aggregate(F.slice("n", x["a"] + 1, x["b"] - x["a"]), F.lit(0), lambda acc, y: acc + y)
-    runs = F.transform(F.filter(between, lambda x: words(x) >= min_words), lambda x: F.struct(F.get(F.col("at"), x["a"]).alias("a"), (F.get(F.col("at"), x["b"] - 1) + 1).alias("b")))
-    pairs = one
-    found = pairs.select("doc_id", "mark", F.explode(runs).alias("run"))
-    return found.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("run")).alias("runs"))
+    later = runs.join(first, F.col("run") == F.col("f_run")).filter(place > F.col("first"))
+    found = later.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set(F.struct("s", "e", "a", "b"))).alias("found"))
+    # sorted runs that overlap or follow on each other become one
+    joined = F.aggregate(
+        F.slice("found", F.lit(2), F.size("found")),
+        F.struct(F.get("found", F.lit(0)).alias("now"), F.array().cast("array<struct<a:int,b:int>>").alias("done")),
+        lambda acc, x: F.when(
+            x["s"] <= acc["now"]["e"],
+            F.struct(F.struct(acc["now"]["s"].alias("s"), F.greatest(acc["now"]["e"], x["e"]).alias("e"), acc["now"]["a"].alias("a"), F.greatest(acc["now"]["b"], x["b"]).alias("b")).alias("now"), acc["done"].alias("done")),
+        ).otherwise(F.struct(x.alias("now"), F.concat(acc["done"], F.array(F.struct(acc["now"]["a"].alias("a"), acc["now"]["b"].alias("b")))).alias("done"))),
+        lambda acc: F.concat(acc["done"], F.array(F.struct(acc["now"]["a"].alias("a"), acc["now"]["b"].alias("b")))),
+    )
+    return found.select("doc_id", "mark", joined.alias("runs"))
 
 
 def dedup_lines(docs: DataFrame, gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
