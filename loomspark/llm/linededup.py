@@ -35,6 +35,9 @@ rows that repeat a doc_id are told apart by their text, and identical rows are o
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,7 +68,12 @@ def line_table(docs: DataFrame) -> DataFrame:
     blank = F.lit(" \t\n\r\f\x0b")
     lines = F.transform(pieces(F.lower("text")), lambda p, i: F.struct(i.alias("at"), F.trim(p, blank).alias("key")))
     lines = F.filter(lines, lambda x: x["key"] != "")
-    lines = F.transform(lines, lambda x: F.struct(x["at"].alias("at"), F.xxhash64(x["key"]).alias("h"), (F.length(x["key"]) - F.length(F.replace(x["key"], F.lit(" "), F.lit(""))) + 1).alias("n")))
+    # words, not spaces; where single spaces alone stand between words, their number says it
+    # (asked of the line, since a lambda would ask the whole text again for every line)
+    odd = lambda key: reduce(or_, [F.contains(key, F.lit(c)) for c in ("  ", "\t", "\r", "\f", "\x0b")])
+    spaces = lambda key: F.length(key) - F.length(F.replace(key, F.lit(" "), F.lit("")))
+    words = lambda key: F.when(odd(key), F.size(F.split(key, r"[\x20\x09-\x0D]+"))).otherwise(spaces(key) + 1)
+    lines = F.transform(lines, lambda x: F.struct(x["at"].alias("at"), F.xxhash64(x["key"]).alias("h"), words(x["key"]).alias("n")))
     # no filter on the arrays: it would be pushed down, and the lines be made twice
     df = docs.filter("text is not null and text != ''").select("doc_id", F.xxhash64("text").alias("mark"), lines.alias("x"))
     return df.select("doc_id", "mark", F.col("x.at").alias("at"), F.col("x.h").alias("h"), F.col("x.n").alias("n"))

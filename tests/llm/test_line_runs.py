@@ -55,3 +55,12 @@ def test_all_runs_against_brute_force(spark):
     pool = [" ".join(words(n, 900 + k)) for k, n in enumerate((1, 2, 5, 9, 16, 40))]
     got = check(spark, [(i, r.choice(("\n", "\n\n")).join(r.choice(pool) for _ in range(r.randrange(0, 25)))) for i in range(30)])
     assert sum(map(len, got.values())) > 50
+
+
+def test_weights_are_words(spark):
+    """Cells between tabs are words, and so a repeated table goes; runs of spaces are one gap."""
+    table = "\n".join("\t".join(words(10, 1000 + k)) for k in range(20))
+    rows = [(0, "first title\n" + table), (1, "other title\n" + table), (2, "a  b \t c\x0bd\fe\r\nf g   h. I  j")]
+    lines = {x.doc_id: x.n for x in linededup.line_table(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert lines == {0: [2] + [10] * 20, 1: [2] + [10] * 20, 2: [5, 3, 2]}
+    assert check(spark, rows)[1] == set(range(1, 21))
