@@ -1,8 +1,11 @@
 """Operator 4: approximate nearest neighbours by multiprobe p-stable hashing.
 
-Nearness is the largest inner product.  Vectors are taken to unit length for hashing with
-one more coordinate, sqrt(1 - |x|^2 / M^2) for the largest norm M, so that the Euclidean
-nearest of a (scaled) query are those of largest inner product.
+Nearness is the largest inner product.  A block's vectors are split into ranges of like norm,
+so that a long vector doesn't make the others look alike; in a range, unit vectors are hashed.
+Ranges are met from the longest vectors on, and a query leaves out those whose norm is too
+small for its k best.  A range is scanned exactly for the queries whose k-th score needs a
+similarity below ``SURE`` there, or that have fewer than k, and if it is small: there hashing
+would miss too many.
 
 A table's hash is ``K`` functions floor((a x + b) / W) with Gaussian (2-stable) a.  A query
 visits, in each of ``TABLES`` tables, its own bucket and then perturbed ones: functions are
@@ -38,6 +41,10 @@ from .common import materialise, table
 K, W, TABLES, PROBES = 8, 1.5, 24, 150
 BLOCK, QUERY_BLOCK, TOP = 8192, 512, 20
 SEED = 7
+#: Norms of a range differ by this factor at most; ranges of fewer vectors are scanned.
+RANGE, LEAST_HASHED = 1.25, 512
+#: Vectors of this similarity and more are visited with a probability of 0.9 and more.
+SURE = 0.28
 
 
 @lru_cache(4)
@@ -114,27 +121,58 @@ def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "ids": [pdf["vec_id"].to_numpy("<i8").tobytes()], "rows": [x.tobytes()]})
 
 
-def _meet(norm: float, dim: int, k: int, options: dict):
+def _lengths(x: np.ndarray) -> np.ndarray:
+    most = np.abs(x).max(1)
+    return most * np.sqrt(((x / most[:, None]) ** 2).sum(1))
+
+
+def _meet(dim: int, k: int, options: dict):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         r = pdf.iloc[0]
         ids, x = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["rows"], "<f8").reshape(-1, dim)
         qids, q = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["q_rows"], "<f8").reshape(-1, dim)
-        unit = x / norm
-        extended = np.concatenate([unit, np.sqrt(np.maximum(0, 1 - (unit**2).sum(1)))[:, None]], axis=1)
-        lengths = np.sqrt((q**2).sum(1))
-        asked = np.concatenate([q / lengths[:, None], np.zeros((len(q), 1))], axis=1)
-        index = Index(extended, options["k"], options["w"], options["tables"], options["seed"])
-        out = []
-        for i, rows in enumerate(index.candidates(asked, options["probes"])):
+        lengths, asked = _lengths(x), _lengths(q)
+        best = [(np.empty(0, np.int64), np.empty(0)) for _ in qids]
+
+        def add(i: int, rows: np.ndarray) -> None:
             rows = rows[ids[rows] != qids[i]]
             score = x[rows] @ q[i]
             # the sum in fixed order, the same for every block and candidate
             if len(rows) > k:
-                best = np.argpartition(-score, k - 1)[:k]
-                rows, score = rows[score >= score[best].min() - 1e-9], score[score >= score[best].min() - 1e-9]
+                close = np.partition(score, len(score) - k)[len(score) - k]
+                close -= 1e-9 * max(1.0, abs(close))
+                rows, score = rows[score >= close], score[score >= close]
             exact = np.array([float(sum((x[j] * q[i]).tolist())) for j in rows])
+            rows, exact = np.concatenate([best[i][0], rows]), np.concatenate([best[i][1], exact])
             order = np.lexsort((ids[rows], -exact))[:k]
-            out += [(int(qids[i]), int(ids[rows[j]]), float(exact[j])) for j in order]
+            best[i] = rows[order], exact[order]
+
+        def reach(i: int, norm: float) -> float:
+            """The similarity that a vector of this norm needs to be among the best of a query."""
+            return best[i][1][-1] / (asked[i] * norm) if len(best[i][0]) == k else -np.inf
+
+        # from the longest vectors on: a range's bound rules out all that follows it
+        level = np.floor((np.log(lengths.max()) - np.log(lengths)) / np.log(RANGE) + 1e-9).astype(np.int64)
+        for part in np.unique(level):
+            rows = np.flatnonzero(level == part)
+            norm = lengths[rows].max()
+            open_ = [i for i in range(len(qids)) if reach(i, norm) <= 1 + 1e-9]
+            hashed = open_ if len(rows) >= LEAST_HASHED else []
+            # queries that are known to need more than the hashing finds go the exact way at once
+            hashed = [i for i in hashed if len(best[i][0]) < k or reach(i, norm) >= SURE]
+            if hashed:
+                index = Index(x[rows] / lengths[rows, None], options["k"], options["w"], options["tables"], options["seed"])
+                saved = {i: best[i] for i in hashed}
+                for i, found in zip(hashed, index.candidates(q[hashed] / asked[hashed, None], options["probes"]), strict=True):
+                    add(i, rows[found])
+                again = [i for i in hashed if reach(i, norm) < SURE]
+                for i in again:
+                    best[i] = saved[i]
+            else:
+                again = []
+            for i in again + [i for i in open_ if i not in set(hashed)]:
+                add(i, rows)
+        out = [(int(qids[i]), int(ids[j]), float(s)) for i, (rows, score) in enumerate(best) for j, s in zip(rows, score, strict=True)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     return run
@@ -148,11 +186,11 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, block: int =
     spark = vectors.sparkSession
     schema = "query_id long, vec_id long, score double"
     clean = materialise(_clean(vectors).dropDuplicates(["vec_id", "embedding"]), "vectors")
-    dims = clean.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))).alias("norm"))
+    dims = clean.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n"))
     first = dims.orderBy(F.col("n").desc(), "d").first()
     if first is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, n, norm = first["d"], first["n"], first["norm"]
+    dim, n = first["d"], first["n"]
     clean = clean.filter(F.size("embedding") == dim)
     asked = _clean(queries).filter(F.size("embedding") == dim).dropDuplicates(["vec_id", "embedding"])
     # a table of its own for the queries: their number decides on their blocks
@@ -164,7 +202,7 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, block: int =
     qs = materialise(packed(asked, q_blocks).select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows")), "blocks")
     meetings = qs.select("q_block", "q_ids", "q_rows", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("of")).join(xs, F.col("of") == F.col("block"))
     options = {"k": k, "w": w, "tables": tables, "probes": probes, "seed": seed}
-    found = meetings.select("q_block", "block", "ids", "rows", "q_ids", "q_rows").groupBy("q_block", "block").applyInPandas(_meet(norm, dim, top, options), schema)
+    found = meetings.select("q_block", "block", "ids", "rows", "q_ids", "q_rows").groupBy("q_block", "block").applyInPandas(_meet(dim, top, options), schema)
     best = F.struct((-F.col("score")).alias("minus"), "vec_id", "score")
     # every block gives at most ``top`` a query
     per = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(best)), 1, top).alias("best"))
