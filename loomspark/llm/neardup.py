@@ -18,7 +18,8 @@
    that a fresh hash gives each round; equal ends merge, until no edge is left.
 
 With b = 2 and 128 minima the estimate's standard deviation at similarity 0.85 is 0.037; the
-margin is five of these.  A pair at 0.85 shares no band of 5 with probability 8e-6.
+margin is five of these.  A pair at 0.85 shares no band of 5 with probability 8e-6;
+the pipeline, at 0.80, takes 32 bands of 4: 5e-8.
 
 Scale: the text is read once, plus once for the classes that share a group.  All tables in
 between are rows of a few integers in the shared folder.
@@ -42,6 +43,7 @@ from pyspark.sql import functions as F
 from .common import materialise, table
 
 N_HASH, ROWS, BANDS, SHINGLE = 128, 5, 20, 5
+#: Defaults, which go with ROWS and BANDS; a lower threshold needs shorter bands.
 LINK_PERCENT = 85
 MARGIN = 0.20
 BLOCK = 400
@@ -106,15 +108,15 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
-def _signatures(ids: list, sets: list[np.ndarray]) -> pd.DataFrame:
+def _signatures(ids: list, sets: list[np.ndarray], n_bands: int = BANDS, n_rows: int = ROWS) -> pd.DataFrame:
     full = [s for s in sets if len(s)]
     bands, sigs, keys = iter(()), iter(()), iter(())
     if full:
         m = _minima(full)
-        b = np.zeros((len(full), BANDS), np.uint64)
-        for r in range(ROWS):
-            b = b * _P + m[:, r : ROWS * BANDS : ROWS]
-        b = _mix(b + np.arange(BANDS, dtype=np.uint64) * _P)
+        b = np.zeros((len(full), n_bands), np.uint64)
+        for r in range(n_rows):
+            b = b * _P + m[:, r : n_rows * n_bands : n_rows]
+        b = _mix(b + np.arange(n_bands, dtype=np.uint64) * _P)
         low = _mix(m)
         planes = [np.packbits((low >> np.uint64(k) & np.uint64(1)).astype(np.uint8), axis=1).view(">u8").astype(np.uint64) for k in (0, 1)]
         bands, sigs = iter(_signed(b)), iter(_signed(np.concatenate(planes, axis=1)))
@@ -129,23 +131,28 @@ def _signatures(ids: list, sets: list[np.ndarray]) -> pd.DataFrame:
     return out
 
 
-def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        ids, sets, held = [], [], 0
-        for i, t in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), strict=True):
-            s = shingles(t)
-            ids.append(None if i != i else i)
-            sets.append(s)
-            held += len(s)
-            if held > 200_000 or len(ids) >= 2000:
-                yield _signatures(ids, sets)
-                ids, sets, held = [], [], 0
-        if ids:
-            yield _signatures(ids, sets)
+def _sign(n_bands: int, n_rows: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ids, sets, held = [], [], 0
+            for i, t in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), strict=True):
+                s = shingles(t)
+                ids.append(None if i != i else i)
+                sets.append(s)
+                held += len(s)
+                if held > 200_000 or len(ids) >= 2000:
+                    yield _signatures(ids, sets, n_bands, n_rows)
+                    ids, sets, held = [], [], 0
+            if ids:
+                yield _signatures(ids, sets, n_bands, n_rows)
 
+    return run
 
-def signatures(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(_sign, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sig array<long>")
+
+def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    if bands * rows > N_HASH:
+        raise ValueError(f"bands * rows must be {N_HASH} at most")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(_sign(bands, rows), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sig array<long>")
 
 
 def estimate(a: str, b: str):
@@ -155,27 +162,30 @@ def estimate(a: str, b: str):
     return ((1 - differ / N_HASH) - 0.25) / 0.75
 
 
-def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held: dict[str, np.ndarray] = {}
-    size = 0
+def _confirm(percent: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, np.ndarray] = {}
+        size = 0
+
+        def of(text: str) -> np.ndarray:
+            nonlocal size
+            if (s := held.get(text)) is None:
+                if size > 2_000_000:
+                    held.clear()
+                    size = 0
+                s = held[text] = shingles(text)
+                size += len(s) + len(text) // 8
+            return s
 
-    def of(text: str) -> np.ndarray:
-        nonlocal size
-        if (s := held.get(text)) is None:
-            if size > 2_000_000:
-                held.clear()
-                size = 0
-            s = held[text] = shingles(text)
-            size += len(s) + len(text) // 8
-        return s
+        for pdf in batches:
+            keep = []
+            for a, b in zip(pdf["ta"].tolist(), pdf["tb"].tolist(), strict=True):
+                x, y = of(a), of(b)
+                both = np.intersect1d(x, y, assume_unique=True).size
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield pdf.loc[keep, ["a", "b"]]
 
-    for pdf in batches:
-        keep = []
-        for a, b in zip(pdf["ta"].tolist(), pdf["tb"].tolist(), strict=True):
-            x, y = of(a), of(b)
-            both = np.intersect1d(x, y, assume_unique=True).size
-            keep.append(100 * both >= LINK_PERCENT * (len(x) + len(y) - both))
-        yield pdf.loc[keep, ["a", "b"]]
+    return run
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -197,40 +207,43 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.join(roots, "at").select("node", "root")
 
 
-def _block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links between components among the members of one block of one band.
-
-    Rows on the left side meet rows on the right side; a link is returned only if it joins
-    components that no earlier link of the block has joined.
-    """
-    left, right = pdf[pdf["left"]], pdf if len(key) == 1 else pdf[~pdf["left"]]
-    sets = [shingles(t) for t in right["text"]]
-    ids, comp = right["class"].to_numpy(), right["comp"].to_numpy()
-    size = np.array([len(x) for x in sets])
-    order = np.argsort(allof := np.concatenate(sets or [np.empty(0, np.uint64)]), kind="stable")
-    allof, owner = allof[order], np.repeat(np.arange(len(sets)), size)[order]
-    joined: dict[int, int] = {}
-
-    def top(c: int) -> int:
-        while (n := joined.get(c, c)) != c:
-            c = n
-        return c
-
-    out = []
-    for i, c, t in zip(left["class"], left["comp"], left["text"], strict=True):
-        x = shingles(t)
-        lo, hi = np.searchsorted(allof, x, "left"), np.searchsorted(allof, x, "right")
-        many = hi - lo
-        at = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
-        both = np.bincount(owner[at], minlength=len(sets))
-        for j in np.flatnonzero((100 * both >= LINK_PERCENT * (size + len(x) - both)) & (comp != c)):
-            if (p := top(c)) != (q := top(comp[j])):
-                joined[max(p, q)] = min(p, q)
-                out.append((i, ids[j]))
-    return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
-
-
-def link_classes(sigs: DataFrame, texts: DataFrame) -> DataFrame:
+def _block(percent: int):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """Links between components among the members of one block of one band.
+
+        Rows on the left side meet rows on the right side; a link is returned only if it joins
+        components that no earlier link of the block has joined.
+        """
+        left, right = pdf[pdf["left"]], pdf if len(key) == 1 else pdf[~pdf["left"]]
+        sets = [shingles(t) for t in right["text"]]
+        ids, comp = right["class"].to_numpy(), right["comp"].to_numpy()
+        size = np.array([len(x) for x in sets])
+        order = np.argsort(allof := np.concatenate(sets or [np.empty(0, np.uint64)]), kind="stable")
+        allof, owner = allof[order], np.repeat(np.arange(len(sets)), size)[order]
+        joined: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while (n := joined.get(c, c)) != c:
+                c = n
+            return c
+
+        out = []
+        for i, c, t in zip(left["class"], left["comp"], left["text"], strict=True):
+            x = shingles(t)
+            lo, hi = np.searchsorted(allof, x, "left"), np.searchsorted(allof, x, "right")
+            many = hi - lo
+            at = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
+            both = np.bincount(owner[at], minlength=len(sets))
+            for j in np.flatnonzero((100 * both >= percent * (size + len(x) - both)) & (comp != c)):
+                if (p := top(c)) != (q := top(comp[j])):
+                    joined[max(p, q)] = min(p, q)
+                    out.append((i, ids[j]))
+        return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
+
+    return run
+
+
+def link_classes(sigs: DataFrame, texts: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
     """(node, root) of the classes that are linked with another, None if there are none.
 
     ``sigs``: materialised class, bands, sig; ``texts``: class, text.
@@ -241,7 +254,7 @@ def link_classes(sigs: DataFrame, texts: DataFrame) -> DataFrame:
     member = materialise(member.join(crowd, F.col("band") == F.col("p_band")).select("band", "class", "pivot").distinct(), "bands")
     pairs = member.filter("class != pivot").select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct()
     one, two = (sigs.select(F.col("class").alias(f"c{k}"), F.col("sig").alias(f"s{k}")) for k in "ab")
-    pairs = pairs.join(one, F.col("a") == F.col("ca")).join(two, F.col("b") == F.col("cb")).filter(estimate("sa", "sb") >= LINK_PERCENT / 100 - MARGIN).select("a", "b").distinct()
+    pairs = pairs.join(one, F.col("a") == F.col("ca")).join(two, F.col("b") == F.col("cb")).filter(estimate("sa", "sb") >= percent / 100 - MARGIN).select("a", "b").distinct()
     pairs = materialise(pairs, "pairs")
     # texts are read once more, for the classes that share a group
     needed = member.select(F.col("class").alias("need")).distinct()
@@ -249,7 +262,7 @@ def link_classes(sigs: DataFrame, texts: DataFrame) -> DataFrame:
     text = materialise(text.dropDuplicates(["class", "mark"]).drop("mark"), "texts")
     ta, tb = text.select(F.col("class").alias("xa"), F.col("text").alias("ta")), text.select(F.col("class").alias("xb"), F.col("text").alias("tb"))
     held = pairs.join(ta, F.col("a") == F.col("xa")).join(tb, F.col("b") == F.col("xb")).select("a", "b", "ta", "tb")
-    links = materialise(held.mapInPandas(_confirm, "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    links = materialise(held.mapInPandas(_confirm(percent), "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
     roots = materialise(components(links), "roots")
     # pivots have met all their group; of the others, those outside the group's largest
     # component (the left side) meet every member of another component
@@ -261,23 +274,24 @@ def link_classes(sigs: DataFrame, texts: DataFrame) -> DataFrame:
     rest = materialise(rest.join(lead, F.col("band") == F.col("l_band")).select("band", "class", "comp", (F.col("comp") != F.col("main")).alias("left"), "n", "outside"), "rest")
     if not rest.isEmpty():
         with_text = lambda df: df.join(text, "class")
-        few = with_text(rest.filter(F.col("n") <= BLOCK)).select("band", "class", "comp", "left", "text").groupBy("band").applyInPandas(_block, "u long, v long")
+        few = with_text(rest.filter(F.col("n") <= BLOCK)).select("band", "class", "comp", "left", "text").groupBy("band").applyInPandas(_block(percent), "u long, v long")
         # larger groups: blocks of left members by blocks of members
         mark = F.pmod(F.xxhash64("class"), F.lit(1 << 30))
         many = rest.filter(F.col("n") > BLOCK).withColumns({"lefts": F.ceil(F.col("outside") / BLOCK).cast("int"), "rights": F.ceil(F.col("n") / BLOCK).cast("int")})
         # a left member goes to all blocks of its row, every member to all blocks of its column
         as_left = many.filter("left").select("band", "class", "comp", F.lit(True).alias("left"), (mark % F.col("lefts")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j"))
         as_right = many.select("band", "class", "comp", F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"), (mark % F.col("rights")).cast("int").alias("j"))
-        large = with_text(as_left.unionByName(as_right)).select("band", "i", "j", "class", "comp", "left", "text").groupBy("band", "i", "j").applyInPandas(_block, "u long, v long")
+        large = with_text(as_left.unionByName(as_right)).select("band", "i", "j", "class", "comp", "left", "text").groupBy("band", "i", "j").applyInPandas(_block(percent), "u long, v long")
         more = materialise(few.unionByName(large).distinct(), "links")
         if not more.isEmpty():
             roots = components(links.unionByName(more))
     return roots
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
-    sigs = materialise(signatures(docs), "sigs")
+def near_duplicates(docs: DataFrame, percent: int = LINK_PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs``; linked are documents
+    with a similarity of ``percent`` hundredths and more."""
+    sigs = materialise(signatures(docs, bands, rows), "sigs")
     key = ["k1", "k2", "n_shingles"]
     full = sigs.filter("n_shingles > 0 and doc_id is not null")
     groups = materialise(full.groupBy(*key).agg(F.min("doc_id").alias("class")), "classes")
@@ -286,7 +300,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = sigs.join(named, on, "left").drop("g_k1", "g_k2", "g_n_shingles")
     held = materialise(full.join(named, on).filter("doc_id = class").select("class", "bands", "sig", *key).dropDuplicates(["class", *key]), "held")
     texts = docs.select(F.col("doc_id").cast("long").alias("class"), "text").filter("text is not null")
-    roots = link_classes(held.select("class", "bands", "sig"), texts)
+    roots = link_classes(held.select("class", "bands", "sig"), texts, percent)
     placed = placed.join(roots, F.col("class") == F.col("node"), "left")
     comp = F.coalesce("root", "class", "doc_id")
     return placed.select("doc_id", "n_shingles", comp.alias("component_id"), (F.col("doc_id") == comp).alias("kept"))
