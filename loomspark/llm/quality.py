@@ -52,17 +52,17 @@ def measure(text: str | None) -> tuple:
             for k in range(3):
                 twice[at + k] = True
             repeat = int(twice.sum())
-    letters = sum(map(str.isalpha, text)) if n < 5 else int(_letters(raw, text))
+    letters = _letters(raw)
     upper = len(raw) - len(raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
     common = sum(map(COMMON.__contains__, words))
     ends = raw.count(b". ") + raw.count(b".\n") + raw.endswith(b".")
     return (n, len(text) - spaces, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeat, len(lines), upper, letters, common, ends)
 
 
-def _letters(raw: bytes, text: str) -> int:
-    """Letters, where every character beyond ASCII counts as one."""
+def _letters(raw: bytes) -> int:
+    """Letters, as str.isalpha has them; only characters beyond ASCII are looked at one by one."""
     plain = len(raw) - len(raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
-    return plain + (0 if text.isascii() else len(text) - len(raw) + sum(map(len, (raw.translate(None, bytes(range(128))),))))
+    return plain + sum(map(str.isalpha, raw.translate(None, bytes(range(128))).decode("utf-8", "surrogatepass")))
 
 
 FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_common", "n_ends")
