@@ -16,14 +16,18 @@ segment of score S among n tokens has log E-value ln(K n) - lambda S; a document
 is the sum of -ln E over its segments with E < 1.  A logistic curve fitted on the training
 rows' evidence (a histogram of fixed size) gives the score, so 0.5 means even odds.
 
-Scale: the text is read once for the training rows' counts and once for the scan; counts leave
-a task as at most 2^20 rows, summed by a shuffle; what reaches the driver is bounded: the
-bucket scores, and histograms.  No shuffle holds text but that of the training rows.
+Scale: the model is fitted on at most about ``TRAIN_ROWS`` labelled documents, taken by a hash
+of doc_id; only their ids are broadcast, and only their texts are written once.  Counts leave a
+task as packed blocks of ``SLICE`` buckets and are summed block by block, so that the driver gets
+BUCKETS / SLICE rows of a fixed size.  All other texts are read once, by the scan, and never
+shuffled; scoring and rejecting need no join.
 
 Defined results: null and empty texts have no segment and get the score of no evidence;
 labels other than 0 and 1 are ignored; a doc_id labelled both ways counts as toxic;
-repeated rows are kept; without training rows of both kinds every score is 0; other columns
-are ignored.
+repeated rows are kept; rows that share a doc_id are scored and rejected each by its own text;
+a tie (a score of exactly 0.5) counts as toxic; a very long text is one linear scan; without
+training rows of both kinds every score is 0; an empty table gives no rows; other columns are
+ignored (``score``) or passed through (``reject_toxic``).
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
-from zlib import crc32
+from zlib import compress, crc32, decompress
 
 import numpy as np
 import pandas as pd
@@ -47,6 +51,10 @@ PRIOR = 5_000.0
 SHRINK = 2.0
 PENALTY = 0.25
 BINS = 400
+#: Most labelled documents used for fitting (as expected by their hash).
+TRAIN_ROWS = 60_000
+#: Buckets of a block of counts.
+SLICE = 1024
 TOKEN = re.compile(r"[^\W\d_]+")
 
 
@@ -98,10 +106,16 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             at = [buckets(w) for w in held[y]]
             n = np.repeat(np.fromiter(held[y].values(), np.int32, len(at)), np.fromiter(map(len, at), np.int32, len(at)))
             np.add.at(counts[y], np.fromiter(chain.from_iterable(at), np.int32, len(n)), n)
-    seen = np.flatnonzero(counts.any(axis=0))
-    for a in range(0, len(seen), 50_000):
-        b = seen[a : a + 50_000]
-        yield pd.DataFrame({"bucket": b.astype(np.int32), "n0": counts[0, b].astype(np.int64), "n1": counts[1, b].astype(np.int64)})
+    counts = counts.reshape(2, -1, SLICE).swapaxes(0, 1)
+    for k in np.flatnonzero(counts.any(axis=(1, 2))).tolist():
+        yield pd.DataFrame({"block": [k], "counts": [compress(counts[k].astype("<i4").tobytes(), 1)]})
+
+
+def _add(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = np.zeros(2 * SLICE, "<i8")
+    for x in pdf["counts"]:
+        total += np.frombuffer(decompress(x), "<i4")
+    return pd.DataFrame({"block": pdf["block"].iloc[:1], "counts": [total.tobytes()]})
 
 
 def log_odds(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
@@ -151,16 +165,57 @@ def segments(s: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, r - lo) for a, b, lo, r, _ in stack]
 
 
-def _scan(scores):
+class Model:
+    """Bucket scores and the constants of the calibration; travels to the workers."""
+
+    def __init__(self, scores: np.ndarray, lam: float, k: float = 1.0, curve: tuple[float, float] | None = None) -> None:
+        self.scores, self.lam, self.k, self.curve = scores, lam, k, curve
+
+    def log_e(self, n: int, score: float) -> float:
+        """Log of the expected number of segments so good by chance among ``n`` tokens."""
+        return math.log(self.k * n) - self.lam * score
+
+    def feature(self, evidence: float) -> float:
+        # squared-root scale: a few histogram cells hold any range of evidence
+        return min(math.sqrt(evidence), BINS / 20)
+
+    def score(self, evidence: float) -> float:
+        return 1 / (1 + math.exp(-(self.curve[0] + self.curve[1] * self.feature(evidence)))) if self.curve else 0.0
+
+
+def _best(of: _Scores, x: list[str]) -> list[tuple[int, int, float]]:
+    return segments(np.fromiter(map(of.__getitem__, x), float, len(x))) if x else []
+
+
+def _fit_scan(shared):
+    """Of the training texts: label, tokens, and the scores of the segments."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = _Scores(scores.value)
+        of = _Scores(shared.value.scores)
         for pdf in batches:
+            found = [(int(y), len(x := tokens(t)), [v for _, _, v in _best(of, x)]) for y, t in zip(pdf["toxic"].tolist(), pdf["text"].tolist(), strict=True)]
+            yield pd.DataFrame(found, columns=["toxic", "n_tokens", "seg"], dtype=object)
+
+    return run
+
+
+#: What the scan gives for a text.
+SCANNED = "score double, n_tokens long, evidence double, seg_from array<int>, seg_to array<int>, seg_e array<double>"
+
+
+def _scan(shared):
+    @F.pandas_udf(SCANNED)
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = shared.value
+        of = _Scores(model.scores)
+        for batch in texts:
             rows = []
-            for i, t in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), strict=True):
+            for t in batch.tolist():
                 x = tokens(t)
-                found = segments(np.fromiter(map(of.__getitem__, x), float, len(x))) if x else []
-                rows.append((None if i != i else i, len(x), [float(v) for _, _, v in found], [int(a) for a, _, _ in found], [int(b) for _, b, _ in found]))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "seg", "seg_from", "seg_to"], dtype=object)
+                found = [(a, b, e) for a, b, v in _best(of, x) if (e := model.log_e(len(x), v)) < 0]
+                evidence = -math.fsum(e for _, _, e in found)
+                rows.append((model.score(evidence), len(x), evidence, [int(f[0]) for f in found], [int(f[1]) for f in found], [float(f[2]) for f in found]))
+            yield pd.DataFrame(rows, columns=["score", "n_tokens", "evidence", "seg_from", "seg_to", "seg_e"])
 
     return run
 
@@ -182,50 +237,60 @@ def fit_logistic(x: np.ndarray, y1: np.ndarray, y0: np.ndarray) -> tuple[float,
     return float(a), float(max(b, 0.0))
 
 
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted, n_tokens, evidence, segments for every row of ``docs``.
-
-    ``segments`` holds (from, to, log_e) in tokens, for the segments with E < 1.
-    """
-    spark = docs.sparkSession
+def training_labels(labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
+    """(l_doc, toxic) of the rows to learn from: about ``most`` at most, by a hash of doc_id."""
     marks = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("l_doc")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     marks = marks.filter(~held_out(F.col("l_doc")))
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    train = texts.join(marks, F.col("doc_id") == F.col("l_doc")).select("text", "toxic").filter("text is not null")
-    counted = train.mapInPandas(_count, "bucket int, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    counted = counted.toPandas()  # at most BUCKETS rows of three numbers
-    n0, n1 = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    n0[counted["bucket"]], n1[counted["bucket"]] = counted["n0"], counted["n1"]
-    fit = n0.sum() > 0 and n1.sum() > 0
-    s = log_odds(n0, n1) if fit else np.zeros(BUCKETS)
-    s = s - (PENALTY + max(0.0, float((s * n0).sum() / max(n0.sum(), 1))))
-    lam = karlin_lambda(s, n0 + 1e-9) if fit else 1.0
-    shared = spark.sparkContext.broadcast(s.astype(np.float32))
-    scanned = materialise(texts.mapInPandas(_scan(shared), "doc_id long, n_tokens long, seg array<double>, seg_from array<int>, seg_to array<int>"), "segments")
-    trained = scanned.join(marks, F.col("doc_id") == F.col("l_doc"))
-    best = F.coalesce(F.array_max("seg"), F.lit(0.0))
+    n = marks.count()
+    return marks if n <= most else marks.filter(F.pmod(F.xxhash64("l_doc"), F.lit(1 << 20)) < int((1 << 20) * most / n))
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
+    """The model learnt from the labelled rows of ``docs`` that are not held out."""
+    marks = F.broadcast(training_labels(labels, most))  # of a bounded size
+    train = docs.select(F.col("doc_id").cast("long"), "text").filter("text is not null")
+    train = materialise(train.join(marks, F.col("doc_id") == F.col("l_doc")).select("text", "toxic"), "train")
+    counted = train.mapInPandas(_count, "block int, counts binary").groupBy("block").applyInPandas(_add, "block int, counts binary")
+    n = np.zeros((BUCKETS // SLICE, 2, SLICE), np.int64)
+    for r in counted.collect():  # BUCKETS / SLICE rows at most
+        n[r["block"]] = np.frombuffer(r["counts"], "<i8").reshape(2, SLICE)
+    n0, n1 = n[:, 0].ravel(), n[:, 1].ravel()
+    if not (n0.any() and n1.any()):
+        return Model(np.full(BUCKETS, -PENALTY, np.float32), 1.0)
+    s = log_odds(n0, n1)
+    s = s - (PENALTY + max(0.0, float((s * n0).sum() / n0.sum())))
+    model = Model(s.astype(np.float32), karlin_lambda(s, n0 + 1e-9))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    found = materialise(train.mapInPandas(_fit_scan(shared), "toxic int, n_tokens long, seg array<double>"), "segments")
+    shared.unpersist()
     # the extreme-value law P(best <= x) = exp(-K n exp(-lambda x)) gives K from clean documents
-    row = trained.filter("toxic = 0 and n_tokens > 0").agg(F.count(F.lit(1)).alias("d"), F.sum(F.col("n_tokens") * F.exp(-F.lit(lam) * best)).alias("m")).first()
-    k = max(row["d"], 1) / row["m"] if row["m"] else 1.0
-    log_e = lambda x: F.log(F.lit(k) * F.col("n_tokens")) - F.lit(lam) * x
+    lam, best = F.lit(model.lam), F.coalesce(F.array_max("seg"), F.lit(0.0))
+    row = found.filter("toxic = 0 and n_tokens > 0").agg(F.count(F.lit(1)).alias("d"), F.sum(F.col("n_tokens") * F.exp(-lam * best)).alias("m")).first()
+    model.k = max(row["d"], 1) / row["m"] if row["m"] else 1.0
+    log_e = lambda x: F.log(F.lit(model.k) * F.col("n_tokens")) - lam * x
     evidence = F.aggregate("seg", F.lit(0.0), lambda acc, x: acc + F.greatest(F.lit(0.0), -log_e(x)))
-    # squared-root scale: a few histogram cells hold any range of evidence
-    feature = F.sqrt(F.coalesce(evidence, F.lit(0.0)))
-    cell = F.least(F.floor(feature * 20), F.lit(BINS - 1)).cast("int")
-    hist = trained.groupBy(cell.alias("cell")).agg(F.sum("toxic").alias("y1"), F.count(F.lit(1)).alias("n")).toPandas()
-    if fit:
-        a, b = fit_logistic((hist["cell"].to_numpy(float) + 0.5) / 20, hist["y1"].to_numpy(float), (hist["n"] - hist["y1"]).to_numpy(float))
-        p = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.least(feature, F.lit(BINS / 20.0)))))
-    else:
-        p = F.lit(0.0)
-    found = F.filter(F.transform(F.arrays_zip("seg_from", "seg_to", "seg"), lambda x: F.struct(x["seg_from"].alias("from"), x["seg_to"].alias("to"), log_e(x["seg"]).alias("log_e"))), lambda x: x["log_e"] < 0)
-    return scanned.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), p.alias("score"), F.when(p >= 0.5, 1).otherwise(0).alias("predicted"), "n_tokens", F.coalesce(evidence, F.lit(0.0)).alias("evidence"), found.alias("segments"))
-
-
-def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    cell = F.least(F.floor(F.sqrt(F.coalesce(evidence, F.lit(0.0))) * 20), F.lit(BINS - 1)).cast("int")
+    hist = np.array([(r["cell"], r["y1"], r["n"]) for r in found.groupBy(cell.alias("cell")).agg(F.sum("toxic").alias("y1"), F.count(F.lit(1)).alias("n")).collect()], float)
+    model.curve = fit_logistic((hist[:, 0] + 0.5) / 20, hist[:, 1], hist[:, 2] - hist[:, 1])
+    return model
+
+
+def score(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
+    """doc_id, held_out, score, predicted, n_tokens, evidence, segments for every row of ``docs``.
+
+    ``segments`` holds (from, to, log_e) in tokens, for the segments with E < 1.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, most))
+    x = docs.select(F.col("doc_id").cast("long"), _scan(shared)("text").alias("x")).select("doc_id", "x.*")
+    parts = F.zip_with(F.arrays_zip("seg_from", "seg_to"), "seg_e", lambda s, e: F.struct(s["seg_from"].alias("from"), s["seg_to"].alias("to"), e.alias("log_e")))
+    return x.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "n_tokens", "evidence", parts.alias("segments"))
+
+
+def reject_toxic(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
     """``docs`` without the rows that :func:`score` predicts toxic."""
-    bad = score(docs, labels).filter("predicted = 1").select(F.col("doc_id").alias("__bad_doc")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("__bad_doc"), "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, most))
+    name = next(c for k in range(len(docs.columns) + 1) if (c := f"__scanned{k}") not in docs.columns)
+    return docs.withColumn(name, _scan(shared)("text")).filter(F.col(name)["score"] < 0.5).select(*docs.columns)
 
 
 def op1_toxicity(spark, sf_dir):
