@@ -48,8 +48,6 @@ WINDOW_WORDS = 15
 MIN_WORDS = 30
 #: A window has so many lines at most; a shorter one keeps the guarantee.
 MOST_LINES = 4
-#: Most runs of ``MIN_WORDS`` words have so many lines at most; longer ones take more steps.
-NEAR_LINES = 8
 
 #: A piece ends after a line feed, or after a full stop, mark or ellipsis before white space.
 #: (The first part alone rules out most places.)
@@ -66,17 +64,22 @@ def line_table(docs: DataFrame) -> DataFrame:
     A text without lines has empty arrays.
     """
     blank = F.lit(" \t\n\r\f\x0b")
-    lines = F.transform(pieces(F.lower("text")), lambda p, i: F.struct(i.alias("at"), F.trim(p, blank).alias("key")))
-    lines = F.filter(lines, lambda x: x["key"] != "")
-    # words, not spaces; where single spaces alone stand between words, their number says it
-    # (asked of the line, since a lambda would ask the whole text again for every line)
-    odd = lambda key: reduce(or_, [F.contains(key, F.lit(c)) for c in ("  ", "\t", "\r", "\f", "\x0b")])
-    spaces = lambda key: F.length(key) - F.length(F.replace(key, F.lit(" "), F.lit("")))
-    words = lambda key: F.when(odd(key), F.size(F.split(key, r"[\x20\x09-\x0D]+"))).otherwise(spaces(key) + 1)
-    lines = F.transform(lines, lambda x: F.struct(x["at"].alias("at"), F.xxhash64(x["key"]).alias("h"), words(x["key"]).alias("n")))
-    # no filter on the arrays: it would be pushed down, and the lines be made twice
-    df = docs.filter("text is not null and text != ''").select("doc_id", F.xxhash64("text").alias("mark"), lines.alias("x"))
-    return df.select("doc_id", "mark", F.col("x.at").alias("at"), F.col("x.h").alias("h"), F.col("x.n").alias("n"))
+    keys = F.transform(pieces(F.lower("text")), lambda p: F.trim(p, blank))
+    gaps = ["  ", "\t", "\r", "\f", "\x0b"]
+    odd = lambda c: reduce(or_, [F.contains(c, F.lit(x)) for x in gaps])
+    df = docs.filter("text is not null and text != ''").select("doc_id", F.xxhash64("text").alias("mark"), odd(F.col("text")).alias("odd"), keys.alias("keys"))
+    # words, not spaces; where single spaces alone stand between the words of a line, their
+    # number says it: few texts have other gaps and take the longer way
+    spaces = lambda key: F.octet_length(key) - F.octet_length(F.replace(key, F.lit(" "), F.lit(""))) + 1
+    words = lambda key: F.when(odd(key), F.size(F.split(key, r"[\x20\x09-\x0D]+"))).otherwise(spaces(key))
+    full = F.filter(F.transform("keys", lambda key, i: F.struct(i.alias("at"), key.alias("key"))), lambda x: x["key"] != "")
+    full = F.transform(full, lambda x: F.struct(x["at"].alias("at"), F.xxhash64(x["key"]).alias("h"), words(x["key"]).alias("n")))
+    df = df.select("doc_id", "mark", "keys", F.when(F.col("odd") | F.array_contains("keys", F.lit("")), full).alias("full"))
+    plain = F.col("full").isNull()
+    at = F.when(plain, F.sequence(F.lit(0), F.size("keys") - 1)).otherwise(F.col("full.at"))
+    h = F.when(plain, F.transform("keys", lambda key: F.xxhash64(key))).otherwise(F.col("full.h"))
+    n = F.when(plain, F.transform("keys", spaces)).otherwise(F.col("full.n"))
+    return df.select("doc_id", "mark", at.alias("at"), h.alias("h"), n.alias("n"))
 
 
 def _where(rows: DataFrame, condition, value, name: str) -> DataFrame:
@@ -127,42 +130,26 @@ def long_runs(marked: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     ``marked``: doc_id, mark, at, h, n and the sorted line numbers ``seen``.
     """
-    own = ["doc_id", "mark", "at", "h", "n"]
-    rows = marked.select(*own, "seen", F.posexplode("seen").alias("j", "p"))
-    last = F.least(F.coalesce(F.get("seen", F.col("j") + 1), F.size("h")) - 1, F.col("p") + min_words - 1)
-    first = F.greatest(F.coalesce(F.get("seen", F.col("j") - 1), F.lit(-1)) + 1, F.col("p") - min_words + 1)
-    rows = rows.select(*own, "p", first.alias("first"), last.alias("last"))
-    # a run from a line on counts for the first marked place in it, one up to a line for the last
-    rows = rows.select(*own, "p", "first", "last", F.explode(F.array(F.lit(1), F.lit(-1))).alias("way"))
-    rows = rows.select(*own, "p", "way", F.explode(F.when(F.col("way") == 1, F.sequence("first", "p")).otherwise(F.sequence("p", "last"))).alias("i"))
-    # from here on a row holds the next lines only, in text order, and not a whole document's
-    low = F.when(F.col("way") == 1, F.col("i")).otherwise(F.greatest(F.col("i") - min_words + 1, F.lit(0)))
-    rows = rows.select(*own, "p", "way", "i", low.alias("low"))
-    part = lambda c: F.slice(c, F.col("low") + 1, F.when(F.col("way") == 1, F.lit(min_words)).otherwise(F.col("i") - F.col("low") + 1))
-    rows = rows.select("doc_id", "mark", "p", "way", "i", "low", part("at").alias("at"), part("h").alias("h"), part("n").alias("n"))
-    own = ["doc_id", "mark", "p", "way", "i", "low", "at", "h"]
-    rows = rows.select(*own, F.when(F.col("way") == 1, F.col("n")).otherwise(F.reverse("n")).alias("n"))
-    # sums over the first lines in generated code; few rows have to walk over more lines
-    near = min(NEAR_LINES, min_words)
-    rows = rows.select(*own, "n", F.get("n", F.lit(0)).alias("w0"))
-    for k in range(1, near):
-        rows = rows.select("*", (F.col(f"w{k - 1}") + F.get("n", F.lit(k))).alias(f"w{k}"))
-    size, total = F, F
-    for k in range(near):
-        enough = F.col(f"w{k}") >= min_words
-        size, total = size.when(enough, k + 1), total.when(enough, F.col(f"w{k}"))
-    rows = rows.select(*own, "n", "w0", size.alias("size"), total.alias("total"), F.col(f"w{near - 1}").alias("so_far"))
-    # the sum so far and the lines taken are one number; a line has a word at least
-    low_part = F.lit((1 << 32) - 1)
-    walked = F.aggregate(F.slice("n", near + 1, min_words), F.col("so_far").cast("long") + (near << 32), lambda acc, x: F.when(acc.bitwiseAND(low_part) >= min_words, acc).otherwise(acc + x + (1 << 32)))
-    rows = rows.select(*own, "w0", "size", "total", F.when(F.col("size").isNull() & F.col("so_far").isNotNull(), walked).alias("walked"))
-    words = F.coalesce(F.col("total").cast("long"), F.col("walked").bitwiseAND(low_part))
-    rows = rows.select(*own, "w0", words.alias("total"), F.when(words >= min_words, F.coalesce("size", F.shiftright("walked", 32).cast("int"))).alias("size"))
+    own = ["doc_id", "mark", "at", "h", "n", "next"]
+    # for every line up to the last marked one, the first marked line from it on
+    gap = lambda p, k: F.array_repeat(p, p - F.coalesce(F.get("seen", k - 1), F.lit(-1)))
+    rows = marked.select("doc_id", "mark", "at", "h", "n", F.flatten(F.transform("seen", gap)).alias("next"))
+    # generated code from here on, in one method small enough to be compiled: a row looks at its
+    # neighbours in the document's arrays, in the one way and in the other
+    rows = rows.select(*own, F.posexplode("n").alias("i", "n0"))
+    rows = rows.select(*own, "i", F.coalesce("n0", F.lit(0)).alias("n0"), F.explode(F.array(F.lit(1), F.lit(-1))).alias("way"))
+    rows = rows.select(*own, "i", "n0", "way", F.col("n0").alias("sum"), F.lit(1).alias("size"))
+    for k in range(1, min_words):  # a line has a word at least
+        enough = F.col("sum") >= min_words
+        more = F.coalesce(F.get("n", F.col("i") + F.col("way") * k), F.lit(0))
+        rows = rows.select(*own, "i", "n0", "way", F.when(enough, F.col("sum")).otherwise(F.col("sum") + more).alias("sum"), F.when(enough, F.col("size")).otherwise(F.lit(k + 1)).alias("size"))
+    ahead = F.col("way") == 1
     # the shortest run up to a line is left out if it is also the shortest from its start on
-    good = (F.col("size") > F.abs(F.col("p") - F.col("i"))) & ((F.col("way") == 1) | (F.col("total") - F.col("w0") >= min_words))
-    rows = _where(rows, good, F.when(F.col("way") == 1, F.col("i")).otherwise(F.col("i") - F.col("size") + 1), "s")
-    at = F.col("s") - F.col("low")
-    return rows.select(F.xxhash64(F.slice("h", at + 1, F.col("size"))).alias("run"), "doc_id", "mark", "s", (F.col("s") + F.col("size")).alias("e"), F.get("at", at).alias("a"), (F.get("at", at + F.col("size") - 1) + 1).alias("b"))
+    good = (F.col("sum") >= min_words) & (ahead | (F.col("sum") - F.col("n0") >= min_words))
+    start = F.when(ahead, F.col("i")).otherwise(F.col("i") + 1 - F.col("size"))
+    rows = rows.select("doc_id", "mark", "at", "h", "next", "size", F.when(good, start).alias("s"))
+    rows = _where(rows.withColumnRenamed("s", "at_s"), F.get("next", "at_s") < F.col("at_s") + F.col("size"), F.col("at_s"), "s")
+    return rows.select(F.xxhash64(F.slice("h", F.col("s") + 1, F.col("size"))).alias("run"), "doc_id", "mark", "s", (F.col("s") + F.col("size")).alias("e"), F.get("at", "s").alias("a"), (F.get("at", F.col("s") + F.col("size") - 1) + 1).alias("b"))
 
 
 def repeated_runs(docs: DataFrame, gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
@@ -176,7 +163,8 @@ def repeated_runs(docs: DataFrame, gram_words: int = GRAM_WORDS, window_words: i
     # written, so that the join has a shuffle on either side and AQE can split a frequent key
     often = materialise(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("fp").alias("f_fp")), "often")
     seen = prints.join(often, F.col("fp") == F.col("f_fp")).groupBy(F.col("doc_id").alias("p_doc"), F.col("mark").alias("p_mark")).agg(F.array_sort(F.collect_set("pos")).alias("seen"))
-    marked = lines.join(seen, F.col("doc_id").eqNullSafe(F.col("p_doc")) & (F.col("mark") == F.col("p_mark"))).select("doc_id", "mark", "at", "h", "n", "seen")
+    # a document has one row on either side: hashing the smaller one spares sorting the larger
+    marked = lines.join(seen.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("p_doc")) & (F.col("mark") == F.col("p_mark"))).select("doc_id", "mark", "at", "h", "n", "seen")
     runs = materialise(long_runs(marked, min_words), "runs")
     place = F.struct("doc_id", "mark", "s")
     first = runs.groupBy("run").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("run").alias("f_run"), "first")
@@ -200,7 +188,7 @@ def dedup_lines(docs: DataFrame, gram_words: int = GRAM_WORDS, window_words: int
     """``docs`` with later repeated runs cut from ``text``, and n_cut (pieces cut)."""
     names = [c for c in docs.columns if c not in ("text", "n_cut")]
     runs = repeated_runs(docs.select("doc_id", "text"), gram_words, window_words, min_words).select(F.col("doc_id").alias("__r_doc"), F.col("mark").alias("__r_mark"), F.col("runs").alias("__runs"))
-    out = docs.join(runs, F.col("doc_id").eqNullSafe(F.col("__r_doc")) & (F.xxhash64("text") == F.col("__r_mark")), "left")
+    out = docs.join(runs.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__r_doc")) & (F.xxhash64("text") == F.col("__r_mark")), "left")
     # columns of their own, so that each is made once a row
     out = out.withColumn("__pieces", F.when(F.col("__runs").isNotNull(), pieces(F.col("text"))))
     p, gaps = F.col("__pieces"), F.col("__gaps")
