@@ -52,6 +52,9 @@ MOST_LINES = 4
 #: A piece ends after a line feed, or after a full stop, mark or ellipsis before white space.
 #: (The first part alone rules out most places.)
 BORDER = r"(?<=[\n.!?])(?:(?<=\n)|(?=[\x20\x09\x0B-\x0D]))"
+#: The same borders where single spaces and line feeds alone are white space, and none of them
+#: stands beside another: the white space at the border itself.
+PLAIN_BORDER = r"[\n\x20](?<![^.!?]\x20)"
 
 
 def pieces(text):
@@ -63,18 +66,23 @@ def line_table(docs: DataFrame) -> DataFrame:
 
     A text without lines has empty arrays.
     """
-    blank = F.lit(" \t\n\r\f\x0b")
-    keys = F.transform(pieces(F.lower("text")), lambda p: F.trim(p, blank))
-    gaps = ["  ", "\t", "\r", "\f", "\x0b"]
-    odd = lambda c: reduce(or_, [F.contains(c, F.lit(x)) for x in gaps])
-    df = docs.filter("text is not null and text != ''").select("doc_id", F.xxhash64("text").alias("mark"), odd(F.col("text")).alias("odd"), keys.alias("keys"))
-    # words, not spaces; where single spaces alone stand between the words of a line, their
-    # number says it: few texts have other gaps and take the longer way
+    # in most texts no white space stands beside another: their lines need no trimming, and the
+    # number of spaces says the number of words
+    gaps = ["  ", " \n", "\n ", "\t", "\r", "\f", "\x0b"]
+    odd = lambda c, gaps=gaps: reduce(or_, [F.contains(c, F.lit(x)) for x in gaps])
+    text = F.col("text")
+    unusual = odd(text) | F.startswith(text, F.lit(" ")) | F.endswith(text, F.lit(" "))
+    # no filter on the arrays: it would be pushed down, and the lines be made twice
+    df = docs.filter("text is not null and text != ''").select("doc_id", F.xxhash64("text").alias("mark"), F.lower("text").alias("low"), unusual.alias("unusual"))
+    df = df.select("doc_id", "mark", "low", F.when(~F.col("unusual"), F.split("low", PLAIN_BORDER)).alias("keys"))
+    plain = F.col("keys").isNotNull() & ~F.array_contains("keys", F.lit(""))
     spaces = lambda key: F.octet_length(key) - F.octet_length(F.replace(key, F.lit(" "), F.lit(""))) + 1
-    words = lambda key: F.when(odd(key), F.size(F.split(key, r"[\x20\x09-\x0D]+"))).otherwise(spaces(key))
-    full = F.filter(F.transform("keys", lambda key, i: F.struct(i.alias("at"), key.alias("key"))), lambda x: x["key"] != "")
+    words = lambda key: F.when(odd(key, ["  ", "\t", "\r", "\f", "\x0b"]), F.size(F.split(key, r"[\x20\x09-\x0D]+"))).otherwise(spaces(key))
+    blank = F.lit(" \t\n\r\f\x0b")
+    full = F.transform(pieces(F.col("low")), lambda p, i: F.struct(i.alias("at"), F.trim(p, blank).alias("key")))
+    full = F.filter(full, lambda x: x["key"] != "")
     full = F.transform(full, lambda x: F.struct(x["at"].alias("at"), F.xxhash64(x["key"]).alias("h"), words(x["key"]).alias("n")))
-    df = df.select("doc_id", "mark", "keys", F.when(F.col("odd") | F.array_contains("keys", F.lit("")), full).alias("full"))
+    df = df.select("doc_id", "mark", "keys", F.when(plain, F.lit(None)).otherwise(full).alias("full"))
     plain = F.col("full").isNull()
     at = F.when(plain, F.sequence(F.lit(0), F.size("keys") - 1)).otherwise(F.col("full.at"))
     h = F.when(plain, F.transform("keys", lambda key: F.xxhash64(key))).otherwise(F.col("full.h"))
