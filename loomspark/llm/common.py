@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: A word of a text, for Java's and Python's regular expressions alike.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 _own: dict[str, str] = {}
 
 
@@ -40,12 +40,16 @@ def shared_dir(spark: SparkSession) -> str:
     return _own["dir"]
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _delete_written() -> None:
-    for spark, path in _written:
+    for path, spark in _written.items():
         try:
-            jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session is gone: the folder's owner cleans up
             return
 
@@ -58,8 +62,21 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loom-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._loom_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete materialised tables of which everything made from them is written by now.
+
+    A table that a returned result still reads must stay; it goes when the interpreter ends.
+    """
+    for t in tables:
+        path = t.__dict__.pop("_loom_path", None)
+        if path and (spark := _written.pop(path, None)):
+            _delete(spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,11 +98,3 @@ def word_count(text):
     padded = F.concat(F.lit(" "), F.coalesce(text, F.lit("")))
     return (F.size(F.split(padded, r"[\x20\x09-\x0D](?=[^\x20\x09-\x0D])")) - 1).cast("long")
 
-
-def only(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns by exact name; other columns, clashing names included, go."""
-    return df.select(*[F.col(n) for n in names])
-
-
-def tmp_name(prefix: str) -> str:
-    return f"__{prefix}_{os.getpid()}"

@@ -1,7 +1,8 @@
 """Operator 6: line dedup by winnowing over line hashes.
 
-A *line* is a piece of text that ends at a line feed or after the end of a sentence; the
-pieces of a text joined again are the text.  Blank pieces do not count.  A line's hash is
+A *line* is a piece of text that ends at a line feed or after a punctuation mark (a clause):
+passages stand inside of lines, and whole clauses of them can be found.  The pieces of a text
+joined again are the text.  Blank pieces do not count.  A line's hash is
 that of its trimmed lower-case form and its weight is its number of words.
 
 1. Gram i is the shortest run of lines from i on with ``gram_words`` words or more.
@@ -30,7 +31,9 @@ folder; all joins are equi-joins that AQE can split.
 Defined results: null text stays null and empty text empty, both without lines; equal
 documents: the smallest doc_id keeps its text, the others lose all lines of a repeated run;
 rows that repeat a doc_id are told apart by their text, and identical rows are one document
-(all copies get the same result); other columns are passed through.
+(all copies get the same result); other columns are passed through, but an input column n_cut
+is replaced; a very long text or many equal lines cost two rows a line, and an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -41,7 +44,7 @@ from operator import or_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, release, table
 
 GRAM_WORDS = 15
 WINDOW_WORDS = 15
@@ -49,12 +52,13 @@ MIN_WORDS = 30
 #: A window has so many lines at most; a shorter one keeps the guarantee.
 MOST_LINES = 4
 
-#: A piece ends after a line feed, or after a full stop, mark or ellipsis before white space.
+#: A piece ends after a line feed, or after a punctuation mark of ASCII before white space.
 #: (The first part alone rules out most places.)
-BORDER = r"(?<=[\n.!?])(?:(?<=\n)|(?=[\x20\x09\x0B-\x0D]))"
+MARKS = r"!-/:-@\[-`{-~"
+BORDER = rf"(?<=[\n{MARKS}])(?:(?<=\n)|(?=[\x20\x09\x0B-\x0D]))"
 #: The same borders where single spaces and line feeds alone are white space, and none of them
 #: stands beside another: the white space at the border itself.
-PLAIN_BORDER = r"[\n\x20](?<![^.!?]\x20)"
+PLAIN_BORDER = rf"[\n\x20](?<![^{MARKS}]\x20)"
 
 
 def pieces(text):
@@ -166,7 +170,9 @@ def repeated_runs(docs: DataFrame, gram_words: int = GRAM_WORDS, window_words: i
         raise ValueError("min_words must be gram_words + window_words - 1 at least")
     lines = materialise(line_table(docs), "lines")
     if not lines.groupBy("doc_id", "mark").count().filter("count > 1").isEmpty():
-        lines = materialise(lines.dropDuplicates(["doc_id", "mark"]), "lines")
+        once = materialise(lines.dropDuplicates(["doc_id", "mark"]), "lines")
+        release(lines)
+        lines = once
     prints = materialise(fingerprints(lines, gram_words, window_words), "prints")
     # written, so that the join has a shuffle on either side and AQE can split a frequent key
     often = materialise(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("fp").alias("f_fp")), "often")
@@ -174,6 +180,7 @@ def repeated_runs(docs: DataFrame, gram_words: int = GRAM_WORDS, window_words: i
     # a document has one row on either side: hashing the smaller one spares sorting the larger
     marked = lines.join(seen.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("p_doc")) & (F.col("mark") == F.col("p_mark"))).select("doc_id", "mark", "at", "h", "n", "seen")
     runs = materialise(long_runs(marked, min_words), "runs")
+    release(lines, prints, often)
     place = F.struct("doc_id", "mark", "s")
     first = runs.groupBy("run").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("run").alias("f_run"), "first")
     first = materialise(first, "first")
