@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -165,12 +166,38 @@ def test_secrets(docs, spark):
         line = ",".join(x for _, _, x in sorted(spans))
         assert got[r.doc_id].base_sha256 == hashlib.sha256(line.encode()).hexdigest()
     assert got[11].n_markov == 1 and "markov" in got[11].spans
-    held = secrets.labelled_samples(spark, 3000).withColumn("n", F.monotonically_increasing_id())
-    ratio = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
-    t = F.col("text")
-    llr = F.aggregate(F.sequence(F.lit(1), F.length(t) - 1), F.lit(0.0), lambda a, i: a + F.get(ratio, secrets._place(t, i) * secrets.SIDE + secrets._place(t, i + 1))) / (F.length(t) - 1)
-    right = held.filter("length(text) >= 16").select(((llr > 0) == (F.col("label") == 1)).cast("int").alias("x")).agg(F.avg("x")).first()[0]
-    assert right > 0.95
+    held = secrets.labelled_samples(spark, 1500, salt=2).filter("length(text) >= 16")
+    least = secrets.threshold(secrets.labelled_samples(spark, 1500, salt=1), ratios)
+    hit = secrets.ratio(F.col("text"), secrets.literal(ratios)) > least
+    rates = {r.label: r.rate for r in held.groupBy("label").agg(F.avg(hit.cast("double")).alias("rate")).collect()}
+    assert rates[1] > 0.9 and rates[0] < 0.01
+
+
+def test_secrets_of_letters_alone(spark):
+    r = random.Random(12)
+    rand = ["".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(24)) for _ in range(50)]
+    ratios = secrets.train(secrets.labelled_samples(spark, 1500))
+    df = spark.createDataFrame([(i, f"key {x} end") for i, x in enumerate(rand)] + [(100, "internationalization misunderstandings get_user_name_list")], "doc_id long, text string")
+    got = {x.doc_id: x for x in secrets.scan(df, ratios, secrets.threshold(secrets.labelled_samples(spark, 1500, salt=1), ratios)).collect()}
+    assert sum(got[i].spans == "markov:4:28" for i in range(50)) > 45 and got[100].n_markov == 0
+
+
+def test_secrets_in_very_long_runs(spark):
+    """Time grows with the text: a megabyte of key characters, and ten thousand spans."""
+    r = random.Random(13)
+    long = "".join(r.choice("ABCDEFGHabcdefghijklmnop0123456789+/") for _ in range(1_000_000))
+    many = " ".join(f"AKIA{k:016d} {long[20 * k : 20 * k + 20]}" for k in range(5_000))
+    ratios = secrets.train(secrets.labelled_samples(spark, 600))
+    began = time.time()
+    got = {x.doc_id: x for x in secrets.scan(spark.createDataFrame([(0, long), (1, many)], "doc_id long, text string"), ratios).collect()}
+    assert time.time() - began < 60
+    assert "markov:0:" in got[0].spans or got[0].n_hex > 0
+    assert got[1].n_access == 5_000 and 4_000 < got[1].n_markov <= 5_000
+    spans = [tuple(x.split(":")) for x in got[1].spans.split(",")]
+    assert all(many[int(a) : int(b)].startswith("AKIA") for k, a, b in spans if k == "access")
+    taken = sorted((int(a), int(b)) for k, a, b in spans if k != "hex")
+    assert all(x[1] <= y[0] for x, y in zip(taken, taken[1:], strict=False))
+    assert secrets.scan(spark.createDataFrame([], "doc_id long, text string"), ratios).count() == 0
 
 
 def test_bpe_is_exact(docs):
