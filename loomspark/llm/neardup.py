@@ -25,9 +25,10 @@ Scale: the text is read once, plus once for the classes that share a group.  All
 between are rows of a few integers in the shared folder.
 
 Defined results: null and blank texts have an empty set and are linked with nothing;
-repeated rows are copies; with fewer words than five the whole sequence is the one
-shingle; a null doc_id links with nothing (component and kept null); texts whose class has
-the same smallest doc_id are one node; other columns are ignored.
+repeated rows are copies; with fewer words than five the whole sequence is the one shingle;
+a null doc_id links with nothing (component and kept null); texts whose class has the same
+smallest doc_id are one node; a very long text is one set, in memory by itself; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, release, table
 
 N_HASH, ROWS, BANDS, SHINGLE = 128, 5, 20, 5
 #: Defaults, which go with ROWS and BANDS; a lower threshold needs shorter bands.
@@ -108,7 +109,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
-def _signatures(ids: list, sets: list[np.ndarray], n_bands: int = BANDS, n_rows: int = ROWS) -> pd.DataFrame:
+def _signatures(ids: list, marks: list, sets: list[np.ndarray], n_bands: int = BANDS, n_rows: int = ROWS) -> pd.DataFrame:
     full = [s for s in sets if len(s)]
     bands, sigs, keys = iter(()), iter(()), iter(())
     if full:
@@ -122,29 +123,29 @@ def _signatures(ids: list, sets: list[np.ndarray], n_bands: int = BANDS, n_rows:
         bands, sigs = iter(_signed(b)), iter(_signed(np.concatenate(planes, axis=1)))
         keys = ((int(_signed(_mix(s).sum(keepdims=True))[0]), int(_signed(np.bitwise_xor.reduce(_mix(s * _P), keepdims=True))[0])) for s in full)
     rows = []
-    for i, s in zip(ids, sets, strict=True):
+    for i, m, s in zip(ids, marks, sets, strict=True):
         if len(s):
-            rows.append((i, len(s), *next(keys), next(bands), next(sigs)))
+            rows.append((i, m, len(s), *next(keys), next(bands), next(sigs)))
         else:
-            rows.append((i, 0, None, None, None, None))
-    out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "k1", "k2", "bands", "sig"], dtype=object)
-    return out
+            rows.append((i, m, 0, None, None, None, None))
+    return pd.DataFrame(rows, columns=["doc_id", "mark", "n_shingles", "k1", "k2", "bands", "sig"], dtype=object)
 
 
 def _sign(n_bands: int, n_rows: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids, sets, held = [], [], 0
-            for i, t in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), strict=True):
+            ids, marks, sets, held = [], [], [], 0
+            for i, m, t in zip(pdf["doc_id"].tolist(), pdf["mark"].tolist(), pdf["text"].tolist(), strict=True):
                 s = shingles(t)
                 ids.append(None if i != i else i)
+                marks.append(m)
                 sets.append(s)
                 held += len(s)
                 if held > 200_000 or len(ids) >= 2000:
-                    yield _signatures(ids, sets, n_bands, n_rows)
-                    ids, sets, held = [], [], 0
+                    yield _signatures(ids, marks, sets, n_bands, n_rows)
+                    ids, marks, sets, held = [], [], [], 0
             if ids:
-                yield _signatures(ids, sets, n_bands, n_rows)
+                yield _signatures(ids, marks, sets, n_bands, n_rows)
 
     return run
 
@@ -152,7 +153,7 @@ def _sign(n_bands: int, n_rows: int):
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     if bands * rows > N_HASH:
         raise ValueError(f"bands * rows must be {N_HASH} at most")
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(_sign(bands, rows), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sig array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), "text").mapInPandas(_sign(bands, rows), "doc_id long, mark long, n_shingles long, k1 long, k2 long, bands array<long>, sig array<long>")
 
 
 def estimate(a: str, b: str):
@@ -163,31 +164,39 @@ def estimate(a: str, b: str):
 
 
 def _confirm(percent: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, np.ndarray] = {}
-        size = 0
-
-        def of(text: str) -> np.ndarray:
-            nonlocal size
-            if (s := held.get(text)) is None:
-                if size > 2_000_000:
-                    held.clear()
-                    size = 0
-                s = held[text] = shingles(text)
-                size += len(s) + len(text) // 8
-            return s
+    """Rows sorted by pivot and block, the pivot's own texts first: one set is held at a time."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, pivots = None, []
         for pdf in batches:
-            keep = []
-            for a, b in zip(pdf["ta"].tolist(), pdf["tb"].tolist(), strict=True):
-                x, y = of(a), of(b)
-                both = np.intersect1d(x, y, assume_unique=True).size
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pdf.loc[keep, ["a", "b"]]
+            out = []
+            for a, blk, b, t in zip(pdf["a"].tolist(), pdf["blk"].tolist(), pdf["b"].tolist(), pdf["text"].tolist(), strict=True):
+                if (a, blk) != now:
+                    now, pivots = (a, blk), []
+                x = shingles(t)
+                if a == b:
+                    pivots.append(x)
+                elif any(100 * (both := np.intersect1d(x, y, assume_unique=True).size) >= percent * (len(x) + len(y) - both) for y in pivots):
+                    out.append((a, b))
+            yield pd.DataFrame(out, columns=["u", "v"]).astype("int64")
 
     return run
 
 
+def pivot_links(pairs: DataFrame, text: DataFrame, percent: int) -> DataFrame:
+    """u, v: those of the ``pairs`` (a: pivot, b) that their full texts confirm.
+
+    The members of a pivot are dealt to blocks of about ``BLOCK``; the pivot's text goes to each
+    block once, not to each pair, so that a group of any size is spread over tasks.
+    """
+    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).withColumnRenamed("a", "n_a")
+    dealt = pairs.join(many, F.col("a") == F.col("n_a")).select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("blk"), "b")
+    own = many.select(F.col("n_a").alias("a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk"), F.col("n_a").alias("b"))
+    rows = dealt.unionByName(own).join(text, F.col("b") == F.col("class")).select("a", "blk", "b", "text")
+    rows = rows.repartition("a", "blk").sortWithinPartitions("a", "blk", F.col("a") != F.col("b"))
+    return rows.mapInPandas(_confirm(percent), "u long, v long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(u, v) -> (node, root): equal roots for connected nodes; the root is the least node."""
     edges = materialise(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u < v").distinct(), "edges")
@@ -200,9 +209,11 @@ def components(edges: DataFrame) -> DataFrame:
         step = both.groupBy("x").agg(F.min(order("y")).alias("m")).select("x", F.when(F.struct(F.col("m.col1"), F.col("m.y")) < order("x"), F.col("m.y")).otherwise(F.col("x")).alias("to"))
         step = materialise(step, "step")
         a, b = step.select(F.col("x").alias("ax"), F.col("to").alias("at_u")), step.select(F.col("x").alias("bx"), F.col("to").alias("at_v"))
+        before = edges, nodes
         edges = edges.join(a, F.col("u") == F.col("ax")).join(b, F.col("v") == F.col("bx")).select(F.least("at_u", "at_v").alias("u"), F.greatest("at_u", "at_v").alias("v")).filter("u < v").distinct()
         edges = materialise(edges, "edges")
         nodes = materialise(nodes.join(step, F.col("at") == F.col("x"), "left").select("node", F.coalesce("to", "at").alias("at")), "nodes")
+        release(*before, step)
     roots = nodes.groupBy("at").agg(F.min("node").alias("root"))
     return nodes.join(roots, "at").select("node", "root")
 
@@ -260,9 +271,7 @@ def link_classes(sigs: DataFrame, texts: DataFrame, percent: int = LINK_PERCENT)
     needed = member.select(F.col("class").alias("need")).distinct()
     text = texts.join(needed, F.col("class") == F.col("need"), "left_semi").withColumn("mark", F.xxhash64("text"))
     text = materialise(text.dropDuplicates(["class", "mark"]).drop("mark"), "texts")
-    ta, tb = text.select(F.col("class").alias("xa"), F.col("text").alias("ta")), text.select(F.col("class").alias("xb"), F.col("text").alias("tb"))
-    held = pairs.join(ta, F.col("a") == F.col("xa")).join(tb, F.col("b") == F.col("xb")).select("a", "b", "ta", "tb")
-    links = materialise(held.mapInPandas(_confirm(percent), "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    links = materialise(pivot_links(pairs, text, percent), "links")
     roots = materialise(components(links), "roots")
     # pivots have met all their group; of the others, those outside the group's largest
     # component (the left side) meet every member of another component
@@ -289,8 +298,8 @@ def link_classes(sigs: DataFrame, texts: DataFrame, percent: int = LINK_PERCENT)
 
 
 def near_duplicates(docs: DataFrame, percent: int = LINK_PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs``; linked are documents
-    with a similarity of ``percent`` hundredths and more."""
+    """doc_id, mark, n_shingles, component_id, kept for every row of ``docs``; linked are documents
+    with a similarity of ``percent`` hundredths and more.  ``mark`` is the xxhash64 of the text."""
     sigs = materialise(signatures(docs, bands, rows), "sigs")
     key = ["k1", "k2", "n_shingles"]
     full = sigs.filter("n_shingles > 0 and doc_id is not null")
@@ -303,8 +312,8 @@ def near_duplicates(docs: DataFrame, percent: int = LINK_PERCENT, bands: int = B
     roots = link_classes(held.select("class", "bands", "sig"), texts, percent)
     placed = placed.join(roots, F.col("class") == F.col("node"), "left")
     comp = F.coalesce("root", "class", "doc_id")
-    return placed.select("doc_id", "n_shingles", comp.alias("component_id"), (F.col("doc_id") == comp).alias("kept"))
+    return placed.select("doc_id", "mark", "n_shingles", comp.alias("component_id"), (F.col("doc_id") == comp).alias("kept"))
 
 
 def op2_neardup(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("mark")
