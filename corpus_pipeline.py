@@ -30,12 +30,13 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (similarity 0.80 and more) stays: the one with
-    the smallest doc_id."""
-    gone = neardup.near_duplicates(docs, percent=80, bands=32, rows=4).filter("not kept").select(F.col("doc_id").alias("__gone_id")).distinct()
-    rest = docs.join(gone, F.col("doc_id") == F.col("__gone_id"), "left_anti")
-    # rows that repeat the kept doc_id are copies as well; a null doc_id belongs to no group
-    named = rest.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(rest.filter("doc_id is null"))
+    the smallest doc_id.  Rows are told apart by doc_id and text; equal rows are copies too,
+    and a row without doc_id belongs to no group."""
+    gone = neardup.near_duplicates(docs, percent=80, bands=32, rows=4).filter("not kept").select(F.col("doc_id").alias("__gone_id"), F.col("mark").alias("__gone_mark")).distinct()
+    marked = docs.withColumn("__mark", F.xxhash64("text"))
+    rest = marked.join(gone, (F.col("doc_id") == F.col("__gone_id")) & (F.col("__mark") == F.col("__gone_mark")), "left_anti")
+    named = rest.filter("doc_id is not null").dropDuplicates(["doc_id", "__mark"])
+    return named.unionByName(rest.filter("doc_id is null")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
