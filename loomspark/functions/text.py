@@ -47,9 +47,14 @@ def uuid5(namespace: str, name):
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
 
 
+def framed_bytes(c):
+    """Bytes behind their length in eight big-endian bytes."""
+    return F.concat(F.unhex(F.lpad(F.hex(F.octet_length(c).cast("long")), 16, "0")), c)
+
+
 def framed(c):
     """A string as UTF-8 bytes behind its length in eight big-endian bytes."""
-    return F.concat(F.unhex(F.lpad(F.hex(F.octet_length(c).cast("long")), 16, "0")), c.cast("binary"))
+    return framed_bytes(c.cast("binary"))
 
 
 def timestamp_ms(c):

@@ -106,11 +106,16 @@ def derived(events: DataFrame, prefix: str = "opencode.v1.", kinds: tuple[str, .
 
 def ordered_runtime(events: DataFrame) -> DataFrame:
     """session_id, seq, event_type -> what the runtime emits: a first observation starts its
-    session, nothing follows an end, a second start is dropped."""
+    session, nothing follows an end, a second start is dropped, and so is the end of a session
+    that never started."""
     past = Window.partitionBy("session_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     n = lambda cond: F.coalesce(F.sum(F.when(cond, 1).otherwise(0)).over(past), F.lit(0))
-    df = events.withColumns({"ended": n(F.col("event_type") == "session_end") > 0, "started": n(F.col("event_type") != "session_end") > 0})
-    emit = F.when(F.col("ended"), F.array().cast("array<string>")).when((F.col("event_type") == "session_start") & F.col("started"), F.array().cast("array<string>")).when((F.col("event_type") == "observation") & ~F.col("started"), F.array(F.lit("session_start"), F.lit("observation"))).otherwise(F.array("event_type"))
+    end = F.col("event_type") == "session_end"
+    df = events.withColumn("started", n(~end) > 0)
+    df = df.withColumn("ended", n(end & F.col("started")) > 0)
+    none = F.array().cast("array<string>")
+    dropped = F.col("ended") | ((F.col("event_type") == "session_start") & F.col("started")) | (end & ~F.col("started"))
+    emit = F.when(dropped, none).when((F.col("event_type") == "observation") & ~F.col("started"), F.array(F.lit("session_start"), F.lit("observation"))).otherwise(F.array("event_type"))
     return df.select("session_id", "seq", F.posexplode(emit).alias("ordinal", "emitted"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import limits
-from ..functions.text import framed, trim_unicode, uuid5
+from ..functions.text import framed, framed_bytes, trim_unicode, uuid5
 
 REVISION_NAMESPACE = "5b0c1c54-31a4-5f0c-9f0e-6f3e0a9d2c11"
 ACTIVE = ("claimed", "staged", "publishing")
@@ -61,18 +61,27 @@ def memory_scope(observations: DataFrame, prior: DataFrame) -> DataFrame:
 
 
 def claim(attempts: DataFrame, requests: DataFrame, now, lease_seconds: int = limits.LEASE_SECONDS) -> DataFrame:
-    """requests (session_id, source_revision, token) -> outcome per request: a due retryable
-    attempt is claimed again, else one with an expired lease (its state stays), else a new
-    one is inserted unless the session has a non-terminal attempt or the revision exists."""
-    a = attempts.select(F.col("session_id").alias("a_session"), F.col("source_revision").alias("a_revision"), "state", "lease_expires_at", "next_attempt_at")
-    same = a.filter(F.col("state").isNotNull()).withColumnRenamed("a_revision", "rev")
-    j = requests.join(same, F.col("source_revision") == F.col("rev"), "left")
-    busy = attempts.filter(F.col("state").isin(*ACTIVE, "retryable")).select(F.col("session_id").alias("b_session")).distinct().withColumn("busy", F.lit(True))
-    j = j.join(busy, F.col("session_id") == F.col("b_session"), "left")
-    outcome = F.when((F.col("state") == "retryable") & (F.col("next_attempt_at") <= now), "reclaimed_retryable").when(F.col("state").isin(*ACTIVE) & (F.col("lease_expires_at") <= now), "reclaimed_expired").when(F.col("rev").isNull() & F.col("busy").isNull(), "inserted").otherwise("not_claimed")
-    new_state = F.when(outcome.isin("reclaimed_retryable", "inserted"), "claimed").when(outcome == "reclaimed_expired", F.col("state"))
-    lease = F.when(outcome != "not_claimed", now + F.make_interval(secs=F.lit(lease_seconds)))
-    return j.select("session_id", "source_revision", "token", outcome.alias("outcome"), new_state.alias("new_state"), lease.alias("lease_expires_at"))
+    """requests (ordinal, session_id, source_revision, token) -> outcome per request.
+
+    A session has one open attempt at most.  If that is retryable and due, or its lease has run
+    out (its state stays), the session's first request takes it over, whatever revision it asks
+    for: ``claimed_revision`` is the attempt's own.  Without an open attempt the first request
+    whose revision is stored nowhere yet is inserted.  All others are not claimed."""
+    open_ = attempts.filter(F.col("state").isin(*ACTIVE, "retryable")).select("session_id", F.col("source_revision").alias("held"), "state", F.col("lease_expires_at").alias("lease"), "next_attempt_at")
+    known = attempts.select("source_revision").distinct().withColumn("known", F.lit(True))
+    j = requests.join(open_, "session_id", "left").join(known, "source_revision", "left")
+    per = Window.partitionBy("session_id")
+    first = F.row_number().over(per.orderBy("ordinal")) == 1
+    fresh = F.col("known").isNull()
+    first_fresh = F.row_number().over(per.orderBy(fresh.desc(), "ordinal")) == 1
+    due, over = (F.col("state") == "retryable") & (F.col("next_attempt_at") <= now), F.col("state").isin(*ACTIVE) & (F.col("lease") <= now)
+    j = j.withColumns({"first": first, "first_fresh": first_fresh & fresh})
+    outcome = F.when(F.col("first") & due, "reclaimed_retryable").when(F.col("first") & over, "reclaimed_expired").when(F.col("held").isNull() & F.col("first_fresh"), "inserted").otherwise("not_claimed")
+    j = j.withColumn("outcome", outcome)
+    revision_of = F.when(F.col("outcome") == "inserted", F.col("source_revision")).when(F.col("outcome") != "not_claimed", F.col("held"))
+    state = F.when(F.col("outcome").isin("reclaimed_retryable", "inserted"), "claimed").when(F.col("outcome") == "reclaimed_expired", F.col("state"))
+    lease = F.when(F.col("outcome") != "not_claimed", now + F.make_interval(secs=F.lit(lease_seconds)))
+    return j.select("ordinal", "session_id", "source_revision", "token", "outcome", revision_of.alias("claimed_revision"), state.alias("new_state"), lease.alias("lease_expires_at"))
 
 
 def renew(attempts: DataFrame, token: str, now, lease_seconds: int = limits.LEASE_SECONDS) -> DataFrame:
@@ -99,7 +108,8 @@ def candidates(generated: DataFrame, namespace: str = REVISION_NAMESPACE) -> Dat
     body = F.concat(framed(F.lit("1")), framed(F.col("type")), framed(F.col("title")), framed(F.col("content")), F.aggregate(F.transform("concepts", framed), F.unhex(F.lit("")), lambda a, x: F.concat(a, x)))
     df = df.withColumn("fingerprint", F.sha2(body, 256))
     out = df.groupBy("session_id", "fingerprint").agg(F.min(F.struct("type", "title", "content", "concepts")).alias("c"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("receipts")))).alias("receipts"))
-    ident = F.concat(framed(F.col("session_id")), framed(F.col("fingerprint")))
+    # the digest itself is framed, not its hexadecimal text
+    ident = F.concat(framed(F.col("session_id")), framed_bytes(F.unhex("fingerprint")))
     pos = F.row_number().over(Window.partitionBy("session_id").orderBy("fingerprint")) - 1
     return out.select("session_id", pos.alias("ordinal"), "fingerprint", uuid5(namespace, ident).alias("memory_id"), "c.*", "receipts")
 
@@ -120,13 +130,53 @@ def promote(attempts: DataFrame, staged: DataFrame, records: DataFrame) -> tuple
     return merged, ready.select("attempt_id", "session_id")
 
 
-def retry(attempts: DataFrame, failures: DataFrame, now) -> DataFrame:
-    """failures (attempt_id, category, jitter_ms) -> next state and attempt time: repository
-    failures wait for the lease to end, others 60 s and jitter, to the full second."""
+#: Failure categories with the stage they arise in and when they may be tried again.
+FAILURES = (
+    ("invalid_configuration", "startup", "never"),
+    ("registration_mismatch", "startup", "never"),
+    ("source_conflict", "source", "never"),
+    ("lease_lost", "lease", "after_lease_expiry"),
+    ("provider_transient", "provider", "after_backoff"),
+    ("provider_contract", "provider", "after_backoff"),
+    ("provider_authentication", "provider", "after_backoff"),
+    ("provider_unsupported_contract", "provider", "after_backoff"),
+    ("provider_request_size", "provider", "after_backoff"),
+    ("memory_unknown", "memory", "after_backoff"),
+    ("memory_mismatch", "memory", "after_backoff"),
+    ("repository_invocation", "repository", "after_lease_expiry"),
+    ("repository_unconfirmed_commit", "repository", "after_lease_expiry"),
+    ("repository_invalid_response", "repository", "after_lease_expiry"),
+)
+
+
+def failure_taxonomy(spark) -> DataFrame:
+    return spark.createDataFrame(list(FAILURES), "category string, stage string, retryability string")
+
+
+def fenced(attempts: DataFrame, requests: DataFrame, states: tuple[str, ...] = ACTIVE) -> DataFrame:
+    """requests (attempt_id, lease_token, session_id, source_revision, ...) joined with the
+    attempts that agree in all four and are in one of ``states``."""
+    keys = ["attempt_id", "lease_token", "session_id", "source_revision"]
+    return requests.join(attempts.filter(F.col("state").isin(*states)), keys)
+
+
+def retry(attempts: DataFrame, failures: DataFrame, now, lease_seconds: int = limits.LEASE_SECONDS) -> DataFrame:
+    """failures (attempt_id, lease_token, session_id, source_revision, category, jitter_ms) ->
+    attempt_id, outcome, state, next_attempt_at, a row per failure.
+
+    The lease is renewed first, and so has to be held still.  Repository failures wait for the
+    renewed lease to end, provider and memory failures 60 s and the jitter (10 s at most), to the
+    full second.  A lost lease, a category that is never tried again, an attempt in another
+    state or of another token, session or revision: skipped, and nothing changes."""
+    spark = attempts.sparkSession
+    keys = ["attempt_id", "lease_token", "session_id", "source_revision"]
+    ok = attempts.filter(F.col("state").isin(*ACTIVE) & (F.col("lease_expires_at") > now)).select(*keys, F.lit(True).alias("held"))
+    stored = attempts.select("attempt_id", "state", F.col("next_attempt_at").alias("stored_next"))
+    j = failures.join(ok, keys, "left").join(stored, "attempt_id", "left").join(F.broadcast(failure_taxonomy(spark)), "category", "left")
     later = F.timestamp_seconds(F.ceil((F.unix_millis(now) + 60_000 + F.least("jitter_ms", F.lit(10_000))) / 1000))
-    j = failures.join(attempts.select("attempt_id", "lease_expires_at", "state"), "attempt_id")
-    when = F.when(F.col("category") == "lease_lost", F.lit(None).cast("timestamp")).when(F.col("category") == "repository", F.col("lease_expires_at")).otherwise(later)
-    return j.select("attempt_id", F.when(F.col("category") == "lease_lost", F.col("state")).otherwise("retryable").alias("state"), "category", when.alias("next_attempt_at"))
+    go = F.coalesce(F.col("held") & (F.col("category") != "lease_lost") & (F.col("retryability") != "never"), F.lit(False))
+    when = F.when(F.col("stage") == "repository", now + F.make_interval(secs=F.lit(lease_seconds))).otherwise(later)
+    return j.select("attempt_id", "category", F.when(go, "retryable").otherwise("skipped").alias("outcome"), F.when(go, "retryable").otherwise(F.col("state")).alias("state"), F.when(go, when).otherwise(F.col("stored_next")).alias("next_attempt_at"))
 
 
 def chunks(entries: DataFrame, budget: int = limits.CHUNK_BYTES) -> DataFrame:

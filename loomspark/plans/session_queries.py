@@ -81,14 +81,29 @@ ATTEMPTS = f"""att AS (SELECT 'a' || c_custkey AS attempt_id, CASE WHEN c_custke
  TIMESTAMP '{X.NOW}' + to_minutes(c_custkey % 7 - 3) AS lease_expires_at, CASE WHEN c_custkey % 6 = 3 THEN TIMESTAMP '{X.NOW}' + to_minutes(c_custkey % 5 - 2) END AS next_attempt_at, c_custkey % 4 AS lifecycle_count, c_custkey % 9 AS observation_count FROM customer)"""
 
 
+def _one_open(spark, d):
+    """Attempts as the claim finds them: one open attempt a session at most."""
+    k = F.substring("attempt_id", 2, 20).cast("long")
+    return _attempts(spark, d).filter((k % 6 >= 4) | ((F.floor(k / 2) % 2 == 0) == (k % 6).isin(0, 3)))
+
+
+ONE_OPEN = "one AS (SELECT * FROM att WHERE CAST(substr(attempt_id, 2) AS BIGINT) % 6 >= 4 OR (CAST(substr(attempt_id, 2) AS BIGINT) // 2 % 2 = 0) = (CAST(substr(attempt_id, 2) AS BIGINT) % 6 IN (0, 3)))"
+
+
 @query(
     "session_claim_states",
-    f"WITH {ATTEMPTS}, req AS (SELECT 's' || CAST(c_custkey // 2 AS BIGINT) AS session_id, CASE WHEN c_custkey % 5 = 0 THEN 'x' ELSE 'r' END || c_custkey AS source_revision FROM customer), busy AS (SELECT DISTINCT session_id FROM att WHERE state IN ('claimed', 'staged', 'publishing', 'retryable')) SELECT q.session_id, q.source_revision, CASE WHEN a.state = 'retryable' AND a.next_attempt_at <= TIMESTAMP '{X.NOW}' THEN 'reclaimed_retryable' WHEN a.state IN ('claimed', 'staged', 'publishing') AND a.lease_expires_at <= TIMESTAMP '{X.NOW}' THEN 'reclaimed_expired' WHEN a.session_id IS NULL AND b.session_id IS NULL THEN 'inserted' ELSE 'not_claimed' END AS outcome FROM req q LEFT JOIN att a ON a.source_revision = q.source_revision LEFT JOIN busy b ON b.session_id = q.session_id",
+    f"""WITH {ATTEMPTS}, {ONE_OPEN}, req AS (SELECT c_custkey AS ordinal, CASE WHEN c_custkey % 10 = 7 THEN 'n' || c_custkey // 20 ELSE 's' || c_custkey // 2 END AS session_id, CASE WHEN c_custkey % 5 IN (0, 2) THEN 'x' ELSE 'r' END || c_custkey AS source_revision FROM customer),
+ open AS (SELECT * FROM one WHERE state NOT IN ('complete', 'superseded')),
+ due AS (SELECT q.*, o.state, o.source_revision AS held, row_number() OVER (PARTITION BY q.session_id ORDER BY ordinal) AS nr FROM req q JOIN open o USING (session_id) WHERE (o.state = 'retryable' AND o.next_attempt_at <= TIMESTAMP '{X.NOW}') OR (o.state != 'retryable' AND o.lease_expires_at <= TIMESTAMP '{X.NOW}')),
+ new AS (SELECT ordinal, row_number() OVER (PARTITION BY session_id ORDER BY ordinal) AS nr FROM req q WHERE NOT EXISTS (SELECT 1 FROM open o WHERE o.session_id = q.session_id) AND NOT EXISTS (SELECT 1 FROM one o WHERE o.source_revision = q.source_revision))
+ SELECT q.ordinal, q.session_id, q.source_revision, CASE WHEN u.state = 'retryable' THEN 'reclaimed_retryable' WHEN u.state IS NOT NULL THEN 'reclaimed_expired' WHEN n.nr IS NOT NULL THEN 'inserted' ELSE 'not_claimed' END AS outcome, CASE WHEN u.nr IS NOT NULL THEN u.held WHEN n.nr IS NOT NULL THEN q.source_revision END AS claimed_revision, CASE WHEN u.state = 'retryable' OR n.nr IS NOT NULL THEN 'claimed' ELSE u.state END AS new_state
+ FROM req q LEFT JOIN due u ON u.ordinal = q.ordinal AND u.nr = 1 LEFT JOIN new n ON n.ordinal = q.ordinal AND n.nr = 1""",
 )
 def session_claim_states(spark, d):
     k = F.col("c_custkey")
-    req = X.read(spark, d, "customer").select(F.concat(F.lit("s"), F.floor(k / 2)).alias("session_id"), F.concat(F.when(k % 5 == 0, "x").otherwise("r"), k).alias("source_revision"), F.lit("t").alias("token"))
-    return P.claim(_attempts(spark, d), req, X.now()).select("session_id", "source_revision", "outcome")
+    session = F.when(k % 10 == 7, F.concat(F.lit("n"), F.floor(k / 20))).otherwise(F.concat(F.lit("s"), F.floor(k / 2)))
+    req = X.read(spark, d, "customer").select(k.alias("ordinal"), session.alias("session_id"), F.concat(F.when((k % 5).isin(0, 2), "x").otherwise("r"), k).alias("source_revision"), F.lit("t").alias("token"))
+    return P.claim(_one_open(spark, d), req, X.now()).select("ordinal", "session_id", "source_revision", "outcome", "claimed_revision", "new_state")
 
 
 @query("session_renew", f"WITH {ATTEMPTS} SELECT attempt_id, CASE WHEN lease_token = 't1' AND state IN ('claimed', 'staged', 'publishing') AND lease_expires_at > TIMESTAMP '{X.NOW}' THEN TIMESTAMP '{X.NOW}' + INTERVAL 600 SECOND ELSE lease_expires_at END AS lease_expires_at FROM att")
@@ -107,12 +122,25 @@ def session_promote(spark, d):
     return P.promote(a, staged, records)[1]
 
 
-@query("session_retry", f"WITH {ATTEMPTS} SELECT attempt_id, CASE CAST(substr(attempt_id, 2) AS BIGINT) % 3 WHEN 0 THEN state ELSE 'retryable' END AS state, CASE CAST(substr(attempt_id, 2) AS BIGINT) % 3 WHEN 0 THEN NULL WHEN 1 THEN lease_expires_at ELSE TIMESTAMP '{X.NOW}' + to_seconds(60 + CAST(ceil(least(CAST(substr(attempt_id, 2) AS BIGINT) * 7, 10000) / 1000.0) AS BIGINT)) END AS next_attempt_at FROM att")
+_CATEGORY = "['lease_lost', 'repository_invocation', 'provider_transient', 'memory_mismatch', 'source_conflict'][k % 5 + 1]"
+
+
+@query(
+    "session_retry",
+    f"""WITH {ATTEMPTS}, f AS (SELECT *, CAST(substr(attempt_id, 2) AS BIGINT) AS k FROM att), g AS (SELECT *, {_CATEGORY} AS category, CASE WHEN k % 17 = 0 THEN 'other' ELSE lease_token END = lease_token AND k % 19 != 0 AND state IN ('claimed', 'staged', 'publishing') AND lease_expires_at > TIMESTAMP '{X.NOW}' AS held FROM f), h AS (SELECT *, held AND category NOT IN ('lease_lost', 'source_conflict') AS go FROM g)
+ SELECT attempt_id, category, CASE WHEN go THEN 'retryable' ELSE 'skipped' END AS outcome, CASE WHEN go THEN 'retryable' ELSE state END AS state, CASE WHEN NOT go THEN next_attempt_at WHEN category = 'repository_invocation' THEN TIMESTAMP '{X.NOW}' + INTERVAL 600 SECOND ELSE TIMESTAMP '{X.NOW}' + to_seconds(60 + CAST(ceil(least(k * 7, 10000) / 1000.0) AS BIGINT)) END AS next_attempt_at FROM h""",
+)
 def session_retry(spark, d):
     a = _attempts(spark, d)
     k = F.substring("attempt_id", 2, 20).cast("long")
-    f = a.select("attempt_id", F.when(k % 3 == 0, "lease_lost").when(k % 3 == 1, "repository").otherwise("provider").alias("category"), (k * 7).alias("jitter_ms"))
-    return P.retry(a, f, X.now()).select("attempt_id", "state", F.col("next_attempt_at").cast("timestamp_ntz").alias("next_attempt_at"))
+    category = F.element_at(F.array(*[F.lit(c) for c in ("lease_lost", "repository_invocation", "provider_transient", "memory_mismatch", "source_conflict")]), (k % 5 + 1).cast("int"))
+    f = a.select("attempt_id", "session_id", F.when(k % 17 == 0, "other").otherwise(F.col("lease_token")).alias("lease_token"), F.when(k % 19 == 0, "elsewhere").otherwise(F.col("source_revision")).alias("source_revision"), category.alias("category"), (k * 7).alias("jitter_ms"))
+    return P.retry(a, f, X.now()).withColumn("next_attempt_at", F.col("next_attempt_at").cast("timestamp_ntz"))
+
+
+@query("failure_taxonomy", "SELECT * FROM (VALUES " + ", ".join(str(x) for x in P.FAILURES) + ") t(category, stage, retryability)")
+def failure_taxonomy(spark, d):
+    return P.failure_taxonomy(spark)
 
 
 @query("session_transitions", "WITH s AS (SELECT unnest(['claimed', 'staged', 'publishing', 'retryable', 'complete', 'superseded']) AS x), t AS (SELECT * FROM (VALUES ('claimed','staged'),('claimed','retryable'),('claimed','superseded'),('staged','publishing'),('staged','retryable'),('publishing','complete'),('publishing','retryable'),('retryable','claimed')) v(f, t)) SELECT a.x AS from_state, b.x AS to_state, EXISTS (SELECT 1 FROM t WHERE t.f = a.x AND t.t = b.x) AS legal FROM s a, s b")
@@ -128,14 +156,17 @@ def _generated(spark, d):
 
 _FR = "lpad(to_hex(octet_length(encode({0}))), 16, '0') || hex(encode({0}))"
 
+#: A version-5 identifier of the bytes {0}, namespace included.
+_UUID5 = "(SELECT substr(u, 1, 8) || '-' || substr(u, 9, 4) || '-5' || substr(u, 14, 3) || '-' || substr('89ab', (('0x' || substr(u, 17, 1))::INTEGER & 3) + 1, 1) || substr(u, 18, 3) || '-' || substr(u, 21, 12) FROM (SELECT sha1({0}) AS u))"
+
 
 @query(
     "candidate_fingerprints",
-    "WITH g AS (SELECT 's' || conv_id % 10 AS session_id, role AS type, role AS title, 'note ' || turn % 3 AS content, list_sort(['beta', 'alpha', 't' || turn % 3]) AS concepts, conv_id || '-' || turn AS receipt FROM conversations), f AS (SELECT *, sha256(unhex(" + " || ".join(_FR.format(x) for x in ("'1'", "type", "title", "content", "concepts[1]", "concepts[2]", "concepts[3]")) + ")) AS fingerprint FROM g), x AS (SELECT session_id, fingerprint, type, title, content, array_to_string(concepts, ',') AS concepts, array_to_string(list_sort(list(DISTINCT receipt)), ',') AS receipts FROM f GROUP BY session_id, fingerprint, type, title, content, concepts) SELECT *, CAST(row_number() OVER (PARTITION BY session_id ORDER BY fingerprint) - 1 AS INTEGER) AS ordinal FROM x",
+    "WITH g AS (SELECT 's' || conv_id % 10 AS session_id, role AS type, role AS title, 'note ' || turn % 3 AS content, list_sort(['beta', 'alpha', 't' || turn % 3]) AS concepts, conv_id || '-' || turn AS receipt FROM conversations), f AS (SELECT *, sha256(unhex(" + " || ".join(_FR.format(x) for x in ("'1'", "type", "title", "content", "concepts[1]", "concepts[2]", "concepts[3]")) + ")) AS fingerprint FROM g), x AS (SELECT session_id, fingerprint, type, title, content, array_to_string(concepts, ',') AS concepts, array_to_string(list_sort(list(DISTINCT receipt)), ',') AS receipts FROM f GROUP BY session_id, fingerprint, type, title, content, concepts) SELECT *, CAST(row_number() OVER (PARTITION BY session_id ORDER BY fingerprint) - 1 AS INTEGER) AS ordinal, " + _UUID5.format("unhex('" + _NS + "' || " + _FR.format("session_id") + " || lpad(to_hex(32), 16, '0') || fingerprint)") + " AS memory_id FROM x",
 )
 def candidate_fingerprints(spark, d):
     c = P.candidates(_generated(spark, d))
-    return c.select("session_id", "fingerprint", "type", "title", "content", F.array_join("concepts", ",").alias("concepts"), F.array_join("receipts", ",").alias("receipts"), "ordinal")
+    return c.select("session_id", "fingerprint", "type", "title", "content", F.array_join("concepts", ",").alias("concepts"), F.array_join("receipts", ",").alias("receipts"), "ordinal", "memory_id")
 
 
 @query("session_chunks")
@@ -207,7 +238,10 @@ def adapter_derived_events(spark, d):
 
 @query(
     "session_ordered_runtime",
-    f"WITH {X.LEDGER}, e AS (SELECT session_id, CAST(receipt_id AS BIGINT) AS seq, event_type, min(CASE WHEN event_type = 'session_end' THEN CAST(receipt_id AS BIGINT) END) OVER (PARTITION BY session_id) AS e_at, min(CASE WHEN event_type != 'session_end' THEN CAST(receipt_id AS BIGINT) END) OVER (PARTITION BY session_id) AS s_at FROM led) SELECT session_id, seq, 0 AS ordinal, CASE WHEN event_type = 'observation' AND seq = s_at THEN 'session_start' ELSE event_type END AS emitted FROM e WHERE (e_at IS NULL OR seq <= e_at) AND NOT (event_type = 'session_start' AND seq > s_at) UNION ALL SELECT session_id, seq, 1, 'observation' FROM e WHERE event_type = 'observation' AND seq = s_at AND (e_at IS NULL OR seq <= e_at)",
+    f"""WITH {X.LEDGER}, e AS (SELECT session_id, CAST(receipt_id AS BIGINT) AS seq, event_type, min(CAST(receipt_id AS BIGINT)) FILTER (event_type != 'session_end') OVER (PARTITION BY session_id) AS s_at FROM led),
+ f AS (SELECT *, min(seq) FILTER (event_type = 'session_end' AND seq > s_at) OVER (PARTITION BY session_id) AS e_at FROM e),
+ g AS (SELECT * FROM f WHERE s_at IS NOT NULL AND seq >= s_at AND (e_at IS NULL OR seq <= e_at) AND NOT (event_type = 'session_start' AND seq > s_at))
+ SELECT session_id, seq, 0 AS ordinal, CASE WHEN event_type = 'observation' AND seq = s_at THEN 'session_start' ELSE event_type END AS emitted FROM g UNION ALL SELECT session_id, seq, 1, 'observation' FROM g WHERE event_type = 'observation' AND seq = s_at""",
 )
 def session_ordered_runtime(spark, d):
     l, o = X.ledger(spark, d)
