@@ -50,32 +50,37 @@ def related_sources(assertions: DataFrame, evidence: DataFrame, mentions: DataFr
 
 
 def find_paths(assertions: DataFrame, start: str, end: str, direction: str = "either", max_depth: int = 4, max_work: int = limits.PATH_WORK, limit: int = limits.PATHS) -> DataFrame:
-    """rank, hops, concept_ids, assertion_ids, work, outcome.
+    """rank, hops, concept_ids, assertion_ids, orientations, work, outcome.
 
     Every generated state counts, the start included; beyond ``max_work`` the only row says
-    work_exhausted.  Depth is at most 8, so the levels are unrolled joins; each level stops at
-    max_work + 1 states, which bounds what a level can feed to the next."""
+    work_exhausted.  A level is one job: its open states, at most ``max_work`` rows of at most
+    nine ids, are broadcast to the edges, which are scanned and never shuffled; the search stops
+    at the first empty level, or at the first state too many."""
     if start == end:
         raise ValueError("the ends of a path must differ")
     limits.bounded("max_depth", max_depth, 1, limits.PATH_DEPTH)
     limits.bounded("max_work", max_work, 1, limits.PATH_WORK)
     limits.bounded("limit", limit, 1, limits.PATHS)
     spark = assertions.sparkSession
-    edges = directed(assertions, direction).select("src", "dst", "id")
-    level = spark.createDataFrame([(start, [start], [])], "at string, c array<string>, a array<string>")
-    states = level
+    edges = directed(assertions, direction).select("src", "dst", "id", "orientation")
+    schema = "at string, c array<string>, a array<string>, o array<string>"
+    open_, found, work = [(start, [start], [], [])], [], 1
     for _ in range(max_depth):
-        open_ = level.filter(F.col("at") != end)
-        level = open_.join(edges, F.col("at") == F.col("src")).filter(~F.array_contains("c", F.col("dst")) & ~F.array_contains("a", F.col("id")))
-        level = level.select(F.col("dst").alias("at"), F.array_append("c", F.col("dst")).alias("c"), F.array_append("a", F.col("id")).alias("a")).limit(max_work + 1)
-        states = states.unionByName(level)
-    # at most max_depth * (max_work + 1) + 1 rows
-    states = states.limit(max_work + 1).withColumn("work", F.count(F.lit(1)).over(Window.partitionBy()))
-    order = [F.size("a"), F.col("a"), F.col("c")]
-    found = states.filter((F.col("at") == end) & (F.col("work") <= max_work)).orderBy(*order).limit(limit)
-    found = found.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), F.size("a").alias("hops"), F.array_join("c", ">").alias("concept_ids"), F.array_join("a", ">").alias("assertion_ids"), "work", F.lit("found").alias("outcome"))
-    spent = states.filter(F.col("work") > max_work).select("work").distinct().select(F.lit(0).alias("rank"), F.lit(0).alias("hops"), F.lit("").alias("concept_ids"), F.lit("").alias("assertion_ids"), F.lit(max_work + 1).cast("long").alias("work"), F.lit("work_exhausted").alias("outcome"))
-    return found.unionByName(spent)
+        if not open_ or work > max_work:
+            break
+        level = F.broadcast(spark.createDataFrame(open_, schema))
+        level = edges.join(level, F.col("at") == F.col("src")).filter(~F.array_contains("c", F.col("dst")) & ~F.array_contains("a", F.col("id")))
+        level = level.select(F.col("dst").alias("at"), F.array_append("c", F.col("dst")).alias("c"), F.array_append("a", F.col("id")).alias("a"), F.array_append("o", F.col("orientation")).alias("o"))
+        rows = [tuple(r) for r in level.limit(max_work + 1 - work).collect()]  # bounded by max_work
+        work += len(rows)
+        found += [r for r in rows if r[0] == end]
+        open_ = [r for r in rows if r[0] != end]
+    out = "rank int, hops int, concept_ids string, assertion_ids string, orientations string, work long, outcome string"
+    if work > max_work:
+        return spark.createDataFrame([(0, 0, "", "", "", max_work + 1, "work_exhausted")], out)
+    found.sort(key=lambda r: (len(r[2]), *[[x.encode() for x in ids] for ids in (r[2], r[1])]))
+    best = [(k, len(r[2]), ">".join(r[1]), ">".join(r[2]), ">".join(r[3]), work, "found") for k, r in enumerate(found[:limit], 1)]
+    return spark.createDataFrame(best, out)
 
 
 def audit(concepts: DataFrame, aliases: DataFrame, assertions: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -93,12 +98,22 @@ def create_concepts(aliases: DataFrame, requests: DataFrame) -> DataFrame:
     """requests (ordinal, key, preferred: a row per alias) -> ordinal, outcome.
 
     existing: a concept has exactly these keys and flags; alias_set_mismatch: one concept
-    owns some key; alias_owned: several do; else created."""
-    owner = aliases.select(F.col("alias_key").alias("key"), "concept_id", F.col("is_preferred").alias("o_preferred"))
-    r = requests.join(owner, "key", "left")
-    per = r.groupBy("ordinal").agg(F.countDistinct("concept_id").alias("owners"), F.max("concept_id").alias("owner"), F.array_sort(F.collect_set(F.struct("key", "preferred"))).alias("asked"))
-    have = aliases.groupBy("concept_id").agg(F.array_sort(F.collect_set(F.struct(F.col("alias_key").alias("key"), F.col("is_preferred").alias("preferred")))).alias("have"))
-    per = per.join(have, F.col("owner") == F.col("concept_id"), "left")
+    owns some key; alias_owned: several do; else created.  What earlier requests of the batch
+    create owns its keys as well: a request creates if it is the first to ask for each of its
+    keys among those that meet no stored concept."""
+    owner = aliases.select(F.col("alias_key").alias("key"), "concept_id")
+    r = requests.join(owner, "key", "left").withColumn("new_only", F.max(F.col("concept_id").isNotNull()).over(Window.partitionBy("ordinal")) == F.lit(False))
+    # the first request for a key among those that meet no stored concept
+    r = r.withColumn("first", F.min(F.when(F.col("new_only"), F.col("ordinal"))).over(Window.partitionBy("key")))
+    makes = F.col("new_only") & F.coalesce(F.col("first") == F.col("ordinal"), F.lit(False))
+    r = r.withColumn("makes", F.min(makes).over(Window.partitionBy("ordinal")))
+    made = F.min(F.when(F.col("makes"), F.col("ordinal"))).over(Window.partitionBy("key"))
+    r = r.withColumn("made", made).withColumn("made", F.when(F.col("made") < F.col("ordinal"), F.concat(F.lit("new:"), "made")))
+    r = r.withColumn("owner", F.coalesce(F.concat(F.lit("old:"), "concept_id"), "made"))
+    per = r.groupBy("ordinal").agg(F.countDistinct("owner").alias("owners"), F.max("owner").alias("owner"), F.array_sort(F.collect_set(F.struct("key", "preferred"))).alias("asked"), F.max("makes").alias("makes"))
+    have = aliases.groupBy(F.concat(F.lit("old:"), "concept_id").alias("of")).agg(F.array_sort(F.collect_set(F.struct(F.col("alias_key").alias("key"), F.col("is_preferred").alias("preferred")))).alias("have"))
+    have = have.unionByName(per.filter("makes").select(F.concat(F.lit("new:"), "ordinal").alias("of"), F.col("asked").alias("have")))
+    per = per.join(have, F.col("owner") == F.col("of"), "left")
     return per.select("ordinal", F.when(F.col("owners") == 0, "created").when(F.col("owners") > 1, "alias_owned").when(F.col("asked") == F.col("have"), "existing").otherwise("alias_set_mismatch").alias("outcome"))
 
 
@@ -166,22 +181,62 @@ def delete_sources(sources: DataFrame, mentions: DataFrame, evidence: DataFrame,
 
 def mention_outcomes(concepts: DataFrame, sources: DataFrame, mentions: DataFrame, requests: DataFrame) -> DataFrame:
     """requests (ordinal, op create/delete, concept_id, source_ref_id) -> missing_concept,
-    missing_source, then existing / created or missing_mention / deleted."""
+    missing_source, then existing / created or missing_mention / deleted.
+
+    Requests are served by ordinal: the last one for the same pair says whether it is there."""
     j = requests.join(concepts.select(F.col("id").alias("concept_id"), F.lit(True).alias("c")), "concept_id", "left").join(sources.select("source_ref_id", F.lit(True).alias("s")), "source_ref_id", "left").join(mentions.select("concept_id", "source_ref_id", F.lit(True).alias("m")).distinct(), ["concept_id", "source_ref_id"], "left")
-    create = F.when(F.col("m"), "existing").otherwise("created")
-    delete = F.when(F.col("m"), "deleted").otherwise("missing_mention")
-    return j.select("ordinal", F.when(F.col("c").isNull(), "missing_concept").when(F.col("s").isNull(), "missing_source").when(F.col("op") == "create", create).otherwise(delete).alias("outcome"))
+    last = F.lag("op").over(Window.partitionBy("concept_id", "source_ref_id").orderBy("ordinal"))
+    there = F.when(last.isNotNull(), last == "create").otherwise(F.coalesce("m", F.lit(False)))
+    outcome = F.when(F.col("op") == "create", F.when(F.col("there"), "existing").otherwise("created")).otherwise(F.when(F.col("there"), "deleted").otherwise("missing_mention"))
+    return j.withColumn("there", there).select("ordinal", F.when(F.col("c").isNull(), "missing_concept").when(F.col("s").isNull(), "missing_source").otherwise(outcome).alias("outcome"))
+
+
+def _serve_evidence(batches):
+    """Rows by assertion: what it holds first, then its requests by ordinal; the state is the set
+    of at most ``EVIDENCE_PER_ASSERTION`` sources of the assertion at hand."""
+    import pandas as pd
+
+    now, held = None, set()
+    for pdf in batches:
+        out = []
+        for assertion, ordinal, op, source in zip(pdf["assertion_id"].tolist(), pdf["ordinal"].tolist(), pdf["op"].tolist(), pdf["source_ref_id"].tolist(), strict=True):
+            if assertion != now:
+                now, held = assertion, set()
+            if op == "held":
+                held.add(source)
+            elif op == "add":
+                if source in held:
+                    out.append((ordinal, "existing"))
+                elif len(held) >= limits.EVIDENCE_PER_ASSERTION:
+                    out.append((ordinal, "evidence_limit"))
+                else:
+                    held.add(source)
+                    out.append((ordinal, "created"))
+            elif source not in held:
+                out.append((ordinal, "missing_evidence"))
+            elif len(held) == 1:
+                out.append((ordinal, "would_orphan_evidence"))
+            else:
+                held.remove(source)
+                out.append((ordinal, "deleted"))
+        yield pd.DataFrame(out, columns=["ordinal", "outcome"])
 
 
 def evidence_outcomes(assertions: DataFrame, sources: DataFrame, evidence: DataFrame, requests: DataFrame) -> DataFrame:
     """requests (ordinal, op add/remove, assertion_id, source_ref_id) -> missing_assertion,
     missing_source, then existing / evidence_limit / created or missing_evidence /
-    would_orphan_evidence / deleted."""
-    n = evidence.groupBy("assertion_id").agg(F.count(F.lit(1)).alias("n"))
-    j = requests.join(assertions.select(F.col("id").alias("assertion_id"), F.lit(True).alias("a")), "assertion_id", "left").join(sources.select("source_ref_id", F.lit(True).alias("s")), "source_ref_id", "left").join(evidence.select("assertion_id", "source_ref_id", F.lit(True).alias("e")).distinct(), ["assertion_id", "source_ref_id"], "left").join(n, "assertion_id", "left")
-    add = F.when(F.col("e"), "existing").when(F.col("n") >= limits.EVIDENCE_PER_ASSERTION, "evidence_limit").otherwise("created")
-    remove = F.when(F.col("e").isNull(), "missing_evidence").when(F.col("n") <= 1, "would_orphan_evidence").otherwise("deleted")
-    return j.select("ordinal", F.when(F.col("a").isNull(), "missing_assertion").when(F.col("s").isNull(), "missing_source").when(F.col("op") == "add", add).otherwise(remove).alias("outcome"))
+    would_orphan_evidence / deleted.
+
+    The requests for an assertion are served one after the other by ordinal, each on what the
+    one before has left: a sorted stream with a state of 32 sources at most."""
+    j = requests.join(assertions.select(F.col("id").alias("assertion_id"), F.lit(True).alias("a")).distinct(), "assertion_id", "left").join(sources.select("source_ref_id", F.lit(True).alias("s")).distinct(), "source_ref_id", "left")
+    fault = F.when(F.col("a").isNull(), "missing_assertion").when(F.col("s").isNull(), "missing_source")
+    j = j.select("assertion_id", "ordinal", "op", "source_ref_id", fault.alias("fault"))
+    asked = j.filter("fault is null").select("assertion_id", F.col("ordinal").cast("long").alias("ordinal"), "op", F.col("source_ref_id").cast("long").alias("source_ref_id"))
+    held = evidence.join(asked.select("assertion_id").distinct(), "assertion_id", "left_semi").select("assertion_id", F.lit(-1).cast("long").alias("ordinal"), F.lit("held").alias("op"), F.col("source_ref_id").cast("long").alias("source_ref_id")).distinct()
+    rows = held.unionByName(asked).repartition("assertion_id").sortWithinPartitions("assertion_id", F.col("op") != "held", "ordinal")
+    served = rows.mapInPandas(_serve_evidence, "ordinal long, outcome string")
+    return served.unionByName(j.filter("fault is not null").select(F.col("ordinal").cast("long").alias("ordinal"), F.col("fault").alias("outcome")))
 
 
 def update_assertions(concepts: DataFrame, assertions: DataFrame, requests: DataFrame) -> DataFrame:

@@ -20,9 +20,10 @@ def validate(events: DataFrame) -> DataFrame:
     """Queue events as JSON text (column ``json``) -> fields, ``fault`` (null: valid), epoch_ms.
 
     The field set must match exactly; the first fault in the order below is reported."""
-    g = lambda k: F.get_json_object("json", f"$.{k}")
-    df = events.withColumn("keys", F.array_sort(F.json_object_keys("json")))
-    df = df.withColumns({k: g(k) for k in sorted(OBSERVATION_FIELDS)}).withColumn("epoch_ms", timestamp_ms(F.col("timestamp")))
+    # one parse for the plain fields, one for the keys, one for the nested data
+    plain = sorted(OBSERVATION_FIELDS - {"data"})
+    df = events.withColumns({"keys": F.array_sort(F.json_object_keys("json")), "parsed": F.from_json("json", ", ".join(f"{k} string" for k in plain))})
+    df = df.withColumns({k: F.col("parsed")[k] for k in plain} | {"data": F.get_json_object("json", "$.data")}).drop("parsed").withColumn("epoch_ms", timestamp_ms(F.col("timestamp")))
     obs = F.col("event_type") == "observation"
     fields = lambda names: F.array(*[F.lit(x) for x in sorted(names)])
     fault = first_failure(

@@ -140,3 +140,35 @@ def version_fault():
         checks += [text(c), nul(c)]
     checks += [(~F.year("created_at").between(1, 9999), "created_at:range"), (F.col("updated_at") < F.col("created_at"), "updated_at:order")]
     return first_failure(*checks)
+
+
+def rendered_time(c):
+    """A timestamp in UTC with microseconds and its offset, as responses show it."""
+    return F.concat(F.date_format(F.to_utc_timestamp(c, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
+
+
+#: What a writer reports for an outcome of the store, and whether that is a failure.
+WRITES = (("inserted", "stored", False), ("conflict", "already_present", False), ("missing", "missing_parent", True), ("invalid", "malformed_response", True), ("invalid_response", "malformed_response", True), ("database_failure", "backend", True))
+
+
+def write_outcomes(rows: DataFrame) -> DataFrame:
+    """outcome of the store -> outcome and failed of the writer; anything unknown is malformed."""
+    t = rows.sparkSession.createDataFrame(list(WRITES), "outcome string, mapped string, failed boolean")
+    return rows.join(F.broadcast(t), "outcome", "left").withColumns({"outcome": F.coalesce("mapped", F.lit("malformed_response")), "failed": F.coalesce("failed", F.lit(True))}).drop("mapped")
+
+
+def event_outcomes(rows: DataFrame) -> DataFrame:
+    """event, ordinal, state, fault -> a row per event: its counts and its error.
+
+    All of an event's work is done before a missing key makes it fail; the first fault of the
+    work itself comes before that."""
+    n = lambda s: F.count_if(F.col("state") == s)
+    fault = F.min_by("fault", F.when(F.col("fault").isNotNull(), F.col("ordinal")))
+    per = rows.groupBy("event").agg(F.count(F.lit(1)).alias("selected"), n("stored").alias("stored"), n("already_present").alias("already_present"), n("missing").alias("missing"), fault.alias("fault"))
+    return per.select("event", "selected", "stored", "already_present", F.coalesce("fault", F.when(F.col("missing") > 0, "missing")).alias("error"))
+
+
+def decode_gate(rows: DataFrame) -> DataFrame:
+    """One row: the number of rows and the fault that makes the whole result fail, null if all
+    rows are valid (columns as in :func:`save`)."""
+    return rows.select(version_fault().alias("fault")).agg(F.count(F.lit(1)).alias("n"), F.min("fault").alias("fault"))

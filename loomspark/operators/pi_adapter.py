@@ -1,0 +1,44 @@
+"""The second adapter ("Pi"): which native events count, what of them stays, and admission."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Native events that are observations whatever they hold.
+OBSERVATIONS = ("session_info_changed", "session_compact", "session_compact_failed", "agent_start", "agent_settled", "ui_prompt_start", "ui_prompt_end", "turn_start", "turn_end", "tool_execution_start", "tool_execution_end")
+SOURCE, VERSION = "pi", "1.0.0"
+
+
+def classify(events: DataFrame) -> DataFrame:
+    """type, role -> + selection: start, end, observation or excluded; a finished message counts
+    only if a user or the assistant wrote it."""
+    t = F.col("type")
+    spoken = (t == "message_end") & F.col("role").isin("user", "assistant")
+    return events.withColumn("selection", F.when(t == "session_start", "start").when(t == "session_shutdown", "end").when(t.isin(*OBSERVATIONS) | F.coalesce(spoken, F.lit(False)), "observation").otherwise("excluded"))
+
+
+def text_content(content, blocks, omitted: tuple[str, ...]):
+    """The text of a message: a string as it is, else its text blocks joined; blocks of ``omitted``
+    types are left out, and any other block, or a text block without text, gives null."""
+    ok = F.forall(blocks, lambda b: F.when(b["type"] == "text", b["text"].isNotNull()).otherwise(F.coalesce(b["type"].isin(*omitted), F.lit(False))))
+    text = F.array_join(F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: b["text"]), "")
+    return F.coalesce(content, F.when(ok, text))
+
+
+def envelope(event, payload):
+    """The JSON that an observation carries; fields without a value are left out."""
+    return F.to_json(F.struct(F.lit(SOURCE).alias("source"), F.lit(VERSION).alias("version"), event.alias("event"), payload.alias("payload")))
+
+
+def admission(submissions: DataFrame, capacity: int) -> DataFrame:
+    """session_id, seq, kind (start, observation, end) -> + admitted, for a queue that nothing
+    leaves meanwhile: an observation beyond ``capacity`` overflows and is the one that goes; a
+    first observation starts the session; lifecycle events are never dropped; nothing follows an
+    end, and a second start is ignored.  '' is not admitted."""
+    past = Window.partitionBy("session_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    seen = lambda kind: F.coalesce(F.count_if(F.col("kind") == kind).over(past), F.lit(0))
+    n, ended = seen("observation"), seen("end") > 0
+    started = (seen("start") + n) > 0
+    out = F.when(ended, "").when(F.col("kind") == "end", "end").when(F.col("kind") == "start", F.when(started, "").otherwise("start")).when(n >= capacity, "overflow").when(~started, "start,observation").otherwise("observation")
+    return submissions.withColumn("admitted", out)

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import limits
-from .memory import heads
 
 #: English stop words.
 STOP = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
@@ -14,17 +13,13 @@ STOP = "a an and are as at be but by for if in into is it no not of on or such t
 
 def words(c, english: bool = False):
     """Lower-case runs of a-z and 0-9; with ``english`` stop words go and endings are cut."""
-    w = F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda x: x != "")
+    w = F.array_remove(F.split(F.lower(c), "[^a-z0-9]+"), "")
     if english:
         w = F.filter(w, lambda x: ~x.isin(STOP))
         w = F.transform(w, lambda x: F.regexp_replace(F.regexp_replace(x, "(?<=[a-z]{3})(ies)$", "y"), "(?<=[a-z]{3})(ing|edly|ed|es|ly|s)$", ""))
     return w
 
 
-def _is(term: str):
-    return lambda x: x == term
-
-
 def search_document(title, content, concepts):
     return F.concat_ws(" ", title, content, F.array_join(concepts, " "))
 
@@ -33,16 +28,21 @@ def bm25(memories: DataFrame, query: str, limit: int, k1: float = 1.2, b: float
     """rank, id, version, score of the best heads.
 
     Corpus numbers (count, average length, document frequencies) cover current heads only.
-    They come with the terms' frequencies from one pass: per head only its length and the
-    query's own terms leave the scan, so the shuffle does not grow with the vocabulary."""
+    Per version only its length and the query terms' frequencies leave the scan: the shuffle
+    holds a few integers a version, and neither text nor vocabulary."""
     limits.bounded("limit", limit, 1, limits.SEARCH_LIMIT)
     spark = memories.sparkSession
     terms = sorted(set(spark.range(1).select(words(F.lit(query), english).alias("w")).first()["w"]))
-    docs = heads(memories.select("id", "version", "title", "content", "concepts")).select("id", "version", words(search_document(F.col("title"), F.col("content"), F.col("concepts")), english).alias("w"))
-    docs = docs.select("id", "version", F.size("w").alias("dl"), *[F.size(F.filter("w", _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)])
+    w = F.col("w")
+    rows = memories.select("id", "version", words(search_document(F.col("title"), F.col("content"), F.col("concepts")), english).alias("w"))
+    rows = rows.select("id", "version", F.size(w).alias("dl"), *[(F.size(w) - F.size(F.array_remove(w, t))).alias(f"tf{i}") for i, t in enumerate(terms)])
     if not terms:
-        return docs.select(F.lit(0).alias("rank"), "id", "version", F.lit(0.0).alias("score")).limit(0)
-    corpus = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
+        return rows.select(F.lit(0).alias("rank"), "id", "version", F.lit(0.0).alias("score")).limit(0)
+    # the greatest version's numbers: buffers of fixed size, so that the text stays in the scan
+    numbers = ["dl", *[f"tf{i}" for i in range(len(terms))]]
+    docs = rows.groupBy("id").agg(F.max("version").alias("version"), *[F.max_by(c, "version").alias(c) for c in numbers])
+    # every column is asked for, so that both uses share one exchange
+    corpus = docs.agg(F.count("version").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     score = F.lit(0.0)
     for i in range(len(terms)):
         idf = F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
@@ -52,7 +52,7 @@ def bm25(memories: DataFrame, query: str, limit: int, k1: float = 1.2, b: float
     for i in range(len(terms)):
         some = some | (F.col(f"tf{i}") > 0)
     # one row of corpus numbers
-    out = docs.filter(some).crossJoin(F.broadcast(corpus)).select("id", "version", score.alias("score")).filter("score > 0")
+    out = docs.crossJoin(F.broadcast(corpus)).select("id", "version", F.when(some, score).alias("score")).filter("score > 0")
     return ranked(out, limit)
 
 
@@ -61,21 +61,26 @@ def ranked(scored: DataFrame, limit: int) -> DataFrame:
     return scored.orderBy(*order).limit(limit).select(F.row_number().over(Window.orderBy(*order)).alias("rank"), "id", "version", "score")
 
 
-def cosine(a, b):
+def cosine(v, query: list[float]):
+    """Cosine similarity of a vector column with a constant; null or nan for a norm of zero."""
+    import math
+
     d = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
-    return d(a, b) / (F.sqrt(d(a, a)) * F.sqrt(d(b, b)))
+    q = F.array(*[F.lit(float(x)) for x in query])
+    return d(v, q) / (F.sqrt(d(v, v)) * F.lit(math.sqrt(sum(float(x) * float(x) for x in query))))
 
 
 def vector(memories: DataFrame, embeddings: DataFrame, query: list[float], limit: int) -> DataFrame:
     """rank, id, version, score by exact cosine; heads without an embedding of their own, of
-    another dimension or of norm zero are invisible, whatever older versions have."""
+    another dimension or of norm zero are invisible, whatever older versions have.
+
+    Vectors are scored in their scan; only (id, version, score) meets the heads."""
     limits.bounded("limit", limit, 1, limits.SEARCH_LIMIT)
     limits.bounded("dimensions", len(query), 1, limits.VECTOR_COMPONENTS)
     top = memories.groupBy("id").agg(F.max("version").alias("version"))
-    q = F.array(*[F.lit(float(x)) for x in query])
     e = embeddings.filter((F.size("embedding") == len(query)) & F.exists("embedding", lambda x: x != 0))
-    scored = e.join(top, ["id", "version"]).select("id", "version", cosine(F.col("embedding"), q).alias("score"))
-    return ranked(scored.filter("score is not null and not isnan(score)"), limit)
+    scored = e.select("id", "version", cosine(F.col("embedding"), query).alias("score"))
+    return ranked(scored.join(top, ["id", "version"]).filter("score is not null and not isnan(score)"), limit)
 
 
 def merge(lexical: DataFrame, semantic: DataFrame | None, limit: int) -> DataFrame:

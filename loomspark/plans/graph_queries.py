@@ -44,11 +44,11 @@ def graph_related_sources(spark, d):
 
 
 def _paths_sql(work: int) -> str:
-    return f"""WITH RECURSIVE {X.ASSERTIONS}, e AS (SELECT subject AS src, object AS dst, id FROM asr UNION ALL SELECT object, subject, id FROM asr),
- p AS (SELECT 'customer:0' AS node, ['customer:0'] AS c, CAST([] AS VARCHAR[]) AS a UNION ALL SELECT e.dst, list_append(p.c, e.dst), list_append(p.a, e.id) FROM p JOIN e ON e.src = p.node WHERE p.node != 'customer:7' AND len(p.a) < 4 AND NOT list_contains(p.c, e.dst) AND NOT list_contains(p.a, e.id)),
+    return f"""WITH RECURSIVE {X.ASSERTIONS}, e AS (SELECT subject AS src, object AS dst, id, 'outgoing' AS way FROM asr UNION ALL SELECT object, subject, id, 'incoming' FROM asr),
+ p AS (SELECT 'customer:0' AS node, ['customer:0'] AS c, CAST([] AS VARCHAR[]) AS a, CAST([] AS VARCHAR[]) AS o UNION ALL SELECT e.dst, list_append(p.c, e.dst), list_append(p.a, e.id), list_append(p.o, e.way) FROM p JOIN e ON e.src = p.node WHERE p.node != 'customer:7' AND len(p.a) < 4 AND NOT list_contains(p.c, e.dst) AND NOT list_contains(p.a, e.id)),
  w AS (SELECT *, count(*) OVER () AS work FROM p)
- SELECT CAST(row_number() OVER (ORDER BY len(a), a, c) AS INTEGER) AS rank, CAST(len(a) AS INTEGER) AS hops, array_to_string(c, '>') AS concept_ids, array_to_string(a, '>') AS assertion_ids, work, 'found' AS outcome FROM w WHERE node = 'customer:7' AND work <= {work}
- UNION ALL SELECT DISTINCT 0, 0, '', '', CAST({work} + 1 AS BIGINT), 'work_exhausted' FROM w WHERE work > {work}"""
+ SELECT CAST(row_number() OVER (ORDER BY len(a), a, c) AS INTEGER) AS rank, CAST(len(a) AS INTEGER) AS hops, array_to_string(c, '>') AS concept_ids, array_to_string(a, '>') AS assertion_ids, array_to_string(o, '>') AS orientations, work, 'found' AS outcome FROM w WHERE node = 'customer:7' AND work <= {work}
+ UNION ALL SELECT DISTINCT 0, 0, '', '', '', CAST({work} + 1 AS BIGINT), 'work_exhausted' FROM w WHERE work > {work}"""
 
 
 @query("graph_paths", _paths_sql(10000))
@@ -149,7 +149,10 @@ def graph_mentions(spark, d):
     return G.mention_outcomes(c, s, m, req)
 
 
-@query("graph_evidence", f"WITH n AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) SELECT o_orderkey AS ordinal, CASE WHEN o_orderkey % 5 = 0 THEN 'missing_assertion' WHEN o_orderkey % 5 = 1 THEN 'missing_source' WHEN o_orderkey % 2 = 0 THEN 'existing' WHEN n <= 1 THEN 'would_orphan_evidence' ELSE 'deleted' END AS outcome FROM orders JOIN n USING (o_custkey)")
+@query(
+    "graph_evidence",
+    "WITH n AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), r AS (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nr FROM orders WHERE o_orderkey % 5 > 1 AND o_orderkey % 2 = 1) SELECT o_orderkey AS ordinal, CASE WHEN o_orderkey % 5 = 0 THEN 'missing_assertion' WHEN o_orderkey % 5 = 1 THEN 'missing_source' WHEN o_orderkey % 2 = 0 THEN 'existing' WHEN nr >= n THEN 'would_orphan_evidence' ELSE 'deleted' END AS outcome FROM orders JOIN n USING (o_custkey) LEFT JOIN r USING (o_orderkey)",
+)
 def graph_evidence(spark, d):
     _, a = X.graph(spark, d)
     s, e, _ = X.provenance(spark, d)

@@ -51,7 +51,11 @@ def session_claim_batch(spark, d):
 _NS = P.REVISION_NAMESPACE.replace("-", "")
 
 
-@query("session_source_revision")
+#: A version-5 identifier of the bytes {0}, namespace included.
+_UUID5 = "(SELECT substr(u, 1, 8) || '-' || substr(u, 9, 4) || '-5' || substr(u, 14, 3) || '-' || substr('89ab', (('0x' || substr(u, 17, 1))::INTEGER & 3) + 1, 1) || substr(u, 18, 3) || '-' || substr(u, 21, 12) FROM (SELECT sha1({0}) AS u))"
+
+
+@query("session_source_revision", f"WITH {X.LEDGER}, f AS (SELECT session_id, string_agg(hex(encode(event_type)) || '00' || hex(encode(receipt_id)) || '0A', '' ORDER BY event_type, receipt_id) AS frames FROM led GROUP BY 1) SELECT session_id, " + _UUID5.format(f"unhex('{_NS}' || frames)") + " AS source_revision FROM f")
 def session_source_revision(spark, d):
     l, o = X.ledger(spark, d)
     per = P.identities(l, o).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("event_type", "receipt_id"))).alias("sources"))
@@ -156,10 +160,6 @@ def _generated(spark, d):
 
 _FR = "lpad(to_hex(octet_length(encode({0}))), 16, '0') || hex(encode({0}))"
 
-#: A version-5 identifier of the bytes {0}, namespace included.
-_UUID5 = "(SELECT substr(u, 1, 8) || '-' || substr(u, 9, 4) || '-5' || substr(u, 14, 3) || '-' || substr('89ab', (('0x' || substr(u, 17, 1))::INTEGER & 3) + 1, 1) || substr(u, 18, 3) || '-' || substr(u, 21, 12) FROM (SELECT sha1({0}) AS u))"
-
-
 @query(
     "candidate_fingerprints",
     "WITH g AS (SELECT 's' || conv_id % 10 AS session_id, role AS type, role AS title, 'note ' || turn % 3 AS content, list_sort(['beta', 'alpha', 't' || turn % 3]) AS concepts, conv_id || '-' || turn AS receipt FROM conversations), f AS (SELECT *, sha256(unhex(" + " || ".join(_FR.format(x) for x in ("'1'", "type", "title", "content", "concepts[1]", "concepts[2]", "concepts[3]")) + ")) AS fingerprint FROM g), x AS (SELECT session_id, fingerprint, type, title, content, array_to_string(concepts, ',') AS concepts, array_to_string(list_sort(list(DISTINCT receipt)), ',') AS receipts FROM f GROUP BY session_id, fingerprint, type, title, content, concepts) SELECT *, CAST(row_number() OVER (PARTITION BY session_id ORDER BY fingerprint) - 1 AS INTEGER) AS ordinal, " + _UUID5.format("unhex('" + _NS + "' || " + _FR.format("session_id") + " || lpad(to_hex(32), 16, '0') || fingerprint)") + " AS memory_id FROM x",

@@ -138,6 +138,34 @@ def test_evidence_rules(spark):
     a = spark.createDataFrame([("x",), ("y",)], "id string")
     s = spark.createDataFrame([(i,) for i in range(40)], "source_ref_id long")
     e = spark.createDataFrame([("x", i) for i in range(32)] + [("y", 1)], "assertion_id string, source_ref_id long")
-    r = spark.createDataFrame([(1, "add", "x", 1), (2, "add", "x", 35), (3, "add", "y", 35), (4, "remove", "y", 1), (5, "remove", "x", 1), (6, "remove", "x", 39), (7, "add", "z", 1), (8, "add", "x", 99)], "ordinal long, op string, assertion_id string, source_ref_id long")
+    r = spark.createDataFrame([(1, "add", "x", 1), (2, "add", "x", 35), (9, "add", "y", 35), (4, "remove", "y", 1), (5, "remove", "x", 1), (6, "remove", "x", 39), (7, "add", "z", 1), (8, "add", "x", 99)], "ordinal long, op string, assertion_id string, source_ref_id long")
     got = {r.ordinal: r.outcome for r in graph.evidence_outcomes(a, s, e, r).collect()}
-    assert got == {1: "existing", 2: "evidence_limit", 3: "created", 4: "would_orphan_evidence", 5: "deleted", 6: "missing_evidence", 7: "missing_assertion", 8: "missing_source"}
+    assert got == {1: "existing", 2: "evidence_limit", 9: "created", 4: "would_orphan_evidence", 5: "deleted", 6: "missing_evidence", 7: "missing_assertion", 8: "missing_source"}
+
+
+def test_evidence_is_served_in_order(spark):
+    a = spark.createDataFrame([("x",), ("y",)], "id string")
+    s = spark.createDataFrame([(i,) for i in range(50)], "source_ref_id long")
+    e = spark.createDataFrame([("x", i) for i in range(31)] + [("y", 1), ("y", 2)], "assertion_id string, source_ref_id long")
+    r = spark.createDataFrame([(1, "add", "x", 40), (2, "add", "x", 41), (3, "add", "x", 40), (4, "remove", "x", 40), (5, "add", "x", 41), (6, "remove", "y", 1), (7, "remove", "y", 2), (8, "remove", "y", 1)], "ordinal long, op string, assertion_id string, source_ref_id long")
+    got = {r.ordinal: r.outcome for r in graph.evidence_outcomes(a, s, e, r).collect()}
+    assert got == {1: "created", 2: "evidence_limit", 3: "existing", 4: "deleted", 5: "created", 6: "deleted", 7: "would_orphan_evidence", 8: "missing_evidence"}
+
+
+def test_concepts_of_one_batch(spark):
+    al = spark.createDataFrame([("c", "old", True)], "concept_id string, alias_key string, is_preferred boolean")
+    r = [(1, "a", True), (2, "a", True), (3, "a", True), (3, "b", False), (4, "old", True), (5, "a", True), (5, "old", False), (6, "z", True)]
+    got = {x.ordinal: x.outcome for x in graph.create_concepts(al, spark.createDataFrame(r, "ordinal long, key string, preferred boolean")).collect()}
+    assert got == {1: "created", 2: "existing", 3: "alias_set_mismatch", 4: "existing", 5: "alias_owned", 6: "created"}
+
+
+def test_mentions_of_one_batch(spark):
+    c, s = spark.createDataFrame([("c",)], "id string"), spark.createDataFrame([(1,)], "source_ref_id long")
+    m = spark.createDataFrame([], "concept_id string, source_ref_id long")
+    r = spark.createDataFrame([(k, op, "c", 1) for k, op in enumerate(("delete", "create", "create", "delete", "delete"))], "ordinal long, op string, concept_id string, source_ref_id long")
+    assert [x.outcome for x in graph.mention_outcomes(c, s, m, r).orderBy("ordinal").collect()] == ["missing_mention", "created", "existing", "deleted", "missing_mention"]
+
+
+def test_end_of_an_unknown_session(spark):
+    e = spark.createDataFrame([("s", 1, "session_end"), ("s", 2, "session_start"), ("s", 3, "session_end"), ("s", 4, "session_start")], "session_id string, seq long, event_type string")
+    assert [(r.seq, r.emitted) for r in ledger.ordered_runtime(e).orderBy("seq").collect()] == [(2, "session_start"), (3, "session_end")]
