@@ -22,8 +22,10 @@ a fixed share of each block; ``PROBES`` and ``TABLES`` say which, whatever the i
 
 Defined results: vectors that are null, zero, of another length than the most frequent one,
 or hold null or non-finite components take no part; repeated rows (equal vec_id and vector)
-count once; a null vec_id takes no part; an empty table gives no rows; other columns are
-ignored.
+count once; a null vec_id takes no part; ties go to the smaller vec_id; a vec_id with several
+vectors is a candidate by each of them and, as a query, has one list of the best of all; a query
+has all candidates if there are fewer than asked for; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,19 +11,26 @@ Why that is exact: the pre-token pattern looks at most two characters past a mat
 back, so a pre-token that ends two characters before the edit stays, and once a new border
 meets an old one behind the edit the rest is the same.
 
+Trees can be kept: ``plant`` gives each document's leaves as arrays to be stored, and
+``edit_stored`` takes stored trees and new edits and gives new trees; what no edit touches is
+neither split nor encoded a second time.
+
 Scale: a map over documents with their own edits; edits are grouped by document (bounded by
 one document's edits) before they meet the text by an equi-join.  Only the documents with
 edits shuffle; without edits there is no shuffle.  The vocabulary (under 1 MB) is broadcast.
 
 Defined results: null and empty texts have 0 tokens and can be edited like any text;
 edits apply in the order of ``seq``, ranges beyond the text are cut to it; edits of unknown
-documents are ignored; repeated rows are edited alike; other columns are ignored.
+documents are ignored; repeated rows are edited alike; edits with an equal ``seq`` apply in the
+order of their ranges; a very long text is one tree; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from hashlib import sha256
 
 import pandas as pd
 import regex
@@ -68,6 +75,17 @@ class Tree:
         self._sum_from(0)
         self.encoded = 0  # pre-tokens encoded since the tree was built
 
+    @classmethod
+    def stored(cls, counter: Counter, text: str, lengths: list[int], counts: list[int]) -> Tree:
+        """A tree from its stored leaves: sums only, nothing is split or encoded."""
+        if sum(lengths) != len(text):
+            raise ValueError("the leaves do not cover the text")
+        tree = cls.__new__(cls)
+        tree.counter, tree.text, tree.encoded = counter, text, 0
+        tree.levels = [(list(lengths), list(counts))]
+        tree._sum_from(0)
+        return tree
+
     def _sum_from(self, leaf: int, until: int | None = None) -> None:
         """Sums above the leaves from ``leaf`` on, up to ``until`` if their number is unchanged."""
         k, lo, hi = 0, leaf, until
@@ -141,7 +159,76 @@ class Tree:
         self._sum_from(first, first + len(pieces) if same else None)
 
 
-_counters: dict[int, Counter] = {}
+_counters: dict[bytes, Counter] = {}
+
+
+def _counter(shared) -> Counter:
+    """The worker's counter for a vocabulary and pattern, whatever other ones it has met."""
+    content, pattern = shared.value
+    key = sha256(content + b"\0" + pattern.encode()).digest()
+    if (c := _counters.get(key)) is None:
+        _counters.clear()
+        c = _counters[key] = Counter(content, pattern)
+    return c
+
+
+def _vocabulary(spark, path: str | None, pattern: str | None):
+    import public_tokenizers
+
+    with open(path or str(public_tokenizers.path(VOCABULARY)), "rb") as f:
+        return spark.sparkContext.broadcast((f.read(), pattern or public_tokenizers.PATTERN))
+
+
+def _with_edits(df: DataFrame, edits: DataFrame) -> DataFrame:
+    """``df`` with the array ``edits`` of each doc_id, by seq; null without any."""
+    each = F.struct(F.col("seq").cast("long").alias("seq"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.coalesce("new", F.lit("")).alias("new"))
+    per = edits.groupBy(F.col("doc_id").cast("long").alias("e_doc")).agg(F.array_sort(F.collect_list(each)).alias("edits"))
+    return df.join(per, F.col("doc_id") == F.col("e_doc"), "left").drop("e_doc")
+
+
+TREE = "doc_id long, text string, lengths array<int>, counts array<int>, n_tokens long, n_encoded long"
+
+
+def plant(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """The trees of ``docs``, to be stored: doc_id, text, the leaves (lengths, counts), n_tokens,
+    n_encoded (pre-tokens encoded to make them)."""
+    shared = _vocabulary(docs.sparkSession, path, pattern)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counter = _counter(shared)
+        for pdf in batches:
+            rows = []
+            for i, t in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), strict=True):
+                tree = Tree(counter, t or "")
+                rows.append((None if i != i else i, tree.text, *tree.levels[0], tree.tokens, len(tree.levels[0][0])))
+            yield pd.DataFrame(rows, columns=["doc_id", "text", "lengths", "counts", "n_tokens", "n_encoded"], dtype=object)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, TREE)
+
+
+def edit_stored(trees: DataFrame, edits: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """Stored ``trees`` after ``edits`` (doc_id, seq, start, end, new), in the same form.
+
+    Trees without edits go through as they are, outside Python; of the others only what an
+    edit touches is split and encoded anew, which ``n_encoded`` counts."""
+    shared = _vocabulary(trees.sparkSession, path, pattern)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counter = _counter(shared)
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                tree = Tree.stored(counter, r.text, list(r.lengths), list(r.counts))
+                for e in r.edits:
+                    tree.edit(int(e["start"]), int(e["end"]), e["new"])
+                lengths, counts = tree.levels[0]
+                rows.append((None if r.doc_id != r.doc_id else r.doc_id, tree.text, lengths, counts, tree.tokens, tree.encoded))
+            yield pd.DataFrame(rows, columns=["doc_id", "text", "lengths", "counts", "n_tokens", "n_encoded"], dtype=object)
+
+    both = _with_edits(trees.select("doc_id", "text", "lengths", "counts", "n_tokens"), edits)
+    changed = both.filter("edits is not null").mapInPandas(run, TREE)
+    same = both.filter("edits is null").select("doc_id", "text", "lengths", "counts", "n_tokens", F.lit(0).cast("long").alias("n_encoded"))
+    return same.unionByName(changed)
 
 
 def count_with_edits(docs: DataFrame, edits: DataFrame | None = None, path: str | None = None, pattern: str | None = None, with_text: bool = False) -> DataFrame:
@@ -150,22 +237,18 @@ def count_with_edits(docs: DataFrame, edits: DataFrame | None = None, path: str
     ``edits``: doc_id, seq, start, end, new.  ``n_encoded`` counts the pre-tokens that the
     edits caused to be encoded anew.
     """
-    import public_tokenizers
-
-    with open(path or str(public_tokenizers.path(VOCABULARY)), "rb") as f:
-        shared = docs.sparkSession.sparkContext.broadcast((f.read(), pattern or public_tokenizers.PATTERN))
+    shared = _vocabulary(docs.sparkSession, path, pattern)
     df = docs.select(F.col("doc_id").cast("long"), "text")
     if edits is None:
         df = df.withColumn("edits", F.array().cast("array<struct<seq:long,start:long,end:long,new:string>>"))
     else:
-        per = edits.groupBy(F.col("doc_id").cast("long").alias("e_doc")).agg(F.array_sort(F.collect_list(F.struct(F.col("seq").cast("long").alias("seq"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.coalesce("new", F.lit("")).alias("new")))).alias("edits"))
-        df = df.join(per, F.col("doc_id") == F.col("e_doc"), "left").select("doc_id", "text", "edits")
+        df = _with_edits(df, edits).select("doc_id", "text", "edits")
     return _apply(df, shared, with_text)
 
 
 def _apply(df: DataFrame, shared, with_text: bool) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter = _counters.get(0) or _counters.setdefault(0, Counter(*shared.value))
+        counter = _counter(shared)
         for pdf in batches:
             rows = []
             for i, t, es in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), pdf["edits"].tolist(), strict=True):
@@ -190,9 +273,6 @@ def standard_edits(text):
 
 
 def op3_tokencounts(spark, sf_dir):
-    import public_tokenizers
-
-    with open(str(public_tokenizers.path(VOCABULARY)), "rb") as f:
-        shared = spark.sparkContext.broadcast((f.read(), public_tokenizers.PATTERN))
+    shared = _vocabulary(spark, None, None)
     docs = table(spark, sf_dir, "documents")
     return _apply(docs.select("doc_id", "text", standard_edits(F.col("text")).alias("edits")), shared, False)
