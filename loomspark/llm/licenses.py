@@ -1,17 +1,22 @@
 """Operator 8: licence scans by canonical digest lookup.
 
 A text is canonical after: lower case; copyright lines dropped; equivalent spellings made
-one; everything but letters and digits made one space.  The SHA-256 of that is looked up
-among the digests of known licence texts.  The lookup is made for the entire text and for
-each of its paragraphs (lines), so that a licence notice standing in a longer document is
-found as well; both are equi-joins on the digest.
-
-Scale: one scan; digests are made in the same stage as the read.  The licence table is a
-parameter; it is broadcast only if it was counted and is small.  Only rows that match are
-aggregated, so common ordinary lines never meet in one task.
+one; everything but letters and digits made one space; title lines at its beginning dropped.
+The SHA-256 of that is looked up among the digests of known licence texts.  The lookup is made
+for the entire text, for each of its lines, and for its runs of one paragraph and more (lines
+joined, as blank lines part them), as long as the known texts are, so that a notice or a whole
+licence standing in a longer document is found as well, however its lines are wrapped.  All are
+equi-joins on the digest.
+
+Scale: one scan, one canonical form a text, from which its parts are cut; a part whose length no
+known text has is neither hashed nor joined (equal digests have equal lengths).  The licence
+table is a parameter; it is broadcast only if it was counted and is small.  Only rows that match
+are aggregated, so common ordinary lines never meet in one task.
 
 Defined results: null and empty texts, and texts with nothing but copyright lines, have no
-digest (null) and no licence; repeated rows are kept as they are; other columns are ignored.
+digest (null) and no licence; a notice that repeats in a text counts each time; a very long text
+is scanned once; repeated rows are kept as they are; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -56,19 +61,48 @@ LICENSES = (
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("LicenseRef-AllRightsReserved", "All rights reserved."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\nIn jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.\n\nFor more information, please refer to <https://unlicense.org>"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n\n3. This notice may not be removed or altered from any source distribution."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
 )
 
-#: Lines that name a copyright holder; they differ from copy to copy.
-COPYRIGHT_LINE = r"(?m)^[\x20\t*#/;-]*(?:copyright\b|\(c\)|©)[^\n]*$"
+#: Title lines, in canonical form.
+TITLES = ("mit license", "the mit license", "the mit license mit", "mit license mit", "isc license", "the isc license", "bsd 2 clause license", "bsd 3 clause license", "the 2 clause bsd license", "the 3 clause bsd license", "simplified bsd license", "new bsd license", "bsd zero clause license", "zero clause bsd", "zlib license", "the zlib license", "the unlicense", "unlicense", "license")
 
+#: Lines that name a copyright holder; they differ from copy to copy.  (A wrapped line may begin
+#: with the word as well: a year, a sign, a name behind "by" or a place to fill in must follow.)
+COPYRIGHT_LINE = r"(?m)^[\x20\t*#/;-]*(?:copyright[\x20\t:,]*(?:\(c\)|©|\d|by\b|\[|<|\{)|\(c\)|©)[^\n]*$"
 
-def canonical(text):
-    """Canonical form of a text column; '' if nothing is left."""
+
+def spelled(text):
+    """Lower case, without copyright lines, spellings made one, only letters, digits and line
+    feeds with single spaces between; lines are still apart."""
     c = F.lower(F.coalesce(text, F.lit("")))
-    c = F.regexp_replace(c, COPYRIGHT_LINE, " ")
+    marked = c.contains("copyright") | c.contains("(c)") | c.contains("©")
+    c = F.when(marked, F.regexp_replace(c, COPYRIGHT_LINE, " ")).otherwise(c)
     for variant, spelling in SPELLINGS:
         c = F.replace(c, F.lit(variant), F.lit(spelling))
-    return F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "))
+    return F.regexp_replace(c, r"[^\p{L}\p{N}\n]+", " ")
+
+
+def flat(c):
+    """The lines of a spelled text as one."""
+    return F.trim(F.regexp_replace(c, r"[\x20\n]+", " "))
+
+
+def untitled(c):
+    """A spelled text without title lines (and blank ones) at its beginning."""
+    titles = "|".join(sorted(TITLES, key=len, reverse=True))
+    return F.regexp_replace(c, rf"^(?:[\x20\n]*(?:(?:{titles})\x20?(?:\n|$)))+", "")
+
+
+def canonical(text):
+    """Canonical form of a text column; '' if nothing is left."""
+    return flat(untitled(spelled(text)))
 
 
 def digest(text):
@@ -77,23 +111,47 @@ def digest(text):
     return F.when(c != "", F.sha2(c, 256))
 
 
+#: Blank lines part paragraphs (in a spelled text).
+PARAGRAPH = r"\n\x20?(?:\n\x20?)+"
+
+
 def known_digests(spark: SparkSession, licenses=LICENSES) -> DataFrame:
-    """(k_digest, license_id): one row per digest; entries whose digests agree keep the least id."""
-    known = spark.createDataFrame(list(licenses), "license_id string, text string")
-    return known.select(digest(F.col("text")).alias("k_digest"), "license_id").filter("k_digest is not null").groupBy("k_digest").agg(F.min("license_id").alias("license_id"))
+    """(k_digest, license_id, k_chars, k_paragraphs): one row per digest; entries whose digests
+    agree keep the least id."""
+    known = spark.createDataFrame(list(licenses), "license_id string, text string").withColumn("c", untitled(spelled(F.col("text"))))
+    parts = F.size(F.filter(F.split("c", PARAGRAPH), lambda p: F.trim(p) != ""))
+    known = known.select(flat(F.col("c")).alias("c"), "license_id", parts.alias("parts")).filter("c != ''")
+    return known.groupBy(F.sha2("c", 256).alias("k_digest")).agg(F.min("license_id").alias("license_id"), F.min(F.length("c")).alias("k_chars"), F.array_distinct(F.collect_set("parts")).alias("k_paragraphs"))
 
 
 def scan(docs: DataFrame, known: DataFrame, most_broadcast: int = 100_000) -> DataFrame:
-    """doc_id, digest, license_id (entire text), notice_ids and n_notices (its lines) for every row."""
+    """doc_id, digest, license_id (entire text), notice_ids and n_notices (its lines, and its runs
+    of paragraphs that are no single line) for every row."""
+    # lengths and numbers of paragraphs: at most as many as the longest known text has
+    sizes = known.agg(F.array_sort(F.collect_set("k_chars")).alias("chars"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("k_paragraphs")))).alias("parts")).first()
+    fits = lambda c: F.length(c).isin(sizes["chars"]) if sizes["chars"] else F.lit(False)
+    known = known.select("k_digest", "license_id")
     known = F.broadcast(known) if known.limit(most_broadcast + 1).count() <= most_broadcast else known
-    rows = docs.select(F.col("doc_id"), F.col("text"), F.xxhash64("text").alias("mark"))
-    whole = rows.select("doc_id", "mark", digest(F.col("text")).alias("digest"))
-    whole = whole.join(known, F.col("digest") == F.col("k_digest"), "left").select("doc_id", "mark", "digest", "license_id")
-    lines = rows.select("doc_id", "mark", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line")).select("doc_id", "mark", "pos", digest(F.col("line")).alias("l_digest"))
-    # rows that agree in doc_id and text have the same notices: each line counts once
-    found = lines.join(known, F.col("l_digest") == F.col("k_digest")).groupBy(F.col("doc_id").alias("f_doc"), F.col("mark").alias("f_mark"))
+    rows = docs.select(F.col("doc_id"), F.xxhash64("text").alias("mark"), spelled(F.col("text")).alias("c"))
+    whole = flat(untitled(F.col("c")))
+    lines = F.filter(F.transform(F.split("c", "\n"), lambda x: F.trim(x)), lambda x: fits(x))
+    rows = rows.withColumns({"whole": whole, "lines": lines, "parts": F.split("c", PARAGRAPH)})
+    n = F.size("parts")
+
+    def of(k: int):
+        """Runs of ``k`` paragraphs; a run of one line is looked up as a line."""
+        made = F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), lambda i: F.array_join(F.slice("parts", i + 1, k), "\n"))
+        return F.when(n >= k, F.filter(made, lambda x: F.contains(F.trim(x, F.lit(" \n")), F.lit("\n"))))
+
+    none = F.array().cast("array<string>")
+    runs = F.filter(F.transform(F.concat(none, *[F.coalesce(of(k), none) for k in sizes["parts"]]), flat), lambda x: fits(x))
+    rows = rows.select("doc_id", "mark", F.when(F.col("whole") != "", F.sha2("whole", 256)).alias("digest"), F.concat("lines", runs).alias("pieces"))
+    entire = rows.select("doc_id", "mark", "digest").join(known, F.col("digest") == F.col("k_digest"), "left").select("doc_id", "mark", "digest", "license_id")
+    found = rows.select("doc_id", "mark", F.posexplode("pieces").alias("pos", "piece")).select("doc_id", "mark", "pos", F.sha2("piece", 256).alias("l_digest"))
+    # rows that agree in doc_id and text have the same notices: each piece counts once
+    found = found.join(known, F.col("l_digest") == F.col("k_digest")).groupBy(F.col("doc_id").alias("f_doc"), F.col("mark").alias("f_mark"))
     found = found.agg(F.size(F.collect_set("pos")).alias("n"), F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("ids"))
-    out = whole.join(found, F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("mark") == F.col("f_mark")), "left")
+    out = entire.join(found, F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("mark") == F.col("f_mark")), "left")
     return out.select("doc_id", "digest", "license_id", F.coalesce("ids", F.lit("")).alias("notice_ids"), F.coalesce("n", F.lit(0)).cast("long").alias("n_notices"))
 
 
