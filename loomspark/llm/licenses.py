@@ -86,12 +86,13 @@ def spelled(text):
     c = F.when(marked, F.regexp_replace(c, COPYRIGHT_LINE, " ")).otherwise(c)
     for variant, spelling in SPELLINGS:
         c = F.replace(c, F.lit(variant), F.lit(spelling))
-    return F.regexp_replace(c, r"[^\p{L}\p{N}\n]+", " ")
+    # single spaces stay as they are: few places have to be replaced
+    return F.regexp_replace(c, r"\x20?[^\p{L}\p{N}\n\x20][^\p{L}\p{N}\n]*|\x20{2,}", " ")
 
 
 def flat(c):
     """The lines of a spelled text as one."""
-    return F.trim(F.regexp_replace(c, r"[\x20\n]+", " "))
+    return F.trim(F.regexp_replace(c, r"\x20?\n[\x20\n]*", " "))
 
 
 def untitled(c):
@@ -129,30 +130,36 @@ def scan(docs: DataFrame, known: DataFrame, most_broadcast: int = 100_000) -> Da
     of paragraphs that are no single line) for every row."""
     # lengths and numbers of paragraphs: at most as many as the longest known text has
     sizes = known.agg(F.array_sort(F.collect_set("k_chars")).alias("chars"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("k_paragraphs")))).alias("parts")).first()
-    fits = lambda c: F.length(c).isin(sizes["chars"]) if sizes["chars"] else F.lit(False)
+    fits = lambda n: n.isin(sizes["chars"]) if sizes["chars"] else F.lit(False)
     known = known.select("k_digest", "license_id")
     known = F.broadcast(known) if known.limit(most_broadcast + 1).count() <= most_broadcast else known
     rows = docs.select(F.col("doc_id"), F.xxhash64("text").alias("mark"), spelled(F.col("text")).alias("c"))
-    whole = flat(untitled(F.col("c")))
-    lines = F.filter(F.transform(F.split("c", "\n"), lambda x: F.trim(x)), lambda x: fits(x))
-    rows = rows.withColumns({"whole": whole, "lines": lines, "parts": F.split("c", PARAGRAPH)})
+    lines = F.filter(F.transform(F.split("c", "\n"), lambda x: F.trim(x)), lambda x: fits(F.length(x)))
+    # a paragraph: whether it is one line, and its canonical form
+    parts = F.transform(F.split("c", PARAGRAPH), lambda p: F.struct(F.contains(F.trim(p, F.lit(" \n")), F.lit("\n")).alias("lines"), flat(p).alias("c")))
+    rows = rows.select("doc_id", "mark", flat(untitled(F.col("c"))).alias("whole"), lines.alias("lines"), F.filter(parts, lambda p: p["c"] != "").alias("parts"))
+    rows = rows.withColumn("sizes", F.transform("parts", lambda p: F.length(p["c"])))
     n = F.size("parts")
 
     def of(k: int):
-        """Runs of ``k`` paragraphs; a run of one line is looked up as a line."""
-        made = F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), lambda i: F.array_join(F.slice("parts", i + 1, k), "\n"))
-        return F.when(n >= k, F.filter(made, lambda x: F.contains(F.trim(x, F.lit(" \n")), F.lit("\n"))))
+        """Runs of ``k`` paragraphs; only those of a known length are put together."""
+        length = lambda i: sum((F.get("sizes", i + j) for j in range(1, k)), F.get("sizes", i)) + (k - 1)
+        first = F.filter(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), lambda i: fits(length(i)) & ((F.get("parts", i)["lines"]) if k == 1 else F.lit(True)))
+        return F.when(n >= k, F.transform(first, lambda i: F.array_join(F.transform(F.slice("parts", i + 1, k), lambda p: p["c"]), " ")))
 
     none = F.array().cast("array<string>")
-    runs = F.filter(F.transform(F.concat(none, *[F.coalesce(of(k), none) for k in sizes["parts"]]), flat), lambda x: fits(x))
-    rows = rows.select("doc_id", "mark", F.when(F.col("whole") != "", F.sha2("whole", 256)).alias("digest"), F.concat("lines", runs).alias("pieces"))
-    entire = rows.select("doc_id", "mark", "digest").join(known, F.col("digest") == F.col("k_digest"), "left").select("doc_id", "mark", "digest", "license_id")
-    found = rows.select("doc_id", "mark", F.posexplode("pieces").alias("pos", "piece")).select("doc_id", "mark", "pos", F.sha2("piece", 256).alias("l_digest"))
-    # rows that agree in doc_id and text have the same notices: each piece counts once
-    found = found.join(known, F.col("l_digest") == F.col("k_digest")).groupBy(F.col("doc_id").alias("f_doc"), F.col("mark").alias("f_mark"))
-    found = found.agg(F.size(F.collect_set("pos")).alias("n"), F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("ids"))
-    out = entire.join(found, F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("mark") == F.col("f_mark")), "left")
-    return out.select("doc_id", "digest", "license_id", F.coalesce("ids", F.lit("")).alias("notice_ids"), F.coalesce("n", F.lit(0)).cast("long").alias("n_notices"))
+    pieces = F.concat("lines", *[F.coalesce(of(k), none) for k in sizes["parts"] or []])
+    # the entire text is piece -1, which every row has
+    rows = rows.select("doc_id", "mark", F.posexplode(F.concat(F.array("whole"), pieces)).alias("pos", "piece"))
+    rows = rows.select("doc_id", "mark", (F.col("pos") - 1).alias("pos"), F.when(F.col("piece") != "", F.sha2("piece", 256)).alias("l_digest"))
+    found = rows.join(known, F.col("l_digest") == F.col("k_digest"), "left")
+    entire = F.col("pos") == -1
+    hit = F.when(~entire & F.col("license_id").isNotNull(), F.struct("pos", "license_id"))
+    # rows that agree in doc_id and text are alike: they are counted, and told apart again below
+    per = found.filter(entire | F.col("license_id").isNotNull()).groupBy("doc_id", "mark").agg(F.count_if(entire).alias("copies"), F.max(F.when(entire, F.col("l_digest"))).alias("digest"), F.max(F.when(entire, F.col("license_id"))).alias("license_id"), F.collect_set(hit).alias("hits"))
+    ids = F.array_join(F.array_sort(F.array_distinct(F.col("hits.license_id"))), ",")
+    out = per.select("doc_id", "digest", "license_id", ids.alias("notice_ids"), F.size("hits").cast("long").alias("n_notices"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return out.drop("copy")
 
 
 def op8_licenses(spark, sf_dir):

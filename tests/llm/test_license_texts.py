@@ -33,6 +33,7 @@ def brute(t, known, most):
     lines = [flat(x) for x in spelled(t).split("\n")]
     hits = [known[x] for x in lines if x in known]
     parts = re.split(r"\n ?(?:\n ?)+", spelled(t))
+    parts = [p for p in parts if flat(p)]
     for k in range(1, most + 1):
         for i in range(len(parts) - k + 1):
             run = "\n".join(parts[i : i + k])
