@@ -17,4 +17,38 @@ QUERIES = {
     "op10_mixing": mixing.op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: All pairs that share a shingle, which the small tables allow.
+NEARDUP = r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS set FROM d),
+ e AS MATERIALIZED (SELECT doc_id, hash(unnest(set)) AS h FROM s),
+ n AS MATERIALIZED (SELECT doc_id, CAST(len(set) AS BIGINT) AS n FROM s),
+ p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM e a JOIN e b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ l AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * common >= 85 * (a.n + b.n - common)),
+ g AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+ r AS (SELECT doc_id, doc_id AS node FROM n UNION SELECT r.doc_id, g.y FROM r JOIN g ON g.x = r.node),
+ c AS (SELECT doc_id, min(node) AS component_id FROM r GROUP BY 1)
+ SELECT n.doc_id, n.n AS n_shingles, component_id, n.doc_id = component_id AS kept FROM n JOIN c USING (doc_id)"""
+
+
+def _licenses() -> str:
+    """The licence scan, with texts compared by their canonical forms themselves."""
+    q = lambda t: "'" + t.replace("'", "''") + "'"
+    spelled = f"regexp_replace(lower(coalesce(text, '')), {q(licenses.COPYRIGHT_LINE)}, ' ', 'g')"
+    for variant, spelling in licenses.SPELLINGS:
+        spelled = f"replace({spelled}, {q(variant)}, {q(spelling)})"
+    spelled = rf"regexp_replace({spelled}, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
+    flat = lambda c: rf"trim(regexp_replace({c}, '[\x20\n]+', ' ', 'g'))"
+    titles = "|".join(sorted(licenses.TITLES, key=len, reverse=True))
+    untitled = lambda c: rf"regexp_replace({c}, '^(?:[\x20\n]*(?:(?:{titles})\x20?(?:\n|$)))+', '')"
+    known = ", ".join(f"({q(i)}, {q(t)})" for i, t in licenses.LICENSES)
+    runs = " || ".join(f"list_transform(range(0, len(p) - {k - 1}), lambda i: array_to_string(list_transform(p[i + 1:i + {k}], lambda x: x.c), ' '))" if k > 1 else "list_transform(list_filter(p, lambda x: x.l), lambda x: x.c)" for k in sorted({t.count("\n\n") + 1 for _, t in licenses.LICENSES}))
+    return rf"""WITH k AS MATERIALIZED (SELECT min(id) AS license_id, whole FROM (SELECT id, {flat(untitled("c"))} AS whole FROM (SELECT id, {spelled} AS c FROM (VALUES {known}) t(id, text))) GROUP BY 2),
+ c AS MATERIALIZED (SELECT doc_id, {spelled} AS c FROM documents),
+ p AS (SELECT doc_id, {flat(untitled("c"))} AS whole, list_transform(string_split(c, chr(10)), lambda x: trim(x)) AS lines,
+  list_filter(list_transform(string_split_regex(c, '\n\x20?(?:\n\x20?)+'), lambda x: {{'l': contains(trim(x, ' ' || chr(10)), chr(10)), 'c': {flat("x")}}}), lambda x: x.c != '') AS p FROM c),
+ x AS (SELECT doc_id, unnest(lines || {runs}) AS piece FROM p),
+ f AS (SELECT doc_id, count(*) AS n, array_to_string(list_sort(list(DISTINCT license_id)), ',') AS ids FROM x JOIN k ON piece = k.whole AND piece != '' GROUP BY 1)
+ SELECT p.doc_id, CASE WHEN p.whole != '' THEN sha256(p.whole) END AS digest, k.license_id, coalesce(ids, '') AS notice_ids, coalesce(n, 0) AS n_notices FROM p LEFT JOIN k ON k.whole = p.whole AND p.whole != '' LEFT JOIN f ON f.doc_id = p.doc_id"""
+
+
+ORACLE_SQL = {"op2_neardup": NEARDUP, "op8_licenses": _licenses()}
