@@ -124,7 +124,7 @@ def hybrid_search_merge(spark, d):
     return S.merge(S.bm25(c, " ".join(TERMS), 20), S.vector(c, X.embeddings(spark, d), X.query_vector(spark, d), 20), 20)
 
 
-@query("alias_normalize")
+@query("alias_normalize", "SELECT '  Ｃust. \u00a0Straße ﬁ ' || c_name || '\u2003ΣΑΣ' AS alias, 'cust. strasse fi ' || lower(c_name) || ' σασ' AS alias_key FROM customer")
 def alias_normalize(spark, d):
     names = X.read(spark, d, "customer").select(F.concat(F.lit("  Ｃust. \u00a0Straße ﬁ "), F.col("c_name"), F.lit("\u2003ΣΑΣ")).alias("alias"))
     return names.select("alias", T.alias_key_column(F.col("alias")).alias("alias_key"))

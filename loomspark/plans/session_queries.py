@@ -205,7 +205,7 @@ def observation_route(spark, d):
     return a.select(F.lit("session_events").alias("target")).unionByName(b.select(F.lit("raw_observations").alias("target"))).groupBy("target").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("json_doubles")
+@query("json_doubles", "SELECT event_id, '{\"k\":' || CAST(CAST(json_extract_string(props, '$.k') AS DOUBLE) AS VARCHAR) || '}' AS data FROM events")
 def json_doubles(spark, d):
     return X.read(spark, d, "events").select("event_id", L.doubles(F.col("props")).alias("data"))
 
