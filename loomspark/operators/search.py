@@ -95,14 +95,20 @@ def merge(lexical: DataFrame, semantic: DataFrame | None, limit: int) -> DataFra
     return out.select(F.row_number().over(Window.orderBy("id")).alias("rank"), "id", "version", "origin")
 
 
-def search(memories: DataFrame, embeddings: DataFrame, query: str, limit: int, embedder=None) -> DataFrame:
-    """Hybrid search; an embedder that is unavailable leaves the lexical result."""
+def search(memories: DataFrame, embeddings: DataFrame, query: str, limit: int, embedder=None, english: bool = True) -> DataFrame:
+    """Hybrid search; an embedder that is unavailable leaves the lexical result.
+
+    A query's vector has to be one vector of finite numbers, not all zero, in the dimension of
+    the stored ones; anything else counts as unavailable."""
+    import math
+
     semantic = None
     if embedder is not None:
         try:
             (q,) = embedder([query])
-        except (ConnectionError, ValueError):
-            q = None
-        if q is not None:
+            q = [float(x) for x in q]
+        except (ConnectionError, TimeoutError, TypeError, ValueError):
+            q = []
+        if q and all(map(math.isfinite, q)) and any(q):
             semantic = vector(memories, embeddings, q, limit)
-    return merge(bm25(memories, query, limit, english=True), semantic, limit)
+    return merge(bm25(memories, query, limit, english=english), semantic, limit)

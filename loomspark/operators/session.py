@@ -233,21 +233,52 @@ def generate(parts: DataFrame, generator) -> DataFrame:
     return parts.mapInPandas(run, "session_id string, chunk int, summary_sentences array<string>, concepts array<string>")
 
 
-def reduce(generated: DataFrame, reducer, fan: int = 8) -> DataFrame:
-    """Level by level, groups of ``fan`` results become one, until each session has one."""
+def reduce(generated: DataFrame, reducer, budget: int = limits.CHUNK_BYTES) -> DataFrame:
+    """session_id, chunk, summary_sentences, concepts -> one row a session.
+
+    A session's results are packed in order into JSON payloads of at most ``budget`` bytes;
+    ``reducer(payload) -> dict(summary_sentences, concepts)`` makes one result of each, level by
+    level until one is left, a single result included.  A final result has 1 to 5 sentences and
+    exactly 10 concepts that differ without regard to case.  A level that does not get shorter,
+    or a result that does not fit alone, is an error: the budget is too small."""
+    import json
+
     import pandas as pd
 
-    level, schema = generated, "session_id string, chunk int, summary_sentences array<string>, concepts array<string>"
+    def pack(level: list[dict]) -> list[str]:
+        ser = lambda x: json.dumps(x, separators=(",", ":"), ensure_ascii=False)
+        out, held, size = [], [], 2
+        for item in map(ser, level):
+            n = len(item.encode())
+            if n + 2 > budget:
+                raise ValueError("the byte budget is too small for one result")
+            if held and size + n + 1 > budget:
+                out.append(held)
+                held, size = [], 2
+            size += n + bool(held)
+            held = [*held, item]
+        return [f"[{','.join(x)}]" for x in [*out, held]]
+
+    def final(made: dict) -> dict:
+        sentences, concepts = [x.strip() for x in made["summary_sentences"]], [x.strip() for x in made["concepts"]]
+        if not 1 <= len(sentences) <= limits.SUMMARY_SENTENCES or not all(sentences):
+            raise ValueError("a summary has 1 to 5 sentences")
+        if len(concepts) != limits.FINAL_CONCEPTS or not all(concepts) or len({x.lower() for x in concepts}) != len(concepts):
+            raise ValueError("a final result has 10 different concepts")
+        return {"summary_sentences": sentences, "concepts": concepts}
 
     def run(key, pdf):
-        made = reducer(pdf.sort_values("chunk")[["summary_sentences", "concepts"]].to_dict("records"))
-        return pd.DataFrame({"session_id": [key[0]], "chunk": [int(key[1])], "summary_sentences": [made["summary_sentences"]], "concepts": [made["concepts"]]})
-
-    most = generated.agg(F.max("chunk")).first()[0]
-    while most is not None and most > 0:
-        level = level.groupBy("session_id", F.floor(F.col("chunk") / fan).alias("g")).applyInPandas(run, schema)
-        most = most // fan
-    return level
+        level = [{"summary_sentences": list(r.summary_sentences), "concepts": list(r.concepts)} for r in pdf.sort_values("chunk").itertuples()]
+        while True:
+            parts = pack(level)
+            if len(level) > 1 and len(parts) >= len(level):
+                raise ValueError("the byte budget is too small: a level did not get shorter")
+            level = [final(reducer(x)) for x in parts]
+            if len(level) == 1:
+                return pd.DataFrame({"session_id": [key[0]], "summary_sentences": [level[0]["summary_sentences"]], "concepts": [level[0]["concepts"]]})
+
+    # as many rows as a session has chunks
+    return generated.groupBy("session_id").applyInPandas(run, "session_id string, summary_sentences array<string>, concepts array<string>")
 
 
 def normal_concepts(c):

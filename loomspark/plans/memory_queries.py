@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import memory as M
 from ..operators import search as S
+from ..operators import session as P
 from . import fixtures as X
 
 QUERIES: dict = {}
@@ -93,9 +94,9 @@ def embedding_list_missing(spark, d):
     return M.list_missing(X.corpus(spark, d), X.embeddings(spark, d), 100)
 
 
-@query("embedding_render", f"WITH {X.CORPUS}, r AS (SELECT id, version, to_json({{'format': 'v1', 'title': title, 'content': content, 'concepts': [lang]}}) AS j FROM corpus) SELECT id, version, CAST(strlen(j) AS INTEGER) AS input_bytes, CASE WHEN strlen(j) > 32768 THEN 'input_too_large' END AS fault FROM r")
+@query("embedding_render", f"WITH {X.CORPUS}, r AS (SELECT id, version, to_json({{'format': 'v1', 'title': title, 'content': content, 'concepts': [lang]}}) AS j FROM corpus) SELECT id, version, CAST(strlen(j) AS INTEGER) AS input_bytes, CASE WHEN strlen(j) > 32768 THEN 'input_too_large' END AS fault, CASE WHEN strlen(j) <= 32768 THEN sha256(j) END AS input_sha256 FROM r")
 def embedding_render(spark, d):
-    return M.render(X.corpus(spark, d)).select("id", "version", "input_bytes", "fault")
+    return M.render(X.corpus(spark, d)).select("id", "version", "input_bytes", "fault", F.sha2("input", 256).alias("input_sha256"))
 
 
 TERMS = ("the", "heat", "license")
@@ -147,9 +148,34 @@ def embedding_faults(spark, d):
     return e.select("vec_id", M.vector_fault(v).alias("fault"))
 
 
-@query("embedding_coordinate", f"WITH {X.CORPUS}, {X.EMBEDDINGS}, k AS (SELECT c.id, length(to_json({{'format': 'v1', 'title': title, 'content': content, 'concepts': [lang]}})) > 2000000 AS big, e.id IS NOT NULL AS held FROM corpus c LEFT JOIN emb e USING (id)) SELECT count(*) AS selected, count(*) FILTER (NOT held) AS stored, count(*) FILTER (held) AS already_present, CAST(0 AS BIGINT) AS missing FROM k")
+@query(
+    "embedding_coordinate",
+    f"WITH {X.CORPUS}, {X.EMBEDDINGS}, k AS (SELECT CAST(c.id AS BIGINT) AS ordinal, CASE WHEN CAST(c.id AS BIGINT) % 50 = 49 THEN 'missing' WHEN e.id IS NOT NULL THEN 'already_present' ELSE 'stored' END AS state, CASE WHEN strlen(to_json({{'format': 'v1', 'title': title, 'content': content, 'concepts': [lang]}})) > 2000 THEN 'input_too_large' END AS fault FROM corpus c LEFT JOIN emb e USING (id)) SELECT count(*) AS selected, count(*) FILTER (state = 'stored') AS stored, count(*) FILTER (state = 'already_present') AS already_present, count(*) FILTER (state = 'missing') AS missing, min(ordinal) FILTER (fault IS NOT NULL) || ':' || min_by(fault, ordinal) FILTER (fault IS NOT NULL) AS first_fault FROM k",
+)
 def embedding_coordinate(spark, d):
     c = X.corpus(spark, d)
+    k = F.col("id").cast("long")
     held = X.embeddings(spark, d).select("id").withColumn("held", F.lit(True))
-    rows = M.render(c).join(held, "id", "left").select(F.col("id").cast("long").alias("ordinal"), F.when(F.col("held"), "already_present").otherwise("stored").alias("state"), "fault")
-    return M.coordinate(rows).drop("first_fault")
+    state = F.when(k % 50 == 49, "missing").when(F.col("held"), "already_present").otherwise("stored")
+    rows = M.render(c, 2000).join(held, "id", "left").select(k.alias("ordinal"), state.alias("state"), F.concat_ws(":", F.when(F.col("fault").isNotNull(), k.cast("string")), "fault").alias("f"))
+    rows = rows.select("ordinal", "state", F.when(F.col("f") != "", F.col("f")).alias("fault"))
+    return M.coordinate(rows)
+
+
+@query("search_without_embedder", f"WITH {X.CORPUS}, {X.EMBEDDINGS} " + "SELECT CAST(row_number() OVER (ORDER BY id) AS INTEGER) AS rank, id, version, 'lexical' AS origin FROM (" + ORACLE_SQL["bm25_plain_topk"] + ")")
+def search_without_embedder(spark, d):
+    """An embedder that is out of reach, or answers with another number of vectors, leaves the
+    lexical result."""
+    c = X.corpus(spark, d)
+
+    def gone(texts):
+        raise ConnectionError("out of reach")
+
+    return S.search(c, X.embeddings(spark, d), " ".join(TERMS), 20, gone, english=False)
+
+
+@query("concept_lists", "SELECT c_custkey AS ordinal, CASE c_custkey % 4 WHEN 0 THEN 'Alpha,beta' WHEN 3 THEN '' END AS concepts FROM customer")
+def concept_lists(spark, d):
+    k = F.col("c_custkey")
+    lists = F.when(k % 4 == 0, F.array(F.lit("\u00a0Alpha "), F.lit("beta\t"))).when(k % 4 == 1, F.array(F.lit("a"), F.lit(" \u2003"))).when(k % 4 == 2, F.array(F.lit("Alpha"), F.lit(" aLPHA"))).otherwise(F.array().cast("array<string>"))
+    return X.read(spark, d, "customer").select(k.alias("ordinal"), F.array_join(P.normal_concepts(lists), ",").alias("concepts"))

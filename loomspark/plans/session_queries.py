@@ -142,6 +142,13 @@ def session_retry(spark, d):
     return P.retry(a, f, X.now()).withColumn("next_attempt_at", F.col("next_attempt_at").cast("timestamp_ntz"))
 
 
+@query("session_promoted_records", ORACLE_SQL["session_promote"].rsplit("SELECT attempt_id, session_id FROM ready", 1)[0] + ", rec AS (SELECT session_id, source_revision, lifecycle_count, observation_count FROM att WHERE state = 'complete') SELECT coalesce(n.session_id, r.session_id) AS session_id, coalesce(n.source_revision, r.source_revision) AS source_revision, coalesce(n.lifecycle_count, r.lifecycle_count) AS lifecycle_count, coalesce(n.observation_count, r.observation_count) AS observation_count FROM ready n FULL JOIN rec r ON n.session_id = r.session_id")
+def session_promoted_records(spark, d):
+    a = _attempts(spark, d)
+    staged = a.filter(F.substring("attempt_id", 2, 20).cast("long") % 12 == 2).select("attempt_id", F.lit(None).cast("timestamp").alias("published_at"))
+    return P.promote(a, staged, a.filter("state = 'complete'").select("session_id", "source_revision", "lifecycle_count", "observation_count"))[0]
+
+
 @query("failure_taxonomy", "SELECT * FROM (VALUES " + ", ".join(str(x) for x in P.FAILURES) + ") t(category, stage, retryability)")
 def failure_taxonomy(spark, d):
     return P.failure_taxonomy(spark)
@@ -187,6 +194,7 @@ def _queue(spark, d):
     ts = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
     stamp = F.when(k % 5 == 0, F.concat(ts, F.lit(".12Z"))).when(k % 5 == 1, F.concat(ts, F.lit(".123z"))).when(k % 5 == 2, F.concat(ts, F.lit(".123+24:00"))).when(k % 5 == 3, F.lit("2024-02-30T00:00:00.000Z")).otherwise(F.concat(ts, F.lit(".999-01:30")))
     obs = F.to_json(F.struct(F.lit("observation").alias("event_type"), F.concat(F.lit("u"), "user_id").alias("session_id"), F.lit("p").alias("project_name"), F.lit("/w").alias("current_working_directory"), stamp.alias("timestamp"), F.col("event_type").alias("hook_type"), F.from_json("props", "map<string,string>").alias("data")))
+    obs = F.when(k % 14 == 4, F.regexp_replace(obs, r'"data":.*$', '"data":[1]}')).otherwise(obs)
     start = F.to_json(F.struct(F.lit("session_start").alias("event_type"), F.when(k % 11 == 0, "").otherwise(F.concat(F.lit("u"), "user_id")).alias("session_id"), F.lit("").alias("project_name"), F.lit("/w").alias("current_working_directory"), stamp.alias("timestamp")))
     return e.select("event_id", F.when(k % 2 == 0, obs).otherwise(start).alias("json"), stamp.alias("stamp"))
 
@@ -194,12 +202,12 @@ def _queue(spark, d):
 _OK = "event_id % 5 IN (1, 4)"
 
 
-@query("ledger_validate", f"SELECT event_id, CASE WHEN event_id % 2 = 1 AND event_id % 11 = 0 THEN 'session_id' WHEN NOT ({_OK}) THEN 'timestamp' END AS fault, CASE event_id % 5 WHEN 1 THEN epoch_ms(date_trunc('second', ts)) + 123 WHEN 4 THEN epoch_ms(date_trunc('second', ts)) + 999 + 5400000 ELSE -1 END AS epoch_ms FROM events")
+@query("ledger_validate", f"SELECT event_id, CASE WHEN event_id % 2 = 1 AND event_id % 11 = 0 THEN 'session_id' WHEN NOT ({_OK}) THEN 'timestamp' WHEN event_id % 14 = 4 THEN 'data' END AS fault, CASE event_id % 5 WHEN 1 THEN epoch_ms(date_trunc('second', ts)) + 123 WHEN 4 THEN epoch_ms(date_trunc('second', ts)) + 999 + 5400000 ELSE -1 END AS epoch_ms FROM events")
 def ledger_validate(spark, d):
     return L.validate(_queue(spark, d)).select("event_id", "fault", F.coalesce("epoch_ms", F.lit(-1)).alias("epoch_ms"))
 
 
-@query("observation_route", f"SELECT CASE WHEN event_id % 2 = 0 THEN 'raw_observations' ELSE 'session_events' END AS target, count(*) AS n FROM events WHERE {_OK} AND NOT (event_id % 2 = 1 AND event_id % 11 = 0) GROUP BY 1")
+@query("observation_route", f"SELECT CASE WHEN event_id % 2 = 0 THEN 'raw_observations' ELSE 'session_events' END AS target, count(*) AS n FROM events WHERE {_OK} AND NOT (event_id % 2 = 1 AND event_id % 11 = 0) AND event_id % 14 != 4 GROUP BY 1")
 def observation_route(spark, d):
     a, b = L.route(L.validate(_queue(spark, d)), X.now())
     return a.select(F.lit("session_events").alias("target")).unionByName(b.select(F.lit("raw_observations").alias("target"))).groupBy("target").agg(F.count(F.lit(1)).alias("n"))
@@ -251,11 +259,11 @@ def session_ordered_runtime(spark, d):
 
 @query(
     "row_change_reasons",
-    "SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'unrelated' WHEN o_orderkey % 7 = 0 THEN 'unrelated' WHEN o_orderkey % 5 = 0 THEN 'truncated' WHEN o_orderkey % 3 = 0 THEN 'duplicate' WHEN o_orderkey % 13 = 0 THEN 'malformed' END AS reason FROM orders",
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'unrelated' WHEN o_orderkey % 7 = 0 THEN 'unrelated' WHEN o_orderkey % 5 = 0 THEN 'truncated' WHEN o_orderkey % 17 = 0 THEN 'oversized' WHEN o_orderkey % 3 = 0 THEN 'duplicate' WHEN o_orderkey % 13 = 0 THEN 'malformed' END AS reason FROM orders",
 )
 def row_change_reasons(spark, d):
     o = X.read(spark, d, "orders")
     k = F.col("o_orderkey")
     key = lambda v: F.struct(k.cast("string").alias("id"), F.lit(v).alias("version"))
-    e = o.select(k, F.when(k % 11 == 0, "other").otherwise("main").alias("db"), F.lit("PUBLIC.Memories").alias("table"), F.when(k % 7 == 0, "INSERT").otherwise("insert").alias("op"), F.when(k % 13 == 0, 3).otherwise(2).cast("long").alias("affected_rows"), F.when(k % 3 == 0, F.array(key("1"), key("1"))).otherwise(F.array(key("1"), key("2"))).alias("returning"), F.lit(1700000000000).alias("at"), F.when(k % 5 == 0, True).alias("truncated"))
+    e = o.select(k, F.when(k % 11 == 0, "other").otherwise("main").alias("db"), F.lit("PUBLIC.Memories").alias("table"), F.when(k % 7 == 0, "INSERT").otherwise("insert").alias("op"), F.when(k % 13 == 0, 3).otherwise(2).cast("long").alias("affected_rows"), F.when(k % 17 == 0, F.transform(F.sequence(F.lit(1), F.lit(17)), lambda i: F.struct(k.cast("string").alias("id"), i.cast("string").alias("version")))).when(k % 3 == 0, F.array(key("1"), key("1"))).otherwise(F.array(key("1"), key("2"))).alias("returning"), F.lit(1700000000000).alias("at"), F.when(k % 5 == 0, True).alias("truncated"))
     return L.row_changes(e, "main", "memories", 16).select("o_orderkey", "reason")

@@ -169,3 +169,22 @@ def test_mentions_of_one_batch(spark):
 def test_end_of_an_unknown_session(spark):
     e = spark.createDataFrame([("s", 1, "session_end"), ("s", 2, "session_start"), ("s", 3, "session_end"), ("s", 4, "session_start")], "session_id string, seq long, event_type string")
     assert [(r.seq, r.emitted) for r in ledger.ordered_runtime(e).orderBy("seq").collect()] == [(2, "session_start"), (3, "session_end")]
+
+
+def test_reduction_by_bytes(spark):
+    rows = [("s", k, [f"sentence {k}"], [f"c{k}-{j}" for j in range(10)]) for k in range(9)] + [("t", 0, ["one"], [f"d{j}" for j in range(10)])]
+    g = spark.createDataFrame(rows, "session_id string, chunk int, summary_sentences array<string>, concepts array<string>")
+    budget = 500
+
+    def reducer(payload):
+        assert len(payload.encode()) <= budget
+        items = json.loads(payload)
+        return {"summary_sentences": [f"{len(items)} of {items[0]['summary_sentences'][0]}"[:40]], "concepts": items[0]["concepts"]}
+
+    got = {r.session_id: r for r in session.reduce(g, reducer, budget).collect()}
+    assert set(got) == {"s", "t"} and got["s"].concepts[0] == "c0-0" and got["t"].summary_sentences == ["1 of one"]
+    for bad, why in ((100, "too small for one"), (200, "did not get shorter")):
+        with pytest.raises(Exception, match=why):
+            session.reduce(g, lambda p: {"summary_sentences": ["x"], "concepts": [str(j) for j in range(10)]}, bad).collect()
+    with pytest.raises(Exception, match="10 different"):
+        session.reduce(g, lambda p: {"summary_sentences": ["x"], "concepts": ["a"]}, 5000).collect()
