@@ -12,6 +12,9 @@ LIFECYCLE = ("session_start", "session_end")
 #: Event kinds that the two adapter versions pass on.
 ADAPTER_V1 = ("session.created", "session.deleted", "session.updated", "session.status", "session.idle", "message.updated", "message.part.updated", "session.error")
 ADAPTER_V2 = ("session.created", "session.deleted", "session.execution.started", "session.execution.succeeded", "session.execution.interrupted", "session.text.ended", "session.reasoning.ended", "session.execution.failed", "session.step.failed", "session.compaction.failed")
+#: Hooks of the two adapter versions, passed on as observations like event kinds.
+HOOKS_V1 = ("chat.message", "tool.execute.before", "tool.execute.after")
+HOOKS_V2 = ("session.prompt", "tool.execute.before", "tool.execute.after")
 OBSERVATION_FIELDS = {"event_type", "session_id", "project_name", "current_working_directory", "timestamp", "hook_type", "data"}
 LIFECYCLE_FIELDS = OBSERVATION_FIELDS - {"hook_type", "data"}
 
@@ -95,7 +98,7 @@ def session_metadata(events: DataFrame) -> DataFrame:
     return events.withColumn("cwd", cwd).withColumn("project", F.coalesce(basename(F.col("worktree")), basename(F.col("cwd"))))
 
 
-def derived(events: DataFrame, prefix: str = "opencode.v1.", kinds: tuple[str, ...] = ADAPTER_V1) -> DataFrame:
+def derived(events: DataFrame, prefix: str = "opencode.v1.", kinds: tuple[str, ...] = (*ADAPTER_V1, *HOOKS_V1)) -> DataFrame:
     """session_id, seq, kind, delta -> ledger events: created starts before it is observed,
     deleted ends after it; streamed deltas and unknown kinds are not passed on."""
     ok = events.filter(F.col("kind").isin(*kinds) & ~((F.col("kind") == "message.part.updated") & F.col("delta").isNotNull()))

@@ -55,6 +55,27 @@ def transcript(lifecycle: DataFrame, observations: DataFrame) -> DataFrame:
     return both.withColumn("position", F.row_number().over(order))
 
 
+def transcript_faults(snapshots: DataFrame, entries: DataFrame) -> DataFrame:
+    """snapshots (snapshot_id) and their entries (snapshot_id, position, session_id, receipt_id)
+    -> snapshot_id, n_entries, fault: no entries, or at the first entry at fault another
+    session than the first entry's, or a receipt that an earlier entry has."""
+    per = Window.partitionBy("snapshot_id").orderBy("position")
+    mixed = F.col("session_id") != F.first("session_id").over(per)
+    again = F.row_number().over(Window.partitionBy("snapshot_id", "receipt_id").orderBy("position")) > 1
+    e = entries.withColumn("fault", F.when(mixed, "entries:mixed_session_ids").when(again, "entries:duplicate_receipt_id"))
+    found = e.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("n"), F.min_by("fault", F.when(F.col("fault").isNotNull(), F.col("position"))).alias("found"))
+    j = snapshots.join(found, "snapshot_id", "left")
+    return j.select("snapshot_id", F.coalesce("n", F.lit(0)).alias("n_entries"), F.when(F.col("n").isNull(), "entries:empty").otherwise(F.col("found")).alias("fault"))
+
+
+def snapshot(lifecycle: DataFrame, observations: DataFrame, prior: DataFrame) -> DataFrame:
+    """The transcript with ``in_scope``: observations that the session's prior transcript
+    (session_id, receipt_id) does not hold, which alone may support new memories."""
+    t = transcript(lifecycle, observations)
+    old = prior.select("session_id", "receipt_id").distinct().withColumn("old", F.lit(True))
+    return t.join(old, ["session_id", "receipt_id"], "left").withColumn("in_scope", (F.col("event_type") == "observation") & F.col("old").isNull()).drop("old")
+
+
 def memory_scope(observations: DataFrame, prior: DataFrame) -> DataFrame:
     """Observation receipts that the session's previous projection does not have."""
     return observations.select("session_id", "receipt_id").join(prior.select("session_id", "receipt_id"), ["session_id", "receipt_id"], "left_anti")

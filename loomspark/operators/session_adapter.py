@@ -1,4 +1,4 @@
-"""The second adapter ("Pi"): which native events count, what of them stays, and admission."""
+"""The third adapter: which native events count, what of them stays, and admission."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: Native events that are observations whatever they hold.
 OBSERVATIONS = ("session_info_changed", "session_compact", "session_compact_failed", "agent_start", "agent_settled", "ui_prompt_start", "ui_prompt_end", "turn_start", "turn_end", "tool_execution_start", "tool_execution_end")
+#: Fixed values of its envelope.
 SOURCE, VERSION = "pi", "1.0.0"
 
 

@@ -1,4 +1,4 @@
-"""Queries over graph reads by key, publishing, and the second adapter."""
+"""Queries over graph reads by key, publishing, and the third adapter."""
 
 from __future__ import annotations
 
@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import graph_reads as R
+from ..operators import ledger as L
 from ..operators import memory as M
-from ..operators import pi_adapter as A
+from ..operators import session_adapter as A
 from ..operators import publishing as B
+from ..operators import session as P
 from . import fixtures as X
 from .session_queries import ATTEMPTS, _attempts
 
@@ -272,7 +274,7 @@ def distinct_source_keys(spark, d):
     return X.read(spark, d, "orders").agg(F.countDistinct(F.struct((k % 11 == 0).alias("a"), (k % 100).alias("b"), F.when(k % 7 != 0, k % 5 + 1).alias("c"))).alias("n"))
 
 
-def _pi(spark, d):
+def _native(spark, d):
     e = X.read(spark, d, "events")
     k = F.col("event_id")
     kinds = [*A.OBSERVATIONS, "session_start", "session_shutdown", "message_end", "input", "tool_call", None]
@@ -283,13 +285,13 @@ def _pi(spark, d):
 _N_KINDS = len(A.OBSERVATIONS) + 6
 
 
-@query("pi_classify", f"SELECT event_id AS seq, CASE WHEN event_id % {_N_KINDS} < {len(A.OBSERVATIONS)} THEN 'observation' WHEN event_id % {_N_KINDS} = {len(A.OBSERVATIONS)} THEN 'start' WHEN event_id % {_N_KINDS} = {len(A.OBSERVATIONS) + 1} THEN 'end' WHEN event_id % {_N_KINDS} = {len(A.OBSERVATIONS) + 2} AND event_id % 3 < 2 THEN 'observation' ELSE 'excluded' END AS selection FROM events")
-def pi_classify(spark, d):
-    return A.classify(_pi(spark, d)).select("seq", "selection")
+@query("adapter3_classify", f"SELECT event_id AS seq, CASE WHEN event_id % {_N_KINDS} < {len(A.OBSERVATIONS)} THEN 'observation' WHEN event_id % {_N_KINDS} = {len(A.OBSERVATIONS)} THEN 'start' WHEN event_id % {_N_KINDS} = {len(A.OBSERVATIONS) + 1} THEN 'end' WHEN event_id % {_N_KINDS} = {len(A.OBSERVATIONS) + 2} AND event_id % 3 < 2 THEN 'observation' ELSE 'excluded' END AS selection FROM events")
+def adapter3_classify(spark, d):
+    return A.classify(_native(spark, d)).select("seq", "selection")
 
 
-@query("pi_text_content", "SELECT event_id AS seq, CASE event_id % 4 WHEN 0 THEN 'plain ' || event_type WHEN 1 THEN event_type || '+' WHEN 2 THEN '' END AS text FROM events")
-def pi_text_content(spark, d):
+@query("adapter3_text_content", "SELECT event_id AS seq, CASE event_id % 4 WHEN 0 THEN 'plain ' || event_type WHEN 1 THEN event_type || '+' WHEN 2 THEN '' END AS text FROM events")
+def adapter3_text_content(spark, d):
     k = F.col("event_id")
     b = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.cast("string").alias("text"))
     blocks = F.when(k % 4 == 1, F.array(b("text", F.col("event_type")), b("thinking", F.lit(None)), b("text", F.lit("+")))).when(k % 4 == 2, F.array(b("image", F.lit(None)))).when(k % 4 == 3, F.array(b("text", F.lit("x")), b("video", F.lit(None))))
@@ -297,7 +299,44 @@ def pi_text_content(spark, d):
     return e.select("seq", A.text_content(F.col("content"), F.col("blocks"), ("image", "thinking")).alias("text"))
 
 
-@query("pi_queue_admission", "WITH q AS (SELECT user_id, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nr FROM events) SELECT CAST(user_id AS VARCHAR) AS session_id, seq, CASE WHEN nr > 5 THEN 'overflow' WHEN nr = 1 THEN 'start,observation' ELSE 'observation' END AS admitted FROM q")
-def pi_queue_admission(spark, d):
+@query("adapter3_queue_admission", "WITH q AS (SELECT user_id, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nr FROM events) SELECT CAST(user_id AS VARCHAR) AS session_id, seq, CASE WHEN nr > 5 THEN 'overflow' WHEN nr = 1 THEN 'start,observation' ELSE 'observation' END AS admitted FROM q")
+def adapter3_queue_admission(spark, d):
     e = X.read(spark, d, "events").select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("seq"), F.lit("observation").alias("kind"))
     return A.admission(e, 5).select("session_id", "seq", "admitted")
+
+
+@query("session_transcript_faults", "WITH e AS (SELECT o_custkey AS snapshot_id, o_orderkey AS position, CASE WHEN o_custkey % 5 = 1 AND o_orderkey % 3 = 0 THEN 'other' ELSE 's' || o_custkey END AS session_id, CASE WHEN o_custkey % 5 = 2 THEN o_orderkey % 4 ELSE o_orderkey END AS receipt_id FROM orders WHERE o_custkey % 5 != 3), f AS (SELECT *, session_id != first_value(session_id) OVER (PARTITION BY snapshot_id ORDER BY position) AS mixed, row_number() OVER (PARTITION BY snapshot_id, receipt_id ORDER BY position) > 1 AS again FROM e), g AS (SELECT snapshot_id, count(*) AS n, min_by(CASE WHEN mixed THEN 'entries:mixed_session_ids' ELSE 'entries:duplicate_receipt_id' END, position) FILTER (mixed OR again) AS fault FROM f GROUP BY 1) SELECT c_custkey AS snapshot_id, coalesce(n, 0) AS n_entries, CASE WHEN n IS NULL THEN 'entries:empty' ELSE fault END AS fault FROM customer LEFT JOIN g ON c_custkey = snapshot_id")
+def session_transcript_faults(spark, d):
+    o = X.read(spark, d, "orders").filter("o_custkey % 5 != 3")
+    c, k = F.col("o_custkey"), F.col("o_orderkey")
+    e = o.select(c.alias("snapshot_id"), k.alias("position"), F.when((c % 5 == 1) & (k % 3 == 0), "other").otherwise(F.concat(F.lit("s"), c)).alias("session_id"), F.when(c % 5 == 2, k % 4).otherwise(k).alias("receipt_id"))
+    return P.transcript_faults(X.read(spark, d, "customer").select(F.col("c_custkey").alias("snapshot_id")), e)
+
+
+@query("session_snapshot", f"WITH {X.LEDGER} SELECT session_id, receipt_id, event_type, CAST(row_number() OVER (PARTITION BY session_id ORDER BY ts, CASE event_type WHEN 'session_start' THEN 0 WHEN 'observation' THEN 1 ELSE 2 END, receipt_id) AS INTEGER) AS position, event_type = 'observation' AND CAST(receipt_id AS BIGINT) % 3 != 0 AS in_scope FROM led")
+def session_snapshot(spark, d):
+    l, o = X.ledger(spark, d)
+    prior = l.unionByName(o).filter(F.col("receipt_id").cast("long") % 3 == 0)
+    return P.snapshot(l, o, prior).select("session_id", "receipt_id", "event_type", "position", "in_scope")
+
+
+_V2 = [*L.ADAPTER_V2, *L.HOOKS_V2, "session.unknown", "chat.message"]
+
+
+@query(
+    "adapter_v2_events",
+    f"WITH e AS (SELECT CAST(user_id AS VARCHAR) AS session_id, event_id AS seq, {_V2}[event_id % {len(_V2)} + 1] AS kind FROM events), k AS (SELECT * FROM e WHERE kind NOT IN ('session.unknown', 'chat.message')) SELECT session_id, seq, CASE WHEN kind = 'session.created' THEN 1 ELSE 0 END AS ordinal, 'observation' AS event_type, 'opencode.v2.' || kind AS hook_type FROM k UNION ALL SELECT session_id, seq, 0, 'session_start', NULL FROM k WHERE kind = 'session.created' UNION ALL SELECT session_id, seq, 1, 'session_end', NULL FROM k WHERE kind = 'session.deleted'",
+)
+def adapter_v2_events(spark, d):
+    k = F.col("event_id")
+    kind = F.element_at(F.array(*[F.lit(x) for x in _V2]), (k % len(_V2) + 1).cast("int"))
+    e = X.read(spark, d, "events").select(F.col("user_id").cast("string").alias("session_id"), k.alias("seq"), kind.alias("kind"), F.lit(None).cast("string").alias("delta"))
+    return L.derived(e, "opencode.v2.", (*L.ADAPTER_V2, *L.HOOKS_V2))
+
+
+@query("adapter_v1_hooks", "SELECT event_id AS seq, 'opencode.v1.' || ['chat.message', 'tool.execute.before', 'tool.execute.after'][event_id % 4 + 1] AS hook_type FROM events WHERE event_id % 4 < 3")
+def adapter_v1_hooks(spark, d):
+    k = F.col("event_id")
+    kind = F.element_at(F.array(*[F.lit(x) for x in (*L.HOOKS_V1, "session.prompt")]), (k % 4 + 1).cast("int"))
+    e = X.read(spark, d, "events").select(F.col("user_id").cast("string").alias("session_id"), k.alias("seq"), kind.alias("kind"), F.lit(None).cast("string").alias("delta"))
+    return L.derived(e).select("seq", "hook_type")

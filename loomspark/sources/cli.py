@@ -29,7 +29,7 @@ def event(args: argparse.Namespace, stdin) -> dict:
 
 
 def main(argv: list[str] | None = None, stdin=sys.stdin) -> int:
-    p = argparse.ArgumentParser(prog="harness-events", exit_on_error=False)
+    p = argparse.ArgumentParser(prog="loomspark-events", exit_on_error=False)
     p.add_argument("kind", choices=["session-start", "observation", "session-end"])
     for name in ("landing", "session-id", "project-name", "cwd", "timestamp"):
         p.add_argument(f"--{name}", required=True)
