@@ -142,19 +142,31 @@ def long_runs(marked: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     ``marked``: doc_id, mark, at, h, n and the sorted line numbers ``seen``.
     """
-    own = ["doc_id", "mark", "at", "h", "n", "next"]
+    # sums of 1, 2, 4, ... lines from each line on (null beyond the end): a run's length follows in
+    # a few steps, the longest first (a line has a word at least)
+    steps = [1]
+    while 2 * steps[-1] < min_words:
+        steps.append(2 * steps[-1])
+    own = ["doc_id", "mark", "at", "h", "next", *[f"s{k}" for k in steps]]
     # for every line up to the last marked one, the first marked line from it on
     gap = lambda p, k: F.array_repeat(p, p - F.coalesce(F.get("seen", k - 1), F.lit(-1)))
-    rows = marked.select("doc_id", "mark", "at", "h", "n", F.flatten(F.transform("seen", gap)).alias("next"))
-    # generated code from here on, in one method small enough to be compiled: a row looks at its
-    # neighbours in the document's arrays, in the one way and in the other
-    rows = rows.select(*own, F.posexplode("n").alias("i", "n0"))
+    rows = marked.select("doc_id", "mark", "at", "h", F.col("n").alias("s1"), F.flatten(F.transform("seen", gap)).alias("next"))
+    for k in steps[1:]:
+        half = f"s{k // 2}"
+        rows = rows.withColumn(f"s{k}", F.zip_with(half, F.slice(half, F.lit(k // 2 + 1), F.size("s1")), lambda x, y: x + y))
+    # generated code from here on: a row looks at its neighbours in the document's arrays, in the
+    # one way and in the other
+    rows = rows.select(*own, F.posexplode("s1").alias("i", "n0"))
     rows = rows.select(*own, "i", F.coalesce("n0", F.lit(0)).alias("n0"), F.explode(F.array(F.lit(1), F.lit(-1))).alias("way"))
-    rows = rows.select(*own, "i", "n0", "way", F.col("n0").alias("sum"), F.lit(1).alias("size"))
-    for k in range(1, min_words):  # a line has a word at least
-        enough = F.col("sum") >= min_words
-        more = F.coalesce(F.get("n", F.col("i") + F.col("way") * k), F.lit(0))
-        rows = rows.select(*own, "i", "n0", "way", F.when(enough, F.col("sum")).otherwise(F.col("sum") + more).alias("sum"), F.when(enough, F.col("size")).otherwise(F.lit(k + 1)).alias("size"))
+    rows = rows.select(*own, "i", "n0", "way", F.lit(0).alias("sum"), F.lit(0).alias("k"))
+    held = ["i", "n0", "way", "sum", "k"]
+    for k in reversed(steps):
+        block = F.get(f"s{k}", F.when(F.col("way") == 1, F.col("i") + F.col("k")).otherwise(F.col("i") - F.col("k") - (k - 1)))
+        rows = rows.select(*own, *held, (F.col("sum") + block).alias("more"))
+        go = F.coalesce(F.col("more") < min_words, F.lit(False))
+        rows = rows.select(*own, "i", "n0", "way", F.when(go, F.col("more")).otherwise(F.col("sum")).alias("sum"), F.when(go, F.col("k") + k).otherwise(F.col("k")).alias("k"))
+    last = F.coalesce(F.get("s1", F.col("i") + F.col("way") * F.col("k")), F.lit(0))
+    rows = rows.select(*own, "i", "n0", "way", (F.col("sum") + last).alias("sum"), (F.col("k") + 1).alias("size"))
     ahead = F.col("way") == 1
     # the shortest run up to a line is left out if it is also the shortest from its start on
     good = (F.col("sum") >= min_words) & (ahead | (F.col("sum") - F.col("n0") >= min_words))
