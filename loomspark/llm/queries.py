@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, conversations, licenses, linededup, mixing, neardup, quality, secrets, tokencount, toxicity
+from . import ann, bpe, conversations, licenses, linededup, mixing, neardup, quality, secrets, tokencount, toxicity, tries
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_secrets": secrets.op9_secrets,
     "op10_mixing": mixing.op10_mixing,
     "op11_conversations": conversations.op11_conversations,
+    "op12_prefixtrie": tries.op12_prefixtrie,
 }
 
 #: All pairs that share a shingle, which the small tables allow.
