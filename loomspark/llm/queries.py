@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, conversations, licenses, linededup, mixing, neardup, quality, secrets, tokencount, toxicity, tries
+from . import ann, bpe, conversations, licenses, linededup, mixing, neardup, quality, secrets, suffixes, tokencount, toxicity, tries
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_mixing": mixing.op10_mixing,
     "op11_conversations": conversations.op11_conversations,
     "op12_prefixtrie": tries.op12_prefixtrie,
+    "op13_repeats": suffixes.op13_repeats,
 }
 
 #: All pairs that share a shingle, which the small tables allow.
