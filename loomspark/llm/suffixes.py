@@ -60,9 +60,9 @@ class Sizes(NamedTuple):
     pack: int = 1 << 20  # bytes of a pack
     piece: int = 1 << 18  # windows of a piece of a long text
     run: int = 256  # windows of a fragment
-    block: int = 4 << 20  # bytes that are sorted at once
-    per_prints: int = 40 << 20  # bytes of text for each bucket of fingerprints
-    per_fragments: int = 16 << 20  # and for each bucket of fragments
+    block: int = 1 << 20  # bytes that are sorted at once
+    per_prints: int = 24 << 20  # bytes of text for each bucket of fingerprints
+    per_fragments: int = 8 << 20  # and for each bucket of fragments
 
 
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
@@ -357,7 +357,8 @@ def _cut_up(buckets: int, piece: int, longest: int):
                 continue
             ranks = _ranks(text)
             least, at = _least(ranks)
-            shared = at[np.isin(_low(_prints(text, at)), found)]
+            asked = _low(_prints(text, at))
+            shared = at[found[np.searchsorted(found, asked)] == asked]
             if not len(shared):
                 continue
             known = np.full(len(text) - GRAM + 1, np.uint32(0xFFFFFFFF))
@@ -375,7 +376,7 @@ def _cut_up(buckets: int, piece: int, longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for pack, ids, sizes, data, found, firsts in zip(*(batch.column(c).to_pylist() for c in ("pack", "ids", "sizes", "data", "found", "firsts")), strict=True):
-                got = rows(pack, ids, sizes, zstandard.decompress(data), _five(found), set(firsts))
+                got = rows(pack, ids, sizes, zstandard.decompress(data), np.sort(np.append(_five(found), ~np.uint64(0))), set(firsts))
                 if got:
                     yield pa.RecordBatch.from_pylist(got, _FRAGMENT)
 
@@ -397,8 +398,8 @@ def _emitted(out: _Fragments, pack: int, buckets: int) -> list[dict]:
     return rows
 
 
-def _marked(texts: list[bytes], docs: list[int]) -> list[np.ndarray]:
-    """For each fragment, which of its windows also start in a fragment of a smaller document."""
+def _marked(texts: list[bytes], docs: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(windows of each fragment, whether each also starts in a fragment of a smaller document)."""
     # 0xFF stands in no UTF-8 text: bytes move up by one, and it becomes 0
     text = np.frombuffer(b"\xff" + b"\xff".join(texts) + b"\xff" * (LENGTH + 16), np.uint8) + np.uint8(1)
     many = np.array([len(t) - LENGTH + 1 for t in texts])
@@ -411,7 +412,7 @@ def _marked(texts: list[bytes], docs: list[int]) -> list[np.ndarray]:
     first = np.flatnonzero(common_prefixes(text, order) < LENGTH)
     lost = np.zeros(len(text), bool)
     lost[order] = own > np.repeat(np.minimum.reduceat(own, first), np.diff([*first, len(order)]))
-    return [lost[a : a + n] for a, n in zip(at.tolist(), many.tolist(), strict=True)]
+    return many, lost[starts]
 
 
 def _blocks(fragments: list[tuple[int, int, bytes]], most: int) -> Iterator[tuple[list[bytes], list[int], list[tuple[int, int]]]]:
@@ -458,10 +459,12 @@ def _resolve(most: int):
                 t, p = t + size, p + n
         fragments = sorted((key, doc, text) for text, (doc, key, _) in out.held.items())
         for texts, docs, refs in _blocks(fragments, most):
-            for lost, (i, w) in zip(_marked(texts, docs), refs, strict=True):
-                if not lost.any():
-                    continue
-                runs = [(0, len(lost))] if lost.all() else [(a, b) for a, b in _runs(lost) if lost[a]]
+            many, lost = _marked(texts, docs)
+            ends = np.cumsum(many)
+            gone = np.add.reduceat(lost.astype(np.int64), ends - many)
+            for f in np.flatnonzero(gone).tolist():
+                (i, w), n, end = refs[f], int(many[f]), int(ends[f])
+                runs = [(0, n)] if gone[f] == n else [(x, y) for x, y in _runs(lost[end - n : end]) if lost[end - n + x]]
                 for pack, places in out.held[fragments[i][2]][2]:
                     out.marks[pack] += [(x + w + a, b - a) for x in places for a, b in runs]
         packs = list(out.marks)
