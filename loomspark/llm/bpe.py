@@ -79,7 +79,7 @@ class PrefixCoder:
         self.word = regex.compile(next(x["pattern"]["Regex"] for x in steps if x["type"] == "Split"))
         # the same pattern with its classes spelt out for the characters up to U+024F and what
         # normalising makes of them: the standard module is faster
-        few = [chr(c) for c in range(0x400)]
+        few = sorted({x for c in range(0x250) for x in (chr(c), *unicodedata.normalize("NFC", chr(c)).lower())})
         space = "\t\n\v\f\r \x85\xa0"
         letter, number = ("".join(c for c in few if unicodedata.category(c)[0] == k) for k in "LN")
         spelt = self.word.pattern.replace("\\s", space).replace("\\p{L}", re.escape(letter)).replace("\\p{N}", re.escape(number))
