@@ -54,4 +54,35 @@ def _licenses() -> str:
  SELECT p.doc_id, CASE WHEN p.whole != '' THEN sha256(p.whole) END AS digest, k.license_id, coalesce(ids, '') AS notice_ids, coalesce(n, 0) AS n_notices FROM p LEFT JOIN k ON k.whole = p.whole AND p.whole != '' LEFT JOIN f ON f.doc_id = p.doc_id"""
 
 
-ORACLE_SQL = {"op2_neardup": NEARDUP, "op8_licenses": _licenses()}
+#: All rebuilt conversations' prefixes, and every ancestor of every node, which the small tables allow.
+PREFIX_TRIE = r"""WITH RECURSIVE o AS MATERIALIZED (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+ d AS (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS s FROM o),
+ c AS MATERIALIZED (SELECT conv_id, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), range(0, 8 * len(s))), lambda a, i: xor(xor(a, CASE WHEN i % 8 = 0 THEN ord(s[i // 8 + 1]) ELSE 0 END) >> 1, CASE WHEN xor(a, CASE WHEN i % 8 = 0 THEN ord(s[i // 8 + 1]) ELSE 0 END) & 1 = 1 THEN 3988292384 ELSE 0 END))) % 6 AS h FROM d),
+ b AS (SELECT c.conv_id, 0 AS part, n, role, text FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % 100 AND n <= h UNION ALL SELECT conv_id, 1, n, role, text FROM c JOIN o USING (conv_id) WHERE n > h),
+ r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, n) AS depth, CAST(to_json([role, text]) AS VARCHAR) AS turn, length(text) AS chars FROM b),
+ w AS (SELECT conv_id, depth, sha256(string_agg(turn, chr(10)) OVER (PARTITION BY conv_id ORDER BY depth)) AS path, chars FROM r UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+ m AS MATERIALIZED (SELECT conv_id, depth, path, chars, lag(path) OVER (PARTITION BY conv_id ORDER BY depth) AS parent, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM w),
+ node AS MATERIALIZED (SELECT path, min(parent) AS parent, min(conv_id) AS conv_id, min(depth) AS depth, min(chars) AS chars, count(*) AS n_convs, sha256(coalesce(string_agg(CASE WHEN ends THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256 FROM m GROUP BY 1),
+ kids AS MATERIALIZED (SELECT parent, count(*) AS n FROM node WHERE parent IS NOT NULL GROUP BY 1),
+ up AS (SELECT path AS top, path AS below FROM node UNION ALL SELECT parent, below FROM up JOIN node ON path = top WHERE parent IS NOT NULL),
+ sub AS (SELECT top, sum(CASE WHEN kids.n IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * chars) AS saved FROM up JOIN node ON node.path = below LEFT JOIN kids ON kids.parent = below GROUP BY 1)
+ SELECT node.conv_id, node.depth, p.conv_id AS parent_conv_id, node.n_convs, coalesce(kids.n, 0) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, node.ends_sha256
+ FROM node JOIN sub ON sub.top = node.path LEFT JOIN kids ON kids.parent = node.path LEFT JOIN node p ON p.path = node.parent"""
+
+#: All 50-byte strings of all texts, as hexadecimal digits.
+REPEATS = r"""WITH b AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+ f AS (SELECT r, doc_id, length(h) // 2 AS n, unnest(range(0, length(h) // 2 - 49, 200)) AS j, h FROM b),
+ c AS MATERIALIZED (SELECT r, doc_id, n, j, substr(h, 2 * j + 1, 498) AS part FROM f),
+ p AS (SELECT r, doc_id, j, part, unnest(range(1, least(201, n - j - 48))) AS i FROM c),
+ w AS MATERIALIZED (SELECT r, doc_id, j + i AS i, md5_number(substr(part, 2 * i - 1, 100)) AS x FROM p),
+ l AS (SELECT x, min(doc_id) AS least FROM w GROUP BY 1),
+ m AS MATERIALIZED (SELECT r, i FROM w JOIN l USING (x) WHERE doc_id > least),
+ g AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM m),
+ n AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS k FROM g),
+ s AS (SELECT r, k, min(i) AS a, max(i) + 49 AS z FROM n GROUP BY 1, 2),
+ q AS (SELECT r, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS before, a, z FROM s),
+ k AS (SELECT r, count(*) AS n_spans, sum(z - a + 1) AS n_removed, max(z) AS done, string_agg(substr(h, 2 * before + 1, 2 * (a - before - 1)), '' ORDER BY a) AS kept FROM q JOIN b USING (r) GROUP BY 1)
+ SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(done, 0) + 1))) AS kept_sha256 FROM b LEFT JOIN k USING (r)"""
+
+
+ORACLE_SQL = {"op2_neardup": NEARDUP, "op8_licenses": _licenses(), "op12_prefixtrie": PREFIX_TRIE, "op13_repeats": REPEATS}
