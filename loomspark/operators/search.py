@@ -7,17 +7,9 @@ from pyspark.sql import functions as F
 
 from .. import limits
 
-#: English stop words.
-STOP = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
-
-
-def words(c, english: bool = False):
-    """Lower-case runs of a-z and 0-9; with ``english`` stop words go and endings are cut."""
-    w = F.array_remove(F.split(F.lower(c), "[^a-z0-9]+"), "")
-    if english:
-        w = F.filter(w, lambda x: ~x.isin(STOP))
-        w = F.transform(w, lambda x: F.regexp_replace(F.regexp_replace(x, "(?<=[a-z]{3})(ies)$", "y"), "(?<=[a-z]{3})(ing|edly|ed|es|ly|s)$", ""))
-    return w
+def words(c):
+    """Lower-case runs of a-z and 0-9."""
+    return F.array_remove(F.split(F.lower(c), "[^a-z0-9]+"), "")
 
 
 def search_document(title, content, concepts):
@@ -29,12 +21,17 @@ def bm25(memories: DataFrame, query: str, limit: int, k1: float = 1.2, b: float
 
     Corpus numbers (count, average length, document frequencies) cover current heads only.
     Per version only its length and the query terms' frequencies leave the scan: the shuffle
-    holds a few integers a version, and neither text nor vocabulary."""
+    holds a few integers a version, and neither text nor vocabulary.  With ``english`` words are
+    compared by their stems (see :func:`text_index.bm25_english`)."""
     limits.bounded("limit", limit, 1, limits.SEARCH_LIMIT)
+    if english:
+        from .text_index import bm25_english
+
+        return bm25_english(memories, query, limit, k1, b)
     spark = memories.sparkSession
-    terms = sorted(set(spark.range(1).select(words(F.lit(query), english).alias("w")).first()["w"]))
+    terms = sorted(set(spark.range(1).select(words(F.lit(query)).alias("w")).first()["w"]))
     w = F.col("w")
-    rows = memories.select("id", "version", words(search_document(F.col("title"), F.col("content"), F.col("concepts")), english).alias("w"))
+    rows = memories.select("id", "version", words(search_document(F.col("title"), F.col("content"), F.col("concepts"))).alias("w"))
     rows = rows.select("id", "version", F.size(w).alias("dl"), *[(F.size(w) - F.size(F.array_remove(w, t))).alias(f"tf{i}") for i, t in enumerate(terms)])
     if not terms:
         return rows.select(F.lit(0).alias("rank"), "id", "version", F.lit(0.0).alias("score")).limit(0)
