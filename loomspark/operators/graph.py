@@ -94,29 +94,6 @@ def audit(concepts: DataFrame, aliases: DataFrame, assertions: DataFrame, eviden
     return bare.unionByName(pref).unionByName(sym)
 
 
-def create_concepts(aliases: DataFrame, requests: DataFrame) -> DataFrame:
-    """requests (ordinal, key, preferred: a row per alias) -> ordinal, outcome.
-
-    existing: a concept has exactly these keys and flags; alias_set_mismatch: one concept
-    owns some key; alias_owned: several do; else created.  What earlier requests of the batch
-    create owns its keys as well: a request creates if it is the first to ask for each of its
-    keys among those that meet no stored concept."""
-    owner = aliases.select(F.col("alias_key").alias("key"), "concept_id")
-    r = requests.join(owner, "key", "left").withColumn("new_only", F.max(F.col("concept_id").isNotNull()).over(Window.partitionBy("ordinal")) == F.lit(False))
-    # the first request for a key among those that meet no stored concept
-    r = r.withColumn("first", F.min(F.when(F.col("new_only"), F.col("ordinal"))).over(Window.partitionBy("key")))
-    makes = F.col("new_only") & F.coalesce(F.col("first") == F.col("ordinal"), F.lit(False))
-    r = r.withColumn("makes", F.min(makes).over(Window.partitionBy("ordinal")))
-    made = F.min(F.when(F.col("makes"), F.col("ordinal"))).over(Window.partitionBy("key"))
-    r = r.withColumn("made", made).withColumn("made", F.when(F.col("made") < F.col("ordinal"), F.concat(F.lit("new:"), "made")))
-    r = r.withColumn("owner", F.coalesce(F.concat(F.lit("old:"), "concept_id"), "made"))
-    per = r.groupBy("ordinal").agg(F.countDistinct("owner").alias("owners"), F.max("owner").alias("owner"), F.array_sort(F.collect_set(F.struct("key", "preferred"))).alias("asked"), F.max("makes").alias("makes"))
-    have = aliases.groupBy(F.concat(F.lit("old:"), "concept_id").alias("of")).agg(F.array_sort(F.collect_set(F.struct(F.col("alias_key").alias("key"), F.col("is_preferred").alias("preferred")))).alias("have"))
-    have = have.unionByName(per.filter("makes").select(F.concat(F.lit("new:"), "ordinal").alias("of"), F.col("asked").alias("have")))
-    per = per.join(have, F.col("owner") == F.col("of"), "left")
-    return per.select("ordinal", F.when(F.col("owners") == 0, "created").when(F.col("owners") > 1, "alias_owned").when(F.col("asked") == F.col("have"), "existing").otherwise("alias_set_mismatch").alias("outcome"))
-
-
 def canonical_ends(df: DataFrame) -> DataFrame:
     """subject and object of symmetric relations in order."""
     spark = df.sparkSession
@@ -125,44 +102,6 @@ def canonical_ends(df: DataFrame) -> DataFrame:
     return t.withColumns({"subject": F.when(flip, F.col("object")).otherwise(F.col("subject")), "object": F.when(flip, F.col("subject")).otherwise(F.col("object"))}).drop("code")
 
 
-def create_assertions(concepts: DataFrame, assertions: DataFrame, evidence: DataFrame, sources: DataFrame, requests: DataFrame) -> DataFrame:
-    """requests (ordinal, subject, relation, object, source_ids array) -> ordinal, outcome.
-
-    invalid_input, missing_concept, missing_source, evidence_limit, existing (evidence
-    merged), created; requests for one triple are served by ordinal."""
-    r = canonical_ends(requests)
-    ids = concepts.select(F.col("id").alias("cid")).distinct()
-    known = sources.select(F.col("source_ref_id").alias("sid")).distinct()
-    found = requests.select("ordinal", F.explode(F.array_distinct("source_ids")).alias("sid")).join(known, "sid").groupBy("ordinal").agg(F.count(F.lit(1)).alias("n_found"))
-    r = r.join(ids.withColumn("s_ok", F.lit(True)), F.col("subject") == F.col("cid"), "left").drop("cid").join(ids.withColumn("o_ok", F.lit(True)), F.col("object") == F.col("cid"), "left").drop("cid").join(found, "ordinal", "left")
-    a = assertions.select("subject", "relation", "object", F.col("id").alias("a_id"))
-    r = r.join(a, ["subject", "relation", "object"], "left")
-    held = evidence.groupBy(F.col("assertion_id").alias("a_id")).agg(F.collect_set("source_ref_id").alias("held"))
-    r = r.join(held, "a_id", "left")
-    bad = F.col("is_symmetric").isNull() | (F.col("subject") == F.col("object")) | (F.size("source_ids") < 1) | (F.size("source_ids") > limits.EVIDENCE_PER_ASSERTION)
-    total = F.size(F.array_union(F.coalesce("held", F.array().cast("array<long>")), F.col("source_ids")))
-    first = F.row_number().over(Window.partitionBy("subject", "relation", "object").orderBy("ordinal")) == 1
-    outcome = F.when(F.coalesce(bad, F.lit(True)), "invalid_input").when(F.col("s_ok").isNull() | F.col("o_ok").isNull(), "missing_concept").when(F.coalesce("n_found", F.lit(0)) < F.size(F.array_distinct("source_ids")), "missing_source").when(total > limits.EVIDENCE_PER_ASSERTION, "evidence_limit").when(F.col("a_id").isNotNull() | ~first, "existing").otherwise("created")
-    return r.select("ordinal", outcome.alias("outcome"))
-
-
-def delete_concepts(concepts: DataFrame, mentions: DataFrame, assertions: DataFrame, requests: DataFrame) -> DataFrame:
-    """requests (ordinal, id, revision) -> missing / stale / referenced / deleted."""
-    used = mentions.select(F.col("concept_id").alias("id")).unionByName(assertions.select(F.col("subject").alias("id"))).unionByName(assertions.select(F.col("object").alias("id"))).distinct().withColumn("used", F.lit(True))
-    c = concepts.select("id", F.col("revision").alias("stored"))
-    j = requests.join(c, "id", "left").join(used, "id", "left")
-    return j.select("ordinal", F.when(F.col("stored").isNull(), "missing").when(F.col("stored") != F.col("revision"), "stale").when(F.col("used").isNotNull(), "referenced").otherwise("deleted").alias("outcome"))
-
-
-def replace_aliases(concepts: DataFrame, aliases: DataFrame, requests: DataFrame) -> DataFrame:
-    """requests (ordinal, id, revision, keys array, n_preferred) -> missing / stale / invalid_set / alias_owned / updated."""
-    c = concepts.select("id", F.col("revision").alias("stored"))
-    other = requests.select("ordinal", "id", F.explode("keys").alias("alias_key")).join(aliases.select("alias_key", "concept_id"), "alias_key").filter("concept_id != id").select("ordinal").distinct().withColumn("owned", F.lit(True))
-    j = requests.join(c, "id", "left").join(other, "ordinal", "left")
-    invalid = (F.size("keys") < 1) | (F.size("keys") > limits.ALIASES_PER_CONCEPT) | (F.size(F.array_distinct("keys")) != F.size("keys")) | (F.col("n_preferred") != 1)
-    return j.select("ordinal", F.when(F.col("stored").isNull(), "missing").when(F.col("stored") != F.col("revision"), "stale").when(invalid, "invalid_set").when(F.col("owned"), "alias_owned").otherwise("updated").alias("outcome"))
-
-
 def register_sources(sources: DataFrame, requests: DataFrame) -> DataFrame:
     """requests (ordinal, source_kind, external_id, external_version) -> existing / created;
     a null version equals a null version."""
@@ -172,23 +111,21 @@ def register_sources(sources: DataFrame, requests: DataFrame) -> DataFrame:
     return j.select("ordinal", F.when(F.col("known") | ~first, "existing").otherwise("created").alias("outcome"))
 
 
-def delete_sources(sources: DataFrame, mentions: DataFrame, evidence: DataFrame, requests: DataFrame) -> DataFrame:
-    """requests (ordinal, source_ref_id) -> missing / referenced / deleted."""
-    used = mentions.select("source_ref_id").unionByName(evidence.select("source_ref_id")).distinct().withColumn("used", F.lit(True))
-    j = requests.join(sources.select("source_ref_id").distinct().withColumn("known", F.lit(True)), "source_ref_id", "left").join(used, "source_ref_id", "left")
-    return j.select("ordinal", F.when(F.col("known").isNull(), "missing").when(F.col("used"), "referenced").otherwise("deleted").alias("outcome"))
+def _source_fault(requests: DataFrame):
+    return F.col("source_fault") if "source_fault" in requests.columns else F.lit(None).cast("string")
 
 
 def mention_outcomes(concepts: DataFrame, sources: DataFrame, mentions: DataFrame, requests: DataFrame) -> DataFrame:
-    """requests (ordinal, op create/delete, concept_id, source_ref_id) -> missing_concept,
-    missing_source, then existing / created or missing_mention / deleted.
+    """requests (ordinal, op create/delete, concept_id, source_ref_id; with source_fault as from
+    ``graph_mutations.resolve_sources``) -> missing_concept, snapshot_drift / missing_source, then
+    existing / created or missing_mention / deleted.
 
     Requests are served by ordinal: the last one for the same pair says whether it is there."""
     j = requests.join(concepts.select(F.col("id").alias("concept_id"), F.lit(True).alias("c")), "concept_id", "left").join(sources.select("source_ref_id", F.lit(True).alias("s")), "source_ref_id", "left").join(mentions.select("concept_id", "source_ref_id", F.lit(True).alias("m")).distinct(), ["concept_id", "source_ref_id"], "left")
     last = F.lag("op").over(Window.partitionBy("concept_id", "source_ref_id").orderBy("ordinal"))
     there = F.when(last.isNotNull(), last == "create").otherwise(F.coalesce("m", F.lit(False)))
     outcome = F.when(F.col("op") == "create", F.when(F.col("there"), "existing").otherwise("created")).otherwise(F.when(F.col("there"), "deleted").otherwise("missing_mention"))
-    return j.withColumn("there", there).select("ordinal", F.when(F.col("c").isNull(), "missing_concept").when(F.col("s").isNull(), "missing_source").otherwise(outcome).alias("outcome"))
+    return j.withColumn("there", there).select("ordinal", F.when(F.col("c").isNull(), "missing_concept").when(_source_fault(requests).isNotNull(), _source_fault(requests)).when(F.col("s").isNull(), "missing_source").otherwise(outcome).alias("outcome"))
 
 
 def _serve_evidence(batches):
@@ -223,37 +160,18 @@ def _serve_evidence(batches):
 
 
 def evidence_outcomes(assertions: DataFrame, sources: DataFrame, evidence: DataFrame, requests: DataFrame) -> DataFrame:
-    """requests (ordinal, op add/remove, assertion_id, source_ref_id) -> missing_assertion,
-    missing_source, then existing / evidence_limit / created or missing_evidence /
+    """requests (ordinal, op add/remove, assertion_id, source_ref_id; with source_fault as from
+    ``graph_mutations.resolve_sources``) -> missing_assertion, missing_source / snapshot_drift,
+    then existing / evidence_limit / created or missing_evidence /
     would_orphan_evidence / deleted.
 
     The requests for an assertion are served one after the other by ordinal, each on what the
     one before has left: a sorted stream with a state of 32 sources at most."""
     j = requests.join(assertions.select(F.col("id").alias("assertion_id"), F.lit(True).alias("a")).distinct(), "assertion_id", "left").join(sources.select("source_ref_id", F.lit(True).alias("s")).distinct(), "source_ref_id", "left")
-    fault = F.when(F.col("a").isNull(), "missing_assertion").when(F.col("s").isNull(), "missing_source")
+    fault = F.when(F.col("a").isNull(), "missing_assertion").when(_source_fault(requests).isNotNull(), _source_fault(requests)).when(F.col("s").isNull(), "missing_source")
     j = j.select("assertion_id", "ordinal", "op", "source_ref_id", fault.alias("fault"))
     asked = j.filter("fault is null").select("assertion_id", F.col("ordinal").cast("long").alias("ordinal"), "op", F.col("source_ref_id").cast("long").alias("source_ref_id"))
     held = evidence.join(asked.select("assertion_id").distinct(), "assertion_id", "left_semi").select("assertion_id", F.lit(-1).cast("long").alias("ordinal"), F.lit("held").alias("op"), F.col("source_ref_id").cast("long").alias("source_ref_id")).distinct()
     rows = held.unionByName(asked).repartition("assertion_id").sortWithinPartitions("assertion_id", F.col("op") != "held", "ordinal")
     served = rows.mapInPandas(_serve_evidence, "ordinal long, outcome string")
     return served.unionByName(j.filter("fault is not null").select(F.col("ordinal").cast("long").alias("ordinal"), F.col("fault").alias("outcome")))
-
-
-def update_assertions(concepts: DataFrame, assertions: DataFrame, requests: DataFrame) -> DataFrame:
-    """requests (ordinal, id, revision, subject, relation, object) -> invalid_input / missing /
-    stale / missing_subject / missing_object / duplicate / updated."""
-    r = canonical_ends(requests)
-    a = assertions.select("id", F.col("revision").alias("stored"))
-    ids = concepts.select(F.col("id").alias("cid"))
-    r = r.join(a, "id", "left").join(ids.withColumn("s_ok", F.lit(True)), F.col("subject") == F.col("cid"), "left").drop("cid").join(ids.withColumn("o_ok", F.lit(True)), F.col("object") == F.col("cid"), "left").drop("cid")
-    same = assertions.select("subject", "relation", "object", F.col("id").alias("d_id"))
-    r = r.join(same, ["subject", "relation", "object"], "left")
-    bad = F.col("is_symmetric").isNull() | (F.col("subject") == F.col("object"))
-    out = F.when(bad, "invalid_input").when(F.col("stored").isNull(), "missing").when(F.col("stored") != F.col("revision"), "stale").when(F.col("s_ok").isNull(), "missing_subject").when(F.col("o_ok").isNull(), "missing_object").when(F.col("d_id") != F.col("id"), "duplicate").otherwise("updated")
-    return r.select("ordinal", out.alias("outcome"))
-
-
-def delete_assertions(assertions: DataFrame, requests: DataFrame) -> DataFrame:
-    """requests (ordinal, id, revision) -> missing / stale / deleted."""
-    j = requests.join(assertions.select("id", F.col("revision").alias("stored")), "id", "left")
-    return j.select("ordinal", F.when(F.col("stored").isNull(), "missing").when(F.col("stored") != F.col("revision"), "stale").otherwise("deleted").alias("outcome"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graph_queries, memory_queries, read_queries, session_queries
+from . import graph_queries, memory_queries, mutation_queries, read_queries, session_queries
 
-QUERIES = memory_queries.QUERIES | session_queries.QUERIES | graph_queries.QUERIES | read_queries.QUERIES
-ORACLE_SQL = memory_queries.ORACLE_SQL | session_queries.ORACLE_SQL | graph_queries.ORACLE_SQL | read_queries.ORACLE_SQL
+QUERIES = memory_queries.QUERIES | session_queries.QUERIES | graph_queries.QUERIES | mutation_queries.QUERIES | read_queries.QUERIES
+ORACLE_SQL = memory_queries.ORACLE_SQL | session_queries.ORACLE_SQL | graph_queries.ORACLE_SQL | mutation_queries.ORACLE_SQL | read_queries.ORACLE_SQL

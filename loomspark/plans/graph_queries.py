@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..operators import graph_mutations as GM
 from . import fixtures as X
 
 QUERIES: dict = {}
@@ -83,7 +84,7 @@ def graph_create_concepts(spark, d):
     last = F.concat(F.lit("customer:"), k - 1)
     keys = F.when(k % 4 == 0, F.array(F.struct(own.alias("key"), F.lit(True).alias("preferred")), F.struct(F.upper(own).alias("key"), F.lit(False).alias("preferred")))).when(k % 4 == 1, F.array(F.struct(own.alias("key"), F.lit(True).alias("preferred")))).when(k % 4 == 2, F.array(F.struct(own.alias("key"), F.lit(True).alias("preferred")), F.struct(last.alias("key"), F.lit(False).alias("preferred")))).otherwise(F.array(F.struct(F.concat(F.lit("new"), k).alias("key"), F.lit(True).alias("preferred"))))
     req = X.read(spark, d, "customer").select(k.alias("ordinal"), F.explode(keys).alias("x")).select("ordinal", "x.*")
-    return G.create_concepts(_aliases(c), req)
+    return GM.create_concepts(_aliases(c), req)
 
 
 @query(
@@ -102,7 +103,7 @@ def graph_create_assertions(spark, d):
         F.when(k % 5 == 0, own).when(k % 5 == 1, F.lit("nobody")).otherwise(nation).alias("object"),
         F.when(k % 5 == 2, F.array(F.lit(-5).cast("long"))).otherwise(F.array(F.lit(1).cast("long"))).alias("source_ids"),
     )
-    return G.create_assertions(c, a, e, s, req)
+    return GM.create_assertions(c, a, e, s, req)
 
 
 @query("graph_delete_concepts", f"WITH {X.CONCEPTS}, {X.ASSERTIONS}, r AS (SELECT p_partkey AS ordinal, CASE p_partkey % 3 WHEN 0 THEN 'customer:' || p_partkey WHEN 1 THEN 'lone:' || p_partkey ELSE 'gone:' || p_partkey END AS id, p_partkey % 2 + 1 AS revision FROM part), k AS (SELECT id FROM con UNION ALL SELECT 'lone:' || p_partkey FROM part), u AS (SELECT subject AS id FROM asr UNION SELECT object FROM asr) SELECT r.ordinal, CASE WHEN k.id IS NULL THEN 'missing' WHEN r.revision != 1 THEN 'stale' WHEN u.id IS NOT NULL THEN 'referenced' ELSE 'deleted' END AS outcome FROM r LEFT JOIN k ON k.id = r.id LEFT JOIN u ON u.id = r.id")
@@ -112,7 +113,7 @@ def graph_delete_concepts(spark, d):
     p = X.read(spark, d, "part")
     lone = p.select(F.concat(F.lit("lone:"), k).alias("id"), F.lit(1).cast("long").alias("revision"))
     req = p.select(k.alias("ordinal"), F.when(k % 3 == 0, F.concat(F.lit("customer:"), k)).when(k % 3 == 1, F.concat(F.lit("lone:"), k)).otherwise(F.concat(F.lit("gone:"), k)).alias("id"), (k % 2 + 1).alias("revision"))
-    return G.delete_concepts(c.unionByName(lone), X.provenance(spark, d)[2].limit(0), a, req)
+    return GM.delete_concepts(c.unionByName(lone), X.provenance(spark, d)[2].limit(0), a, req)
 
 
 @query("graph_replace_aliases", "SELECT c_custkey AS ordinal, CASE WHEN c_custkey % 6 = 0 THEN 'missing' WHEN c_custkey % 6 = 1 THEN 'stale' WHEN c_custkey % 6 = 2 THEN 'invalid_set' WHEN c_custkey % 6 = 3 THEN 'alias_owned' ELSE 'updated' END AS outcome FROM customer")
@@ -121,7 +122,7 @@ def graph_replace_aliases(spark, d):
     k = F.col("c_custkey")
     own = F.concat(F.lit("customer:"), k)
     req = X.read(spark, d, "customer").select(k.alias("ordinal"), F.when(k % 6 == 0, F.lit("nobody")).otherwise(own).alias("id"), F.when(k % 6 == 1, 9).otherwise(1).cast("long").alias("revision"), F.when(k % 6 == 2, F.array(own, own)).when(k % 6 == 3, F.array(own, F.lit("region:1"))).otherwise(F.array(own, F.concat(F.lit("fresh"), k))).alias("keys"), F.lit(1).alias("n_preferred"))
-    return G.replace_aliases(c, _aliases(c), req)
+    return GM.replace_aliases(c, _aliases(c), req)
 
 
 @query("graph_register_sources", f"WITH {X.PROVENANCE}, r AS (SELECT o_orderkey AS ordinal, 'memory_version' AS k, CAST(o_orderkey AS VARCHAR) AS e, CASE WHEN o_orderkey % 7 != 0 AND o_orderkey % 2 = 0 THEN o_orderkey % 5 + 1 END AS v FROM orders) SELECT r.ordinal, CASE WHEN s.external_id IS NOT NULL THEN 'existing' ELSE 'created' END AS outcome FROM r LEFT JOIN src s ON s.source_kind = r.k AND s.external_id = r.e AND s.external_version IS NOT DISTINCT FROM r.v")
@@ -137,7 +138,7 @@ def graph_delete_sources(spark, d):
     s, e, m = X.provenance(spark, d)
     k = F.col("o_orderkey")
     req = X.read(spark, d, "orders").select(k.alias("ordinal"), F.when(k % 3 == 0, -k - 1).otherwise(k).alias("source_ref_id"))
-    return G.delete_sources(s, m, e.filter(F.substring("assertion_id", 2, 20).cast("long") % 2 == 0), req)
+    return GM.delete_sources(s, m, e.filter(F.substring("assertion_id", 2, 20).cast("long") % 2 == 0), req)
 
 
 @query("graph_mentions", "SELECT o_orderkey AS ordinal, CASE WHEN o_orderkey % 5 = 0 THEN 'missing_concept' WHEN o_orderkey % 5 = 1 THEN 'missing_source' WHEN o_orderkey % 2 = 0 THEN CASE WHEN starts_with(o_orderpriority, '1') THEN 'existing' ELSE 'created' END ELSE CASE WHEN starts_with(o_orderpriority, '1') THEN 'deleted' ELSE 'missing_mention' END END AS outcome FROM orders")
@@ -174,11 +175,11 @@ def graph_update_assertions(spark, d):
         F.when(k % 7 == 0, "likes").otherwise("part_of").alias("relation"),
         F.when(k % 7 == 4, F.lit("nobody")).otherwise(nation).alias("object"),
     )
-    return G.update_assertions(c, a, req)
+    return GM.update_assertions(c, a, req)
 
 
 @query("graph_delete_assertions", "SELECT c_custkey AS ordinal, CASE c_custkey % 3 WHEN 0 THEN 'missing' WHEN 1 THEN 'stale' ELSE 'deleted' END AS outcome FROM customer")
 def graph_delete_assertions(spark, d):
     _, a = X.graph(spark, d)
     k = F.col("c_custkey")
-    return G.delete_assertions(a, X.read(spark, d, "customer").select(k.alias("ordinal"), F.when(k % 3 == 0, F.lit("none")).otherwise(F.concat(F.lit("c"), k)).alias("id"), F.when(k % 3 == 1, 5).otherwise(1).cast("long").alias("revision")))
+    return GM.delete_assertions(a, X.read(spark, d, "customer").select(k.alias("ordinal"), F.when(k % 3 == 0, F.lit("none")).otherwise(F.concat(F.lit("c"), k)).alias("id"), F.when(k % 3 == 1, 5).otherwise(1).cast("long").alias("revision")))

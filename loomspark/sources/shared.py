@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
@@ -24,3 +25,41 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+_written: dict[str, SparkSession] = {}
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to the shared folder and reread: it is made once, and its lineage is cut.
+
+    The table goes with ``gone``, or when the interpreter ends."""
+    spark = df.sparkSession
+    path = fresh_path(spark, tag)
+    df.write.parquet(path)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out
+
+
+def gone(*tables: DataFrame) -> None:
+    """Delete written tables of which nothing is read any more."""
+    for t in tables:
+        if (path := t.__dict__.pop("_shared_path", None)) and (spark := _written.pop(path, None)):
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
+
+
+@atexit.register
+def _delete_written() -> None:
+    for path, spark in _written.items():
+        try:
+            _delete(spark, path)
+        except Exception:  # the session is gone: the folder's owner cleans up
+            return

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
-from loomspark.operators import graph, ledger, memory, search, session
+from loomspark.operators import graph, graph_mutations, ledger, memory, search, session
 from loomspark.sources import cli
 from loomspark.streaming import ledger_stream
 
@@ -155,7 +155,7 @@ def test_evidence_is_served_in_order(spark):
 def test_concepts_of_one_batch(spark):
     al = spark.createDataFrame([("c", "old", True)], "concept_id string, alias_key string, is_preferred boolean")
     r = [(1, "a", True), (2, "a", True), (3, "a", True), (3, "b", False), (4, "old", True), (5, "a", True), (5, "old", False), (6, "z", True)]
-    got = {x.ordinal: x.outcome for x in graph.create_concepts(al, spark.createDataFrame(r, "ordinal long, key string, preferred boolean")).collect()}
+    got = {x.ordinal: x.outcome for x in graph_mutations.create_concepts(al, spark.createDataFrame(r, "ordinal long, key string, preferred boolean")).collect()}
     assert got == {1: "created", 2: "existing", 3: "alias_set_mismatch", 4: "existing", 5: "alias_owned", 6: "created"}
 
 
