@@ -22,25 +22,28 @@ LIFECYCLE_FIELDS = OBSERVATION_FIELDS - {"hook_type", "data"}
 def validate(events: DataFrame) -> DataFrame:
     """Queue events as JSON text (column ``json``) -> fields, ``fault`` (null: valid), epoch_ms.
 
-    The field set must match exactly; the first fault in the order below is reported."""
-    # one parse for the plain fields, one for the keys, one for the nested data
+    The field set must match exactly, and fields other than ``data`` must be strings, of which
+    only session_id must not be empty; the first fault in the order below is reported."""
+    # types come from the parsed value: a number or an object is no string
     plain = sorted(OBSERVATION_FIELDS - {"data"})
-    df = events.withColumns({"keys": F.array_sort(F.json_object_keys("json")), "parsed": F.from_json("json", ", ".join(f"{k} string" for k in plain))})
-    df = df.withColumns({k: F.col("parsed")[k] for k in plain} | {"data": F.get_json_object("json", "$.data")}).drop("parsed").withColumn("epoch_ms", timestamp_ms(F.col("timestamp")))
+    df = events.withColumns({"keys": F.array_sort(F.json_object_keys("json")), "parsed": F.try_parse_json("json")})
+    kind = lambda k: F.schema_of_variant(F.try_variant_get("parsed", f"$.{k}", "variant"))
+    df = df.withColumns({k: F.when(kind(k) == "STRING", F.try_variant_get("parsed", f"$.{k}", "string")) for k in plain} | {"data": F.get_json_object("json", "$.data"), "data_kind": kind("data")})
+    df = df.withColumn("epoch_ms", timestamp_ms(F.col("timestamp")))
     obs = F.col("event_type") == "observation"
     fields = lambda names: F.array(*[F.lit(x) for x in sorted(names)])
     fault = first_failure(
-        (F.col("keys").isNull(), "not_an_object"),
+        (F.col("keys").isNull() | F.col("parsed").isNull(), "not_an_object"),
         (~F.coalesce(F.col("event_type").isin(*LIFECYCLE, "observation"), F.lit(False)), "event_type"),
         (F.col("keys") != F.when(obs, fields(OBSERVATION_FIELDS)).otherwise(fields(LIFECYCLE_FIELDS)), "fields"),
         (F.col("session_id").isNull() | (F.col("session_id") == ""), "session_id"),
         (F.col("project_name").isNull(), "project_name"),
         (F.col("current_working_directory").isNull(), "current_working_directory"),
         (F.col("epoch_ms").isNull(), "timestamp"),
-        (obs & F.coalesce(F.col("hook_type") == "", F.lit(True)), "hook_type"),
-        (obs & ~F.coalesce(F.schema_of_variant(F.try_parse_json("data")).startswith("OBJECT"), F.lit(False)), "data"),
+        (obs & F.col("hook_type").isNull(), "hook_type"),
+        (obs & ~F.coalesce(F.col("data_kind").startswith("OBJECT"), F.lit(False)), "data"),
     )
-    return df.withColumn("fault", fault).drop("keys")
+    return df.withColumn("fault", fault).drop("keys", "parsed", "data_kind")
 
 
 def doubles(c):

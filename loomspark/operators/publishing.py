@@ -79,12 +79,3 @@ def publish(memories: DataFrame, requests: DataFrame) -> DataFrame:
 def source_cutoff(entries: DataFrame) -> DataFrame:
     """session_id, source_cutoff: the latest time of ingestion over the loaded entries."""
     return entries.groupBy("session_id").agg(F.max("ingested_at").alias("source_cutoff"))
-
-
-def receipts_in_scope(candidates: DataFrame, scope: DataFrame) -> DataFrame:
-    """candidates (session_id, fingerprint, concepts, receipts) -> + fault: every receipt must be
-    one of the session's observations in scope, and lists must not be empty."""
-    each = candidates.select("session_id", "fingerprint", F.explode("receipts").alias("receipt_id")).distinct()
-    foreign = each.join(scope.select("session_id", "receipt_id"), ["session_id", "receipt_id"], "left_anti").select("session_id", "fingerprint").distinct().withColumn("foreign", F.lit(True))
-    fault = F.when(F.size("concepts") < 1, "concepts:empty").when(F.size("receipts") < 1, "receipts:empty").when(F.col("foreign"), "receipts:foreign")
-    return candidates.join(foreign, ["session_id", "fingerprint"], "left").withColumn("fault", fault).drop("foreign")

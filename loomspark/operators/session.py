@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import limits
-from ..functions.text import framed, framed_bytes, trim_unicode, uuid5
+from ..functions.text import first_failure, framed, framed_bytes, trim_unicode, uuid5
 
 REVISION_NAMESPACE = "5b0c1c54-31a4-5f0c-9f0e-6f3e0a9d2c11"
 ACTIVE = ("claimed", "staged", "publishing")
@@ -119,14 +119,42 @@ def legal(changes: DataFrame) -> DataFrame:
     return changes.join(F.broadcast(t), ["from_state", "to_state"], "left").withColumn("legal", F.coalesce("legal", F.lit(False)))
 
 
+#: Type and version of memories made from candidates.
+CANDIDATE_TYPE, CANDIDATE_VERSION = "session-derived", 1
+
+
+def candidate_faults(generated: DataFrame, scope: DataFrame) -> DataFrame:
+    """session_id, title, content, concepts, receipts (and more) -> + fault, the first one of a
+    candidate, null if it is valid; ``scope``: the observations (session_id, receipt_id) it may cite.
+
+    An empty list of concepts is valid, an empty concept is not."""
+    nul = lambda c: F.instr(c, "\0") > 0
+    cited = generated.select("session_id", F.explode("receipts").alias("receipt_id")).distinct()
+    foreign = cited.join(scope.select("session_id", "receipt_id").distinct(), ["session_id", "receipt_id"], "left_anti").groupBy(F.col("session_id").alias("f_session")).agg(F.collect_set("receipt_id").alias("foreign"))
+    rows = generated.join(foreign, F.col("session_id") == F.col("f_session"), "left").drop("f_session")
+    fault = first_failure(
+        (F.col("title") == "", "title:empty"),
+        (nul(F.col("title")), "title:contains_nul"),
+        (F.col("content") == "", "content:empty"),
+        (nul(F.col("content")), "content:contains_nul"),
+        (F.exists("concepts", nul), "concepts:contains_nul"),
+        (F.size("receipts") < 1, "supporting_receipt_ids:empty"),
+        (F.size(F.array_distinct("receipts")) < F.size("receipts"), "supporting_receipt_ids:duplicate"),
+        (F.coalesce(F.arrays_overlap("receipts", "foreign"), F.lit(False)), "supporting_receipt_ids:outside_memory_scope"),
+        (F.exists("concepts", lambda c: trim_unicode(c) == ""), "concepts:empty"),
+        ((trim_unicode(F.col("title")) == "") | (trim_unicode(F.col("content")) == ""), "canonical_payload:invalid"),
+    )
+    return rows.withColumn("fault", fault).drop("foreign")
+
+
 def candidates(generated: DataFrame, namespace: str = REVISION_NAMESPACE) -> DataFrame:
-    """session_id, type, title, content, concepts, receipts -> one row per content fingerprint.
+    """session_id, title, content, concepts, receipts (valid ones) -> one row per content fingerprint.
 
     Title and content are trimmed, concepts trimmed, lower-cased, sorted; receipts of equal
     fingerprints are merged; ``ordinal`` follows the fingerprint."""
     concepts = F.array_sort(F.transform("concepts", lambda c: F.lower(trim_unicode(c))))
-    df = generated.withColumns({"title": trim_unicode(F.col("title")), "content": trim_unicode(F.col("content")), "concepts": concepts})
-    body = F.concat(framed(F.lit("1")), framed(F.col("type")), framed(F.col("title")), framed(F.col("content")), F.aggregate(F.transform("concepts", framed), F.unhex(F.lit("")), lambda a, x: F.concat(a, x)))
+    df = generated.withColumns({"type": F.lit(CANDIDATE_TYPE), "title": trim_unicode(F.col("title")), "content": trim_unicode(F.col("content")), "concepts": concepts})
+    body = F.concat(framed(F.lit(str(CANDIDATE_VERSION))), framed(F.col("type")), framed(F.col("title")), framed(F.col("content")), F.aggregate(F.transform("concepts", framed), F.unhex(F.lit("")), lambda a, x: F.concat(a, x)))
     df = df.withColumn("fingerprint", F.sha2(body, 256))
     out = df.groupBy("session_id", "fingerprint").agg(F.min(F.struct("type", "title", "content", "concepts")).alias("c"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("receipts")))).alias("receipts"))
     # the digest itself is framed, not its hexadecimal text

@@ -237,14 +237,19 @@ def session_source_cutoff(spark, d):
     return c.select("session_id", M.rendered_time(F.col("source_cutoff")).alias("source_cutoff"))
 
 
-@query("candidate_receipt_scope", "SELECT conv_id * 10 + turn AS ordinal, CASE WHEN turn % 4 = 0 THEN 'concepts:empty' WHEN turn % 4 = 1 THEN 'receipts:empty' WHEN turn % 4 = 2 THEN 'receipts:foreign' END AS fault FROM conversations")
-def candidate_receipt_scope(spark, d):
+_FAULTS = ("", "supporting_receipt_ids:empty", "supporting_receipt_ids:outside_memory_scope", "supporting_receipt_ids:duplicate", "concepts:empty", "title:empty", "content:contains_nul", "canonical_payload:invalid")
+
+
+@query("candidate_faults", "SELECT conv_id * 10 + turn AS ordinal, CASE turn % 8 " + " ".join(f"WHEN {i} THEN '{f}'" for i, f in enumerate(_FAULTS) if f) + " END AS fault FROM conversations")
+def candidate_faults(spark, d):
+    """A list of no concepts is valid; a blank concept, repeated and foreign receipts are not."""
     c = X.read(spark, d, "conversations")
-    t, key = F.col("turn"), F.concat_ws("-", "conv_id", "turn")
+    t, key = F.col("turn") % 8, F.concat_ws("-", "conv_id", "turn")
     none = F.array().cast("array<string>")
-    cand = c.select((F.col("conv_id") * 10 + t).alias("ordinal"), F.concat(F.lit("s"), "conv_id").alias("session_id"), key.alias("fingerprint"), F.when(t % 4 == 0, none).otherwise(F.array("role")).alias("concepts"), F.when(t % 4 == 1, none).when(t % 4 == 2, F.array(key, F.lit("elsewhere"))).otherwise(F.array(key)).alias("receipts"))
+    receipts = F.when(t == 1, none).when(t == 2, F.array(key, F.lit("elsewhere"))).when(t == 3, F.array(key, key)).otherwise(F.array(key))
+    cand = c.select((F.col("conv_id") * 10 + F.col("turn")).alias("ordinal"), F.concat(F.lit("s"), "conv_id").alias("session_id"), F.when(t == 5, "").when(t == 7, "\u2003 ").otherwise("title").alias("title"), F.when(t == 6, "a\0b").otherwise("text").alias("content"), F.when(t == 0, none).when(t == 4, F.array(F.lit("a"), F.lit(" "))).otherwise(F.array("role")).alias("concepts"), receipts.alias("receipts"))
     scope = c.select(F.concat(F.lit("s"), "conv_id").alias("session_id"), key.alias("receipt_id"))
-    return B.receipts_in_scope(cand, scope).select("ordinal", "fault")
+    return P.candidate_faults(cand, scope).select("ordinal", "fault")
 
 
 @query("embedding_write_outcomes", "SELECT vec_id AS ordinal, CASE vec_id % 5 WHEN 0 THEN 'stored' WHEN 1 THEN 'already_present' WHEN 2 THEN 'missing_parent' WHEN 3 THEN 'malformed_response' ELSE 'backend' END AS outcome, vec_id % 5 >= 2 AS failed FROM embeddings")

@@ -169,7 +169,7 @@ _FR = "lpad(to_hex(octet_length(encode({0}))), 16, '0') || hex(encode({0}))"
 
 @query(
     "candidate_fingerprints",
-    "WITH g AS (SELECT 's' || conv_id % 10 AS session_id, role AS type, role AS title, 'note ' || turn % 3 AS content, list_sort(['beta', 'alpha', 't' || turn % 3]) AS concepts, conv_id || '-' || turn AS receipt FROM conversations), f AS (SELECT *, sha256(unhex(" + " || ".join(_FR.format(x) for x in ("'1'", "type", "title", "content", "concepts[1]", "concepts[2]", "concepts[3]")) + ")) AS fingerprint FROM g), x AS (SELECT session_id, fingerprint, type, title, content, array_to_string(concepts, ',') AS concepts, array_to_string(list_sort(list(DISTINCT receipt)), ',') AS receipts FROM f GROUP BY session_id, fingerprint, type, title, content, concepts) SELECT *, CAST(row_number() OVER (PARTITION BY session_id ORDER BY fingerprint) - 1 AS INTEGER) AS ordinal, " + _UUID5.format("unhex('" + _NS + "' || " + _FR.format("session_id") + " || lpad(to_hex(32), 16, '0') || fingerprint)") + " AS memory_id FROM x",
+    "WITH g AS (SELECT 's' || conv_id % 10 AS session_id, 'session-derived' AS type, role AS title, 'note ' || turn % 3 AS content, list_sort(['beta', 'alpha', 't' || turn % 3]) AS concepts, conv_id || '-' || turn AS receipt FROM conversations), f AS (SELECT *, sha256(unhex(" + " || ".join(_FR.format(x) for x in ("'1'", "type", "title", "content", "concepts[1]", "concepts[2]", "concepts[3]")) + ")) AS fingerprint FROM g), x AS (SELECT session_id, fingerprint, type, title, content, array_to_string(concepts, ',') AS concepts, array_to_string(list_sort(list(DISTINCT receipt)), ',') AS receipts FROM f GROUP BY session_id, fingerprint, type, title, content, concepts) SELECT *, CAST(row_number() OVER (PARTITION BY session_id ORDER BY fingerprint) - 1 AS INTEGER) AS ordinal, " + _UUID5.format("unhex('" + _NS + "' || " + _FR.format("session_id") + " || lpad(to_hex(32), 16, '0') || fingerprint)") + " AS memory_id FROM x",
 )
 def candidate_fingerprints(spark, d):
     c = P.candidates(_generated(spark, d))
@@ -207,6 +207,35 @@ def ledger_validate(spark, d):
     return L.validate(_queue(spark, d)).select("event_id", "fault", F.coalesce("epoch_ms", F.lit(-1)).alias("epoch_ms"))
 
 
+_TYPES = (
+    ("session_start", "s1", None), ("session_end", "s1", None), ("observation", "s1", None), ("session_start", 5, "session_id"), ("observation", {"a": 1}, "session_id"), ("session_end", "", "session_id"),
+    ("observation", None, "session_id"), ("session_end", True, "session_id"), ("session_start", ["s"], "session_id"), ("session_end:extra", "s1", "fields"), ("observation:hook", "s1", None), ("observation:number", "s1", "hook_type"),
+    ("session_end:project", "s1", "project_name"), ("observation:list", "s1", "data"), ("session_start:time", "s1", "timestamp"), ("started", "s1", "event_type"), ("session_start:twice", "s1", "not_an_object"),
+)
+
+
+def _typed(number: int) -> str:
+    """The JSON text of one of ``_TYPES``, with the event's id in place of @."""
+    import json
+
+    (name, _, change), session = _TYPES[number][0].partition(":"), _TYPES[number][1]
+    e = {"event_type": name, "session_id": session, "project_name": "p@", "current_working_directory": "", "timestamp": "2024-05-01T00:00:00.000Z"}
+    if name == "observation":
+        e |= {"hook_type": "h", "data": {"n": 1}}
+    e |= {"extra": {"hook_type": "h"}, "hook": {"hook_type": ""}, "number": {"hook_type": 7}, "project": {"project_name": None}, "list": {"data": [1]}, "time": {"timestamp": 1714521600000}}.get(change, {})
+    text = json.dumps(e)
+    return text[:-1] + ', "session_id": "s2"}' if change == "twice" else text
+
+
+@query("ledger_types", "SELECT event_id, CASE event_id % 17 " + " ".join(f"WHEN {i} THEN '{fault}'" for i, (_, _, fault) in enumerate(_TYPES) if fault) + " END AS fault, CASE WHEN event_id % 17 IN (0, 1) THEN 'session_events' WHEN event_id % 17 IN (2, 10) THEN 'raw_observations' END AS target FROM events")
+def ledger_types(spark, d):
+    """Events of each kind with fields of wrong types: only strings are strings."""
+    made = spark.createDataFrame([(i, _typed(i)) for i in range(len(_TYPES))], "m int, json string")
+    e = X.read(spark, d, "events").select("event_id")
+    e = e.join(F.broadcast(made), F.col("event_id") % 17 == F.col("m")).select("event_id", F.replace("json", F.lit("@"), F.col("event_id").cast("string")).alias("json"))
+    return L.validate(e).select("event_id", "fault", F.when(F.col("fault").isNull(), F.when(F.col("event_type") == "observation", "raw_observations").otherwise("session_events")).alias("target"))
+
+
 @query("observation_route", f"SELECT CASE WHEN event_id % 2 = 0 THEN 'raw_observations' ELSE 'session_events' END AS target, count(*) AS n FROM events WHERE {_OK} AND NOT (event_id % 2 = 1 AND event_id % 11 = 0) AND event_id % 14 != 4 GROUP BY 1")
 def observation_route(spark, d):
     a, b = L.route(L.validate(_queue(spark, d)), X.now())
