@@ -4,11 +4,16 @@ Every step is a pure function of (state, requests, now); ``now`` is a parameter.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import limits
 from ..functions.text import first_failure, framed, framed_bytes, trim_unicode, uuid5
+from ..sources.shared import written
 
 REVISION_NAMESPACE = "5b0c1c54-31a4-5f0c-9f0e-6f3e0a9d2c11"
 ACTIVE = ("claimed", "staged", "publishing")
@@ -228,45 +233,83 @@ def retry(attempts: DataFrame, failures: DataFrame, now, lease_seconds: int = li
     return j.select("attempt_id", "category", F.when(go, "retryable").otherwise("skipped").alias("outcome"), F.when(go, "retryable").otherwise(F.col("state")).alias("state"), F.when(go, when).otherwise(F.col("stored_next")).alias("next_attempt_at"))
 
 
+def _compact(x) -> str:
+    return json.dumps(x, separators=(",", ":"), ensure_ascii=False)
+
+
+def _bytes(x: str) -> int:
+    return len(x.encode("utf-8", "surrogatepass"))
+
+
+def _fragments(position: int, kind: str, content: str, budget: int) -> Iterator[str]:
+    """JSON of the pieces of an entry, each as long as its envelope and the brackets of a list leave room for."""
+    at = n = 0
+    while True:
+        # a character takes a byte at least: no piece reaches beyond this
+        rest = content[at : at + budget]
+        said = lambda k, rest=rest, n=n: _compact({"position": position, "fragment": n, "kind": kind, "content": rest[:k]})
+        fits = lambda k: _bytes(said(k)) + 2 <= budget
+        low, high = (len(rest), len(rest)) if fits(len(rest)) else (0, len(rest) - 1)
+        while low < high:
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if fits(mid) else (low, mid - 1)
+        if low == 0 and rest:
+            raise ValueError("the byte budget is too small for one character")
+        if not fits(low):
+            raise ValueError("the byte budget is too small for an envelope")
+        yield said(low)
+        at, n = at + low, n + 1
+        if at >= len(content):
+            return
+
+
+def _packed(rows: Iterator[tuple[object, str]], budget: int) -> Iterator[tuple[object, int, str, int]]:
+    """(key, item) with equal keys together -> (key, number, JSON list, items): lists are filled in
+    order up to the budget; one list is held at a time."""
+    now, number, held, size = None, 0, [], 2
+    for key, item in rows:
+        n = _bytes(item)
+        if held and (key != now or size + n + 1 > budget):
+            yield now, number, f"[{','.join(held)}]", len(held)
+            number, held, size = number + 1, [], 2
+        if key != now:
+            now, number = key, 0
+        size += n + bool(held)
+        held.append(item)
+    if held:
+        yield now, number, f"[{','.join(held)}]", len(held)
+
+
+def _in_frames(rows: Iterator[tuple], columns: list[str], most_bytes: int = 4 << 20) -> Iterator[pd.DataFrame]:
+    """Rows in frames of bounded text."""
+    frame, size = [], 0
+    for row in rows:
+        frame.append(row)
+        size += sum(len(x) for x in row if isinstance(x, str))
+        if size >= most_bytes or len(frame) >= 10_000:
+            yield pd.DataFrame(frame, columns=columns)
+            frame, size = [], 0
+    yield pd.DataFrame(frame, columns=columns)
+
+
 def chunks(entries: DataFrame, budget: int = limits.CHUNK_BYTES) -> DataFrame:
     """session_id, position, kind, content -> session_id, chunk, json.
 
     Entries are serialised in order; one that does not fit alone is cut at the longest prefix
-    that fits with its envelope; pieces are packed greedily.  One session per group."""
-    import json
-
-    import pandas as pd
-
-    def run(key, pdf):
-        ser = lambda x: json.dumps(x, separators=(",", ":"), ensure_ascii=False)
-        size = lambda s: len(s.encode())
-        parts: list[str] = []
-        for r in pdf.sort_values("position").itertuples():
-            rest, n = r.content, 0
-            while True:
-                whole = ser({"position": int(r.position), "fragment": n, "kind": r.kind, "content": rest})
-                if size(whole) + 2 <= budget:
-                    parts.append(whole)
-                    break
-                low, high = 0, len(rest)
-                while low < high:
-                    mid = (low + high + 1) // 2
-                    low, high = (mid, high) if size(ser({"position": int(r.position), "fragment": n, "kind": r.kind, "content": rest[:mid]})) + 2 <= budget else (low, mid - 1)
-                if low == 0:
-                    raise ValueError("the byte budget is too small for one character")
-                parts.append(ser({"position": int(r.position), "fragment": n, "kind": r.kind, "content": rest[:low]}))
-                rest, n = rest[low:], n + 1
-        out, held = [], 2
-        for p in parts:
-            if out and held + size(p) + 1 <= budget:
-                out[-1].append(p)
-                held += size(p) + 1
-            else:
-                out.append([p])
-                held = 2 + size(p)
-        return pd.DataFrame({"session_id": key[0], "chunk": range(len(out)), "json": ["[" + ",".join(x) + "]" for x in out]})
-
-    return entries.groupBy("session_id").applyInPandas(run, "session_id string, chunk int, json string")
+    that fits with its envelope; pieces are packed greedily.  Entries are a sorted stream, of
+    which one chunk is held at a time: a session may be larger than memory."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def pieces():
+            for pdf in batches:
+                for session, position, kind, content in zip(pdf["session_id"].tolist(), pdf["position"].tolist(), pdf["kind"].tolist(), pdf["content"].tolist(), strict=True):
+                    for piece in _fragments(int(position), kind, content or "", budget):
+                        yield session, piece
+
+        yield from _in_frames(((key, number, text) for key, number, text, _ in _packed(pieces(), budget)), ["session_id", "chunk", "json"])
+
+    rows = entries.select("session_id", "position", "kind", "content").repartition("session_id").sortWithinPartitions("session_id", "position")
+    return rows.mapInPandas(run, "session_id string, chunk int, json string")
 
 
 def generate(parts: DataFrame, generator) -> DataFrame:
@@ -282,52 +325,52 @@ def generate(parts: DataFrame, generator) -> DataFrame:
     return parts.mapInPandas(run, "session_id string, chunk int, summary_sentences array<string>, concepts array<string>")
 
 
+def _final(made: dict) -> dict:
+    sentences, concepts = [x.strip() for x in made["summary_sentences"]], [x.strip() for x in made["concepts"]]
+    if not 1 <= len(sentences) <= limits.SUMMARY_SENTENCES or not all(sentences):
+        raise ValueError("a summary has 1 to 5 sentences")
+    if len(concepts) != limits.FINAL_CONCEPTS or not all(concepts) or len({x.lower() for x in concepts}) != len(concepts):
+        raise ValueError("a final result has 10 different concepts")
+    return {"summary_sentences": sentences, "concepts": concepts}
+
+
 def reduce(generated: DataFrame, reducer, budget: int = limits.CHUNK_BYTES) -> DataFrame:
     """session_id, chunk, summary_sentences, concepts -> one row a session.
 
     A session's results are packed in order into JSON payloads of at most ``budget`` bytes;
     ``reducer(payload) -> dict(summary_sentences, concepts)`` makes one result of each, level by
-    level until one is left, a single result included.  A final result has 1 to 5 sentences and
-    exactly 10 concepts that differ without regard to case.  A level that does not get shorter,
-    or a result that does not fit alone, is an error: the budget is too small."""
-    import json
-
-    import pandas as pd
-
-    def pack(level: list[dict]) -> list[str]:
-        ser = lambda x: json.dumps(x, separators=(",", ":"), ensure_ascii=False)
-        out, held, size = [], [], 2
-        for item in map(ser, level):
-            n = len(item.encode())
-            if n + 2 > budget:
-                raise ValueError("the byte budget is too small for one result")
-            if held and size + n + 1 > budget:
-                out.append(held)
-                held, size = [], 2
-            size += n + bool(held)
-            held = [*held, item]
-        return [f"[{','.join(x)}]" for x in [*out, held]]
-
-    def final(made: dict) -> dict:
-        sentences, concepts = [x.strip() for x in made["summary_sentences"]], [x.strip() for x in made["concepts"]]
-        if not 1 <= len(sentences) <= limits.SUMMARY_SENTENCES or not all(sentences):
-            raise ValueError("a summary has 1 to 5 sentences")
-        if len(concepts) != limits.FINAL_CONCEPTS or not all(concepts) or len({x.lower() for x in concepts}) != len(concepts):
-            raise ValueError("a final result has 10 different concepts")
-        return {"summary_sentences": sentences, "concepts": concepts}
-
-    def run(key, pdf):
-        level = [{"summary_sentences": list(r.summary_sentences), "concepts": list(r.concepts)} for r in pdf.sort_values("chunk").itertuples()]
-        while True:
-            parts = pack(level)
-            if len(level) > 1 and len(parts) >= len(level):
-                raise ValueError("the byte budget is too small: a level did not get shorter")
-            level = [final(reducer(x)) for x in parts]
-            if len(level) == 1:
-                return pd.DataFrame({"session_id": [key[0]], "summary_sentences": [level[0]["summary_sentences"]], "concepts": [level[0]["concepts"]]})
-
-    # as many rows as a session has chunks
-    return generated.groupBy("session_id").applyInPandas(run, "session_id string, summary_sentences array<string>, concepts array<string>")
+    level until one is left, a single result included.  A level that does not get shorter, or a
+    result that does not fit alone, is an error: the budget is too small.
+
+    A level is one sorted stream over all sessions that are not done, written to the shared
+    folder: payloads are held one at a time, and a lost executor repeats a level's part only."""
+    schema = "session_id string, chunk int, summary_sentences array<string>, concepts array<string>"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def items():
+            for pdf in batches:
+                for session, sentences, concepts in zip(pdf["session_id"].tolist(), pdf["summary_sentences"].tolist(), pdf["concepts"].tolist(), strict=True):
+                    item = _compact({"summary_sentences": list(sentences), "concepts": list(concepts)})
+                    if _bytes(item) + 2 > budget:
+                        raise ValueError("the byte budget is too small for one result")
+                    yield session, item
+
+        for key, number, payload, _ in _packed(items(), budget):
+            made = _final(reducer(payload))
+            yield pd.DataFrame({"session_id": [key], "chunk": [number], "summary_sentences": [made["summary_sentences"]], "concepts": [made["concepts"]]})
+
+    level, done = generated.select("session_id", "chunk", "summary_sentences", "concepts"), None
+    while True:
+        before = level.groupBy(F.col("session_id").alias("b_session")).agg(F.count(F.lit(1)).alias("b_n"))
+        made = written(level.repartition("session_id").sortWithinPartitions("session_id", "chunk").mapInPandas(run, schema), "reduced")
+        sizes = written(made.groupBy(F.col("session_id").alias("n_session")).agg(F.count(F.lit(1)).alias("n")).join(before, F.col("n_session") == F.col("b_session")).select("n_session", "n", "b_n"), "sizes")
+        if not sizes.filter("n > 1 and n >= b_n").isEmpty():
+            raise ValueError("the byte budget is too small: a level did not get shorter")
+        ready = made.join(sizes.filter("n = 1"), F.col("session_id") == F.col("n_session"), "left_semi")
+        done = ready if done is None else done.unionByName(ready)
+        level = made.join(sizes.filter("n > 1"), F.col("session_id") == F.col("n_session"), "left_semi")
+        if level.isEmpty():
+            return done.select("session_id", "summary_sentences", "concepts")
 
 
 def normal_concepts(c):

@@ -176,10 +176,51 @@ def candidate_fingerprints(spark, d):
     return c.select("session_id", "fingerprint", "type", "title", "content", F.array_join("concepts", ",").alias("concepts"), F.array_join("receipts", ",").alias("receipts"), "ordinal", "memory_id")
 
 
-@query("session_chunks")
+_ENVELOPE = """'{"position":' || position || ',"fragment":' || %s || ',"kind":' || to_json(kind) || ',"content":'"""
+
+
+@query(
+    "session_chunks",
+    f"""WITH RECURSIVE e AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS position, role AS kind, text AS content FROM conversations),
+ c AS (SELECT session_id, position, i, strlen(CAST(to_json(substr(content, i, 1)) AS VARCHAR)) - 2 AS n FROM (SELECT *, unnest(range(1, length(content) + 1)) AS i FROM e)),
+ s AS (SELECT session_id, position, i, sum(n) OVER (PARTITION BY session_id, position ORDER BY i) AS upto FROM c),
+ u AS MATERIALIZED (SELECT e.*, coalesce(cs, []) AS cs FROM e LEFT JOIN (SELECT session_id, position, list(upto ORDER BY i) AS cs FROM s GROUP BY 1, 2) USING (session_id, position)),
+ f AS (SELECT *, 0 AS n, 0 AS a0, len(list_filter(cs, lambda x: x <= 595 - strlen({_ENVELOPE % "'0'"}))) AS till FROM u
+  UNION ALL SELECT * EXCLUDE (n, a0, till), n + 1, till, len(list_filter(cs, lambda x: x - cs[till] <= 595 - strlen({_ENVELOPE % "(n + 1)"}))) FROM f WHERE till < len(cs)),
+ p AS MATERIALIZED (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY position, n) AS k, {_ENVELOPE % "n"} || to_json(substr(content, a0 + 1, till - a0)) || '}}' AS part FROM f),
+ g AS (SELECT session_id, k, part, 0 AS chunk, 2 + strlen(part) AS size FROM p WHERE k = 1
+  UNION ALL SELECT p.session_id, p.k, p.part, CASE WHEN size + strlen(p.part) + 1 <= 600 THEN chunk ELSE chunk + 1 END, CASE WHEN size + strlen(p.part) + 1 <= 600 THEN size + strlen(p.part) + 1 ELSE 2 + strlen(p.part) END FROM g JOIN p ON p.session_id = g.session_id AND p.k = g.k + 1)
+ SELECT session_id, chunk, '[' || string_agg(part, ',' ORDER BY k) || ']' AS json FROM g GROUP BY 1, 2""",
+)
 def session_chunks(spark, d):
     c = X.read(spark, d, "conversations")
-    return P.chunks(c.select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("position"), F.col("role").alias("kind"), F.col("text").alias("content")), 600).select("session_id", "chunk", F.octet_length("json").alias("bytes"))
+    return P.chunks(c.select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("position"), F.col("role").alias("kind"), F.col("text").alias("content")), 600)
+
+
+@query("session_chunks_reduced", "SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST(sum(length(text)) AS BIGINT) AS n_chars, count(*) AS n_turns FROM conversations GROUP BY 1")
+def session_chunks_reduced(spark, d):
+    """Chunks, a result of each, and their reduction level by level, with stand-ins for the model
+    that only count: what is left of a session tells its characters and its turns."""
+    c = X.read(spark, d, "conversations")
+    parts = P.chunks(c.select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("position"), F.col("role").alias("kind"), F.col("text").alias("content")), 600)
+
+    def told(chars, turns):
+        return {"summary_sentences": [f"{chars} {turns}"], "concepts": [f"c{i}" for i in range(10)]}
+
+    def generator(text):
+        import json
+
+        items = json.loads(text)
+        return told(sum(len(x["content"]) for x in items), sum(x["fragment"] == 0 for x in items))
+
+    def reducer(payload):
+        import json
+
+        n = [[int(y) for y in x["summary_sentences"][0].split()] for x in json.loads(payload)]
+        return told(*map(sum, zip(*n, strict=True)))
+
+    out = P.reduce(P.generate(parts, generator), reducer, 400).withColumn("n", F.split(F.col("summary_sentences")[0], " "))
+    return out.select("session_id", F.col("n")[0].cast("long").alias("n_chars"), F.col("n")[1].cast("long").alias("n_turns"))
 
 
 @query("sweep_tally", f"WITH {ATTEMPTS} SELECT count(*) FILTER (state IN ('staged', 'publishing')) AS staged, count(*) FILTER (state = 'complete') AS completed, count(*) FILTER (state = 'retryable') AS retryable, count(*) FILTER (state IN ('claimed', 'superseded')) AS skipped FROM att")
