@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import limits
+from ..sources.shared import written
 
 #: Relation types and whether they are symmetric.
 RELATIONS = (("related_to", True), ("contradicts", True), ("is_a", False), ("part_of", False), ("depends_on", False), ("uses", False), ("implements", False), ("causes", False), ("resolves", False))
@@ -175,3 +176,40 @@ def evidence_outcomes(assertions: DataFrame, sources: DataFrame, evidence: DataF
     rows = held.unionByName(asked).repartition("assertion_id").sortWithinPartitions("assertion_id", F.col("op") != "held", "ordinal")
     served = rows.mapInPandas(_serve_evidence, "ordinal long, outcome string")
     return served.unionByName(j.filter("fault is not null").select(F.col("ordinal").cast("long").alias("ordinal"), F.col("fault").alias("outcome")))
+
+
+def find_paths_many(assertions: DataFrame, requests: DataFrame, direction: str = "either", max_depth: int = 4, max_work: int = limits.PATH_WORK, limit: int = limits.PATHS) -> DataFrame:
+    """requests (request_id, start, end) -> request_id and the columns of ``find_paths``, for any
+    number of requests at once; equal ends are ``invalid_input``, no path is no row.
+
+    A level is a join of all open states with the edges, written to the shared folder.  Its states
+    are counted by request first, so that a request that has used up its work generates no more:
+    at most ``max_work`` states a request are ever written."""
+    limits.bounded("max_depth", max_depth, 1, limits.PATH_DEPTH)
+    limits.bounded("max_work", max_work, 1, limits.PATH_WORK)
+    limits.bounded("limit", limit, 1, limits.PATHS)
+    none = F.array().cast("array<string>")
+    edges = written(directed(assertions, direction).select("src", "dst", "id", "orientation"), "edges")
+    good = requests.filter("start != end")
+    state = good.select("request_id", "end", F.col("start").alias("at"), F.array("start").alias("c"), none.alias("a"), none.alias("o"))
+    work = good.select("request_id", F.lit(1).cast("long").alias("work"))
+    found = None
+    for _ in range(max_depth):
+        step = state.join(edges, F.col("at") == F.col("src")).filter(~F.array_contains("c", F.col("dst")) & ~F.array_contains("a", F.col("id")))
+        made = step.groupBy(F.col("request_id").alias("m_request")).agg(F.count(F.lit(1)).alias("made"))
+        work = written(work.join(made, F.col("request_id") == F.col("m_request"), "left").select("request_id", (F.col("work") + F.coalesce("made", F.lit(0))).alias("work")), "work")
+        step = step.join(work.filter(F.col("work") <= max_work).select("request_id"), "request_id", "left_semi")
+        level = written(step.select("request_id", "end", F.col("dst").alias("at"), F.array_append("c", F.col("dst")).alias("c"), F.array_append("a", F.col("id")).alias("a"), F.array_append("o", F.col("orientation")).alias("o")), "level")
+        hits = level.filter(F.col("at") == F.col("end"))
+        found = hits if found is None else found.unionByName(hits)
+        state = level.filter(F.col("at") != F.col("end"))
+        if state.isEmpty():
+            break
+    order = Window.partitionBy("request_id").orderBy(F.size("a"), "a", "c")
+    best = found.join(work.filter(F.col("work") <= max_work), "request_id").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    joined = lambda c: F.array_join(c, ">").alias({"c": "concept_ids", "a": "assertion_ids", "o": "orientations"}[c])
+    best = best.select("request_id", "rank", F.size("a").alias("hops"), joined("c"), joined("a"), joined("o"), "work", F.lit("found").alias("outcome"))
+    empty = [F.lit(0).alias("rank"), F.lit(0).alias("hops"), *[F.lit("").alias(c) for c in ("concept_ids", "assertion_ids", "orientations")]]
+    over = work.filter(F.col("work") > max_work).select("request_id", *empty, F.lit(max_work + 1).cast("long").alias("work"), F.lit("work_exhausted").alias("outcome"))
+    bad = requests.filter("start = end or start is null or end is null").select("request_id", *empty, F.lit(0).cast("long").alias("work"), F.lit("invalid_input").alias("outcome"))
+    return best.unionByName(over).unionByName(bad)

@@ -62,6 +62,23 @@ def graph_paths_exhausted(spark, d):
     return G.find_paths(X.graph(spark, d)[1], "customer:0", "customer:7", "either", 4, max_work=30)
 
 
+def _many_paths_sql(work: int) -> str:
+    return f"""WITH RECURSIVE {X.ASSERTIONS}, e AS (SELECT subject AS src, object AS dst, id, 'outgoing' AS way FROM asr UNION ALL SELECT object, subject, id, 'incoming' FROM asr),
+ r AS (SELECT c_custkey AS request_id, 'customer:' || c_custkey AS a1, 'customer:' || CASE WHEN c_custkey % 10 = 0 THEN c_custkey ELSE (c_custkey * 7 + 3) % 150 END AS a2 FROM customer WHERE c_custkey % 3 = 0),
+ p AS (SELECT request_id, a2, a1 AS node, [a1] AS c, CAST([] AS VARCHAR[]) AS a, CAST([] AS VARCHAR[]) AS o FROM r WHERE a1 != a2 UNION ALL SELECT request_id, a2, e.dst, list_append(p.c, e.dst), list_append(p.a, e.id), list_append(p.o, e.way) FROM p JOIN e ON e.src = p.node WHERE p.node != a2 AND len(p.a) < 3 AND NOT list_contains(p.c, e.dst) AND NOT list_contains(p.a, e.id)),
+ w AS (SELECT *, count(*) OVER (PARTITION BY request_id) AS work FROM p),
+ f AS (SELECT request_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY len(a), a, c) AS INTEGER) AS rank, CAST(len(a) AS INTEGER) AS hops, array_to_string(c, '>') AS concept_ids, array_to_string(a, '>') AS assertion_ids, array_to_string(o, '>') AS orientations, work, 'found' AS outcome FROM w WHERE node = a2 AND work <= {work})
+ SELECT * FROM f WHERE rank <= 50 UNION ALL SELECT DISTINCT request_id, 0, 0, '', '', '', CAST({work} + 1 AS BIGINT), 'work_exhausted' FROM w WHERE work > {work} UNION ALL SELECT request_id, 0, 0, '', '', '', CAST(0 AS BIGINT), 'invalid_input' FROM r WHERE a1 = a2"""
+
+
+@query("graph_paths_many", _many_paths_sql(75))
+def graph_paths_many(spark, d):
+    """A third of all customers as requests of one plan; those in large nations use up their work."""
+    k = F.col("c_custkey")
+    r = X.read(spark, d, "customer").filter(k % 3 == 0).select(k.alias("request_id"), F.concat(F.lit("customer:"), k).alias("start"), F.concat(F.lit("customer:"), F.when(k % 10 == 0, k).otherwise((k * 7 + 3) % 150)).alias("end"))
+    return G.find_paths_many(X.graph(spark, d)[1], r, "either", 3, max_work=75)
+
+
 @query("graph_invariant_audit", f"WITH {X.ASSERTIONS}, {X.CONCEPTS}, {X.PROVENANCE} SELECT 'no_evidence' AS violation, id AS item FROM asr ANTI JOIN evi ON evi.assertion_id = asr.id UNION ALL SELECT 'preferred_alias', id FROM con WHERE starts_with(id, 'nation') AND CAST(split_part(id, ':', 2) AS BIGINT) % 5 = 0")
 def graph_invariant_audit(spark, d):
     c, a = X.graph(spark, d)
