@@ -149,15 +149,24 @@ def session_promoted_records(spark, d):
     return P.promote(a, staged, a.filter("state = 'complete'").select("session_id", "source_revision", "lifecycle_count", "observation_count"))[0]
 
 
-@query("failure_taxonomy", "SELECT * FROM (VALUES " + ", ".join(str(x) for x in P.FAILURES) + ") t(category, stage, retryability)")
+@query(
+    "failure_taxonomy",
+    f"WITH {ATTEMPTS}, f AS (SELECT * FROM (VALUES " + ", ".join(str((i, *x)) for i, x in enumerate(P.FAILURES)) + f") t(n, category, stage, retryability)) SELECT attempt_id, category, stage, retryability FROM att JOIN f ON CAST(substr(attempt_id, 2) AS BIGINT) % {len(P.FAILURES)} = n",
+)
 def failure_taxonomy(spark, d):
-    return P.failure_taxonomy(spark)
+    """What each attempt's failure means, by its category."""
+    k = F.substring("attempt_id", 2, 20).cast("long")
+    names = F.array(*[F.lit(x[0]) for x in P.FAILURES])
+    failed = _attempts(spark, d).select("attempt_id", F.element_at(names, (k % len(P.FAILURES) + 1).cast("int")).alias("category"))
+    return failed.join(F.broadcast(P.failure_taxonomy(spark)), "category").select("attempt_id", "category", "stage", "retryability")
 
 
-@query("session_transitions", "WITH s AS (SELECT unnest(['claimed', 'staged', 'publishing', 'retryable', 'complete', 'superseded']) AS x), t AS (SELECT * FROM (VALUES ('claimed','staged'),('claimed','retryable'),('claimed','superseded'),('staged','publishing'),('staged','retryable'),('publishing','complete'),('publishing','retryable'),('retryable','claimed')) v(f, t)) SELECT a.x AS from_state, b.x AS to_state, EXISTS (SELECT 1 FROM t WHERE t.f = a.x AND t.t = b.x) AS legal FROM s a, s b")
+@query("session_transitions", f"WITH {ATTEMPTS}, t AS (SELECT * FROM (VALUES ('claimed','staged'),('claimed','retryable'),('claimed','superseded'),('staged','publishing'),('staged','retryable'),('publishing','complete'),('publishing','retryable'),('retryable','claimed')) v(f, t)), c AS (SELECT attempt_id, state AS from_state, ['claimed', 'staged', 'publishing', 'retryable', 'complete', 'superseded'][CAST(substr(attempt_id, 2) AS BIGINT) // 6 % 6 + 1] AS to_state FROM att) SELECT attempt_id, from_state, to_state, t.f IS NOT NULL AS legal FROM c LEFT JOIN t ON t.f = from_state AND t.t = to_state")
 def session_transitions(spark, d):
-    s = ["claimed", "staged", "publishing", "retryable", "complete", "superseded"]
-    return P.legal(spark.createDataFrame([(a, b) for a in s for b in s], "from_state string, to_state string"))
+    """Whether each attempt may go from its state to the one that is asked for."""
+    k = F.substring("attempt_id", 2, 20).cast("long")
+    s = F.array(*[F.lit(x) for x in ("claimed", "staged", "publishing", "retryable", "complete", "superseded")])
+    return P.legal(_attempts(spark, d).select("attempt_id", F.col("state").alias("from_state"), F.element_at(s, (F.floor(k / 6) % 6 + 1).cast("int")).alias("to_state"))).select("attempt_id", "from_state", "to_state", "legal")
 
 
 def _generated(spark, d):
