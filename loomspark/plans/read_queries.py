@@ -11,6 +11,7 @@ from ..operators import memory as M
 from ..operators import session_adapter as A
 from ..operators import publishing as B
 from ..operators import session as P
+from ..operators import session_queue as Q
 from . import fixtures as X
 from .session_queries import ATTEMPTS, _attempts
 
@@ -304,6 +305,78 @@ def adapter3_text_content(spark, d):
     return e.select("seq", A.text_content(F.col("content"), F.col("blocks"), ("image", "thinking")).alias("text"))
 
 
+def _projections() -> list[tuple[str, str, str | None, str | None]]:
+    """(kind, native JSON, payload JSON, fault) with @ for the event's id."""
+    import json
+
+    j = lambda x: json.dumps(x, separators=(",", ":"), sort_keys=True)
+    entry = {"firstKeptEntryId": "k", "id": "e@", "parentId": None, "timestamp": "now", "tokensBefore": 7}
+    compact = {"compactionEntry": entry, "fromExtension": False, "reason": "manual", "willRetry": True}
+    failed = {"aborted": True, "fromExtension": False, "reason": "overflow", "willRetry": False}
+    cost = dict.fromkeys(("cacheRead", "cacheWrite", "input", "output", "total"), 0.5)
+    usage = {"cacheRead": 1, "cacheWrite": 2, "input": 3, "output": 4, "totalTokens": 10, "cost": cost}
+    said = {"role": "assistant", "api": "a", "model": "m", "provider": "p", "stopReason": "stop", "timestamp": 5, "usage": usage}
+    text = [{"type": "text", "text": "one \"@\" "}, {"type": "thinking", "thinking": "no"}, {"type": "text", "text": "two"}]
+    kept = {**said, "text": 'one "@" two'}
+    tool = {"toolCallId": "c@", "toolName": "t"}
+    good = [
+        ("session_info_changed", {"name": "n@", "path": "/x"}, {"name": "n@"}),
+        ("session_info_changed", {}, {}),
+        ("session_compact", {**compact, "compactionEntry": {**entry, "summary": "long"}}, compact),
+        ("session_compact", {**compact, "compactionEntry": {**entry, "parentId": "p", "fromHook": True}}, {**compact, "compactionEntry": {**entry, "parentId": "p", "fromHook": True}}),
+        ("session_compact_failed", {**failed, "errorMessage": "e", "stack": []}, {**failed, "errorMessage": "e"}),
+        ("agent_start", {"messages": [1]}, {}),
+        ("agent_settled", {}, {}),
+        ("ui_prompt_start", {"kind": "select", "reason": "ui_prompt", "options": []}, {"kind": "select", "reason": "ui_prompt"}),
+        ("ui_prompt_end", {"kind": "custom", "reason": "ui_prompt", "title": "t"}, {"kind": "custom", "reason": "ui_prompt", "title": "t"}),
+        ("turn_start", {"timestamp": 12, "turnIndex": 0}, {"timestamp": 12, "turnIndex": 0}),
+        ("turn_end", {"turnIndex": 3, "message": {}}, {"turnIndex": 3}),
+        ("message_end", {"message": {"role": "user", "content": "plain @", "timestamp": 1}}, {"role": "user", "text": "plain @", "timestamp": 1}),
+        ("message_end", {"message": {"role": "user", "content": [{"type": "image", "data": "x"}], "timestamp": 1}}, {"role": "user", "text": "", "timestamp": 1}),
+        ("message_end", {"message": {**said, "content": text, "responseModel": "r"}}, {**kept, "responseModel": "r"}),
+        ("message_end", {"message": {**said, "content": text, "usage": {**usage, "reasoning": 9, "other": 1}}}, {**kept, "usage": {**usage, "reasoning": 9}}),
+        ("tool_execution_start", {**tool, "args": {"b": [1, None], "a": "@"}}, {**tool, "args": {"b": [1, None], "a": "@"}}),
+        ("tool_execution_end", {**tool, "isError": False, "result": None, "details": 1}, {**tool, "isError": False, "result": None}),
+    ]
+    bad = [
+        ("session_info_changed", {"name": None}), ("session_compact", {**compact, "reason": "other"}), ("session_compact", {**compact, "compactionEntry": {**entry, "tokensBefore": "7"}}), ("session_compact_failed", {**failed, "aborted": "true"}),
+        ("ui_prompt_start", {"kind": "menu", "reason": "ui_prompt"}), ("turn_start", {"timestamp": "12", "turnIndex": 0}), ("turn_end", {}), ("agent_start", [1]), ("message_end", {"message": {"role": "user", "content": [{"type": "video"}], "timestamp": 1}}),
+        ("message_end", {"message": {**said, "content": "text"}}), ("message_end", {"message": {**said, "content": text, "usage": {**usage, "cost": {**cost, "total": None}}}}), ("message_end", {"message": 5}), ("tool_execution_start", tool), ("tool_execution_end", {**tool, "isError": 0, "result": 1}),
+    ]
+    none = [("message_end", {"message": {"role": "toolResult"}}), ("input", {"text": "x"}), ("session_start", {})]
+    return [(k, json.dumps(x), j(p), None) for k, x, p in good] + [(k, json.dumps(x), None, "normalization") for k, x in bad] + [(k, json.dumps(x), None, "excluded") for k, x in none]
+
+
+def _projections_sql() -> str:
+    q = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({i}, {q(k)}, {q(p)}, {q(f)})" for i, (k, _, p, f) in enumerate(_projections()))
+    return f"""WITH p AS (SELECT * FROM (VALUES {rows}) t(m, kind, payload, fault)) SELECT event_id AS seq, replace('{{"event":"' || kind || '","payload":' || payload || ',"source":"pi","version":"1.0.0"}}', '@', CAST(event_id AS VARCHAR)) AS envelope, fault FROM events JOIN p ON event_id % {len(_projections())} = m"""
+
+
+@query("adapter3_projection", _projections_sql())
+def adapter3_projection(spark, d):
+    """Native events of all kinds, with what is dropped from them and what makes them fail."""
+    made = spark.createDataFrame([(i, k, x) for i, (k, x, _, _) in enumerate(_projections())], "m int, type string, native string")
+    e = X.read(spark, d, "events").select(F.col("event_id").alias("seq"))
+    e = e.join(F.broadcast(made), F.col("seq") % len(_projections()) == F.col("m")).select("seq", "type", F.replace("native", F.lit("@"), F.col("seq").cast("string")).alias("native"))
+    return A.project(e).select("seq", "envelope", "fault")
+
+
+@query("session_queue", """WITH RECURSIVE r AS MATERIALIZED (SELECT CAST(user_id AS VARCHAR) AS session_id, event_id AS seq, CASE WHEN event_id % 11 = 7 THEN 'start' WHEN event_id % 53 = 50 THEN 'end' WHEN event_id % 5 < 2 THEN 'sent' ELSE 'observation' END AS kind, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+ s AS (SELECT session_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS seq, 'new' AS state, '' AS q, CAST([] AS BIGINT[]) AS w, '' AS out, CAST(0 AS BIGINT) AS head FROM r WHERE n = 1
+  UNION ALL SELECT session_id, n, seq, CASE WHEN contains(out, 'e') THEN 'closing' WHEN contains(out, 's') THEN 'active' ELSE state END, CASE WHEN out = 'x' OR out = 'y' OR out = 'z' THEN substr(q, 2) ELSE q || replace(out, 'v', '') END,
+   CASE WHEN out IN ('x', 'y', 'z') THEN w[2:] WHEN out = 'so' THEN list_append(list_append(w, seq), seq) WHEN out IN ('s', 'o', 'e') THEN list_append(w, seq) ELSE w END, out, coalesce(w[1], 0)
+   FROM (SELECT r.session_id, r.n, r.seq, state, q, w, CASE WHEN kind = 'sent' THEN CASE q[1] WHEN 's' THEN 'x' WHEN 'o' THEN 'y' WHEN 'e' THEN 'z' ELSE '' END WHEN state = 'closing' THEN '' WHEN kind = 'observation' AND len(q) - len(replace(q, 'o', '')) >= 3 THEN 'v'
+     WHEN kind = 'end' THEN 'e' WHEN kind = 'start' THEN CASE state WHEN 'new' THEN 's' ELSE '' END ELSE CASE state WHEN 'new' THEN 'so' ELSE 'o' END END AS out FROM s JOIN r ON r.session_id = s.session_id AND r.n = s.n + 1)),
+ o AS (SELECT session_id, seq, out, head, unnest(range(1, len(out) + 1)) AS i FROM s WHERE out != '')
+ SELECT session_id, seq, CAST(i - 1 AS INTEGER) AS ordinal, CASE out[i] WHEN 'x' THEN 'sent:start' WHEN 'y' THEN 'sent:observation' WHEN 'z' THEN 'sent:end' WHEN 's' THEN 'start' WHEN 'o' THEN 'observation' WHEN 'e' THEN 'end' ELSE 'overflow' END AS emitted, CASE WHEN out IN ('x', 'y', 'z') THEN head ELSE seq END AS entry FROM o""")
+def session_queue(spark, d):
+    """Submissions of each user's session, of which two in five send what waits longest."""
+    k = F.col("event_id")
+    kind = F.when(k % 11 == 7, "start").when(k % 53 == 50, "end").when(k % 5 < 2, "sent").otherwise("observation")
+    return Q.serve_all(X.read(spark, d, "events").select(F.col("user_id").cast("string").alias("session_id"), k.alias("seq"), kind.alias("kind")), 3)
+
+
 @query("adapter3_queue_admission", "WITH q AS (SELECT user_id, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nr FROM events) SELECT CAST(user_id AS VARCHAR) AS session_id, seq, CASE WHEN nr > 5 THEN 'overflow' WHEN nr = 1 THEN 'start,observation' ELSE 'observation' END AS admitted FROM q")
 def adapter3_queue_admission(spark, d):
     e = X.read(spark, d, "events").select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("seq"), F.lit("observation").alias("kind"))
