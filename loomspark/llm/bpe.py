@@ -18,7 +18,9 @@ Scale: no shuffle; a map over the texts.  The vocabulary (a few MB, one file who
 parameter) is read on the driver and broadcast; executors need no file.
 
 Defined results: null and empty texts have no ids and decode to the empty text; rows are kept
-as they are, repeated ones included; other columns are ignored.
+as they are, repeated ones included; an empty table gives no rows; a very long text is encoded
+word by word, a longest word by itself; there are no ties, since each prefix has one last token;
+other columns are ignored.
 """
 
 from __future__ import annotations

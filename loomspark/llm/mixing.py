@@ -17,8 +17,8 @@ more, whatever the source's size, so a hot source is spread over as many windows
 needs.
 
 Defined results: null text has size 0 and taken 0; a null source is a source of its own,
-last; an empty table gives no rows; repeated rows are documents of their own; other
-columns are ignored.
+last; an empty table gives no rows; repeated rows are documents of their own; a very long text is
+one document of its size, of which a mix may take a part; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -28,7 +28,7 @@ Defined results: null and blank texts have an empty set and are linked with noth
 repeated rows are copies; with fewer words than five the whole sequence is the one shingle;
 a null doc_id links with nothing (component and kept null); texts whose class has the same
 smallest doc_id are one node; a very long text is one set, in memory by itself; an empty
-table gives no rows; other columns are ignored.
+table gives no rows; a similarity of exactly the threshold links; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ The EM runs on the counts of vote patterns, at most 3 ^ rules rows whatever the
 does the posterior.  No shuffle holds text.
 
 Defined results: null and blank texts have no words and fail the base rule; repeated rows are
-kept; an empty table gives no rows; other columns are ignored.
+kept; an empty table gives no rows; a very long text is measured whole, in one pass; a posterior
+of exactly 0.5 keeps the text; other columns are ignored.
 """
 
 from __future__ import annotations
