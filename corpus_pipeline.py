@@ -15,7 +15,10 @@ from loomspark.llm.common import materialise, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity operator does not reject."""
+    """Documents that the toxicity operator does not reject.
+
+    Null and empty texts stay, of whatever length texts are scored whole, a score of exactly 0.5
+    rejects, rows that repeat are judged alike, an empty table stays empty, other columns pass."""
     return toxicity.reject_toxic(docs, table(spark, sf_dir, "labels"))
 
 
@@ -40,12 +43,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them.
+
+    Texts without words, null ones included, are not taken; a null source is the last one; repeated
+    rows are documents of their own; a very long text counts whole; empty tables stay empty."""
     return mixing.mixed_documents(docs)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and digests of every document of the mix."""
+    """doc_id, n_tokens and digests of every document of the mix.
+
+    Null and empty texts have no ids; rows are kept as they are, repeated ones and those of very
+    long texts included; other columns go; an empty table gives no rows."""
     return bpe.encode(docs)
 
 
