@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .. import limits
 from ..functions.stemmer import STOP_WORDS, with_stems
+from ..sources.shared import written
 from . import search
 
 #: Partitions of the postings; part of an index, as its terms' places depend on it.
@@ -34,16 +35,16 @@ def words(c):
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda x: (x != "") & ~x.isin(STOP_WORDS))
 
 
-def terms(memories: DataFrame) -> DataFrame:
-    """id, version, term, tf, dl of every row (``term`` null for rows without words).
+def terms(memories: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, version, ``keep``, term, tf, dl of every row (``term`` null for rows without words).
 
     Words are counted by row before they are stemmed, and stemmed once each."""
     w = words(search.search_document(F.col("title"), F.col("content"), F.col("concepts")))
-    rows = memories.select("id", "version", w.alias("w")).select("id", "version", F.size("w").cast("long").alias("dl"), F.explode_outer("w").alias("word"))
-    counted = rows.groupBy("id", "version", "dl", "word").agg(F.count(F.lit(1)).alias("tf"))
+    rows = memories.select("id", "version", *keep, w.alias("w")).select("id", "version", *keep, F.size("w").cast("long").alias("dl"), F.explode_outer("w").alias("word"))
+    counted = rows.groupBy("id", "version", *keep, "dl", "word").agg(F.count(F.lit(1)).alias("tf"))
     vocabulary = with_stems(counted.select("word").filter("word is not null").distinct()).withColumnRenamed("word", "v_word")
     out = counted.join(vocabulary, F.col("word") == F.col("v_word"), "left")
-    return out.groupBy("id", "version", "dl", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
+    return out.groupBy("id", "version", *keep, "dl", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
 
 
 def moved_heads(before: DataFrame, new: DataFrame) -> DataFrame:
@@ -61,9 +62,7 @@ def moved_heads(before: DataFrame, new: DataFrame) -> DataFrame:
 
 def signed_postings(before: DataFrame, new: DataFrame) -> DataFrame:
     """term, id, version, tf, dl, sign of what ``new`` changes; a row without words has a null term."""
-    moved = moved_heads(before, new)
-    side = lambda sign: terms(moved.filter(F.col("sign") == sign)).withColumn("sign", F.lit(sign))
-    return side(1).unionByName(side(-1))
+    return terms(moved_heads(before, new), ("sign",))
 
 
 @dataclass(frozen=True)
@@ -110,7 +109,7 @@ class TextIndex:
         limits.bounded("limit", limit, 1, limits.SEARCH_LIMIT)
         spark = queries.sparkSession
         asked = with_stems(queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("word"))).select("query_id", F.col("stem").alias("q_term")).distinct()
-        asked = asked.withColumn("q_bucket", F.pmod(F.xxhash64("q_term"), F.lit(self.buckets)).cast("int"))
+        asked = written(asked.withColumn("q_bucket", F.pmod(F.xxhash64("q_term"), F.lit(self.buckets)).cast("int")), "asked")
         # the partitions to read: at most ``buckets`` numbers; few terms also reach the scan themselves
         places = [r[0] for r in asked.select("q_bucket").distinct().collect()]
         few = [r[0] for r in asked.select("q_term").distinct().limit(TERMS_PUSHED + 1).collect()]
