@@ -69,6 +69,29 @@ PREFIX_TRIE = r"""WITH RECURSIVE o AS MATERIALIZED (SELECT conv_id, row_number()
  SELECT node.conv_id, node.depth, p.conv_id AS parent_conv_id, node.n_convs, coalesce(kids.n, 0) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, node.ends_sha256
  FROM node JOIN sub ON sub.top = node.path LEFT JOIN kids ON kids.parent = node.path LEFT JOIN node p ON p.path = node.parent"""
 
+#: The cheapest edits by a recursion over each conversation's rows; x0 to x3: least (cost, audit) of the grammar's states.
+REPAIR = r"""WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(CAST(conv_id AS VARCHAR), ' ') AS ck, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS s FROM conversations),
+ c AS MATERIALIZED (SELECT *, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), range(0, 8 * len(s))), lambda a, i: xor(xor(a, CASE WHEN i % 8 = 0 THEN ord(s[i // 8 + 1]) ELSE 0 END) >> 1, CASE WHEN xor(a, CASE WHEN i % 8 = 0 THEN ord(s[i // 8 + 1]) ELSE 0 END) & 1 = 1 THEN 3988292384 ELSE 0 END))) % 20 AS kind FROM o),
+ d AS (SELECT ck, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE kind WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM c WHERE kind != 0),
+ f AS (SELECT *, row_number() OVER (PARTITION BY ck ORDER BY turn NULLS FIRST, role, text, copy) AS n, row_number() OVER (PARTITION BY ck, role, text ORDER BY turn NULLS FIRST, copy) AS nth, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z', 1) AS ends FROM d),
+ j AS MATERIALIZED (SELECT ck, turn, n, role, text, left(role, 1) AS r, CASE WHEN ends = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN ends NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(left(role, 1)) OVER (PARTITION BY ck ORDER BY n) AS last FROM f),
+ t AS (SELECT ck, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (last IS NOT NULL AND last || r NOT IN ('su', 'ua', 'au')) AS illegal FROM j GROUP BY 1),
+ v AS (SELECT DISTINCT ck, CAST(0 AS BIGINT) AS n, {'c': CAST(0 AS BIGINT), 'a': ''} AS x0, {'c': CAST(1000000000 AS BIGINT), 'a': ''} AS x1, {'c': CAST(3 AS BIGINT), 'a': 'I'} AS x2, {'c': CAST(6 AS BIGINT), 'a': 'II'} AS x3 FROM j
+  UNION ALL SELECT ck, n, y0, y1, z2, list_min([y3, {'c': z2.c + 3, 'a': z2.a || 'I'}]) FROM (SELECT *, list_min([y2, {'c': y0.c + 3, 'a': y0.a || 'I'}, {'c': y1.c + 3, 'a': y1.a || 'I'}, {'c': y3.c + 3, 'a': y3.a || 'I'}]) AS z2 FROM (
+   SELECT ck, n, {'c': x0.c + 4, 'a': x0.a || 'D'} AS y0, list_min([{'c': x1.c + 4, 'a': x1.a || 'D'}, {'c': x0.c + ks, 'a': x0.a || 'K'}]) AS y1,
+    list_min([{'c': x2.c + 4, 'a': x2.a || 'D'}] || list_transform([x0, x1, x3], lambda x: {'c': x.c + ku, 'a': x.a || 'K'}) || list_transform([x0, x1, x3], lambda x: {'c': x.c + kr, 'a': x.a || 'R'})) AS y2,
+    list_min([{'c': x3.c + 4, 'a': x3.a || 'D'}, {'c': x2.c + ka, 'a': x2.a || 'K'}, {'c': x2.c + kr, 'a': x2.a || 'R'}]) AS y3
+   FROM (SELECT j.ck, j.n, x0, x1, x2, x3, more + CASE r WHEN 's' THEN 0 ELSE 1000000000 END AS ks, more + CASE r WHEN 'u' THEN 0 ELSE 1000000000 END AS ku, more + CASE r WHEN 'a' THEN 0 ELSE 1000000000 END AS ka, more + 3 AS kr
+    FROM v JOIN (SELECT *, CASE fault WHEN 'truncated' THEN 3 WHEN '' THEN 0 ELSE 1000000000 END AS more FROM j) j ON j.ck = v.ck AND j.n = v.n + 1)))),
+ b AS MATERIALIZED (SELECT ck, best.c AS cost, best.a AS audit FROM (SELECT ck, list_min([x0, x3]) AS best FROM v QUALIFY n = max(n) OVER (PARTITION BY ck))),
+ e AS (SELECT ck, i, audit[i] AS e FROM (SELECT ck, audit, unnest(range(1, len(audit) + 1)) AS i FROM b)),
+ w AS (SELECT *, sum(CASE e WHEN 'I' THEN 0 ELSE 1 END) OVER (PARTITION BY ck ORDER BY i) AS n FROM e),
+ k AS (SELECT w.ck, i, e, role, text, r, row_number() OVER (PARTITION BY w.ck ORDER BY i) AS m FROM w LEFT JOIN j ON j.ck = w.ck AND j.n = w.n WHERE e != 'D'),
+ q AS (SELECT *, first_value(e = 'K' AND r = 's') OVER (PARTITION BY ck ORDER BY m) AS led FROM k),
+ h AS (SELECT ck, string_agg(CASE WHEN e = 'K' THEN role WHEN (m - CASE WHEN led THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE e WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY m) AS said FROM q GROUP BY 1)
+ SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+ FROM (SELECT DISTINCT conv_id, ck FROM c) LEFT JOIN t USING (ck) LEFT JOIN b USING (ck) LEFT JOIN h USING (ck)"""
+
 #: All 50-byte strings of all texts, as hexadecimal digits.
 REPEATS = r"""WITH b AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
  f AS (SELECT r, doc_id, length(h) // 2 AS n, unnest(range(0, length(h) // 2 - 49, 200)) AS j, h FROM b),
@@ -85,4 +108,4 @@ REPEATS = r"""WITH b AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id,
  SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(done, 0) + 1))) AS kept_sha256 FROM b LEFT JOIN k USING (r)"""
 
 
-ORACLE_SQL = {"op2_neardup": NEARDUP, "op8_licenses": _licenses(), "op12_prefixtrie": PREFIX_TRIE, "op13_repeats": REPEATS}
+ORACLE_SQL = {"op2_neardup": NEARDUP, "op8_licenses": _licenses(), "op11_conversations": REPAIR, "op12_prefixtrie": PREFIX_TRIE, "op13_repeats": REPEATS}
