@@ -117,6 +117,38 @@ def embed(rendered: DataFrame, embedder, batch: int = limits.EMBED_BATCH) -> Dat
     return rendered.filter("fault is null").select("id", "version", "input").mapInPandas(run, "id string, version long, embedding array<float>")
 
 
+def decode_embeddings(responses: DataFrame, provider: str, model: str) -> DataFrame:
+    """responses (request, n_inputs, json) -> request, fault, vectors (an array of float arrays, one
+    an input in order; null with a fault).
+
+    A response is an object of provider, model and embeddings and nothing else; it has to echo
+    the provider and the model that were asked, and to hold a vector for each input.  Components are
+    narrowed to single precision and must be finite then; a vector at fault fails the response."""
+    from ..functions.text import first_failure
+
+    kind = lambda x: F.coalesce(F.schema_of_variant(x), F.lit(""))
+    get = lambda k: F.try_variant_get("parsed", f"$.{k}", "variant")
+    said = lambda k: F.when(kind(get(k)) == "STRING", F.try_variant_get("parsed", f"$.{k}", "string"))
+    number = lambda x: kind(x).isin("BIGINT", "DOUBLE", "FLOAT") | kind(x).startswith("DECIMAL")
+    # a vector becomes null if it is no array of numbers
+    single = lambda x: F.when(number(x), F.try_variant_get(x, "$", "double").cast("float"))
+    vector = lambda v: F.when(kind(v).startswith("ARRAY"), F.transform(F.try_variant_get(v, "$", "array<variant>"), single))
+    df = responses.withColumn("parsed", F.try_parse_json("json"))
+    df = df.select("request", "n_inputs", F.array_sort(F.json_object_keys("json")).alias("keys"), said("provider").alias("provider"), said("model").alias("model"), F.when(kind(get("embeddings")).startswith("ARRAY"), F.transform(F.try_variant_get("parsed", "$.embeddings", "array<variant>"), vector)).alias("vectors"))
+    bad = lambda v: v.isNull() | (F.size(v) < 1) | (F.size(v) > limits.VECTOR_COMPONENTS) | F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists(v, lambda x: x != 0)
+    exact = F.coalesce(F.col("keys") == F.array(F.lit("embeddings"), F.lit("model"), F.lit("provider")), F.lit(False))
+    fault = first_failure(
+        (~exact | F.col("provider").isNull(), "remote_error"),
+        (F.col("provider") != provider, "provider_mismatch"),
+        (F.col("model").isNull(), "remote_error"),
+        (F.col("model") != model, "model_mismatch"),
+        (F.col("vectors").isNull(), "remote_error"),
+        (F.size("vectors") != F.col("n_inputs"), "count_mismatch"),
+        (F.exists("vectors", bad), "invalid_vector"),
+    )
+    return df.select("request", fault.alias("fault"), F.when(fault.isNull(), F.col("vectors")).alias("vectors"))
+
+
 def coordinate(rows: DataFrame) -> DataFrame:
     """One row: counts of states and the fault of the lowest ordinal (ordinal, state, fault)."""
     n = lambda s: F.count_if(F.col("state") == s)

@@ -265,3 +265,33 @@ def concept_lists(spark, d):
     k = F.col("c_custkey")
     lists = F.when(k % 4 == 0, F.array(F.lit("\u00a0Alpha "), F.lit("beta\t"))).when(k % 4 == 1, F.array(F.lit("a"), F.lit(" \u2003"))).when(k % 4 == 2, F.array(F.lit("Alpha"), F.lit(" aLPHA"))).otherwise(F.array().cast("array<string>"))
     return X.read(spark, d, "customer").select(k.alias("ordinal"), F.array_join(P.normal_concepts(lists), ",").alias("concepts"))
+
+
+_RESPONSES = ("", "remote_error", "provider_mismatch", "remote_error", "model_mismatch", "count_mismatch", "invalid_vector", "invalid_vector", "invalid_vector", "remote_error")
+
+
+@query(
+    "embedding_responses",
+    "SELECT vec_id AS request, CASE vec_id % 10 " + " ".join(f"WHEN {i} THEN '{f}'" for i, f in enumerate(_RESPONSES) if f) + " END AS fault, CASE WHEN vec_id % 10 = 0 THEN CAST(2 AS INTEGER) END AS n_vectors, CASE WHEN vec_id % 10 = 0 THEN CAST(CAST(embedding[1] AS FLOAT) AS DOUBLE) END AS first_component FROM embeddings",
+)
+def embedding_responses(spark, d):
+    """Responses of an embedder for two inputs each: one that is right and nine that are not."""
+    e = X.read(spark, d, "embeddings")
+    k = F.col("vec_id") % 10
+    v = F.col("embedding").cast("array<double>")
+    vectors = F.when(k == 5, F.array(v)).when(k == 7, F.array(v, F.array(F.lit(1.0), F.lit(1e39)))).when(k == 8, F.array(v, F.array(F.lit(0.0), F.lit(0.0)))).otherwise(F.array(v, v))
+    body = F.to_json(F.struct(F.when(k == 2, "q").otherwise("p").alias("provider"), F.when(k == 4, "other").otherwise("m").alias("model"), vectors.alias("embeddings")))
+    body = F.when(k == 1, F.regexp_replace(body, r"}$", ',"usage":{}}')).when(k == 3, F.replace(body, F.lit('"model":"m"'), F.lit('"model":7'))).when(k == 6, F.regexp_replace(body, r"\]\]}$", ',"1"]]}')).when(k == 9, F.regexp_replace(body, r'"embeddings":.*$', '"embeddings":null}')).otherwise(body)
+    out = M.decode_embeddings(e.select(F.col("vec_id").alias("request"), F.lit(2).alias("n_inputs"), body.alias("json")), "p", "m")
+    return out.select("request", "fault", F.when(F.col("fault").isNull(), F.size("vectors")).alias("n_vectors"), F.col("vectors")[0][0].cast("double").alias("first_component"))
+
+
+def _lengths(texts):
+    return [[float(len(x.encode())), 1.0] for x in texts]
+
+
+@query("embedding_calls", f"WITH {X.CORPUS} SELECT id, version, CAST(2 AS INTEGER) AS n_components, CAST(strlen(to_json({{'format': 'v1', 'title': title, 'content': content, 'concepts': [lang]}})) AS DOUBLE) AS first_component FROM corpus")
+def embedding_calls(spark, d):
+    """An embedder that measures its input is called for every rendered version, in batches."""
+    made = M.embed(M.render(X.corpus(spark, d), 1 << 24), _lengths, 16)
+    return made.select("id", "version", F.size("embedding").alias("n_components"), F.col("embedding")[0].cast("double").alias("first_component"))
