@@ -202,5 +202,16 @@ def event_outcomes(rows: DataFrame) -> DataFrame:
 
 def decode_gate(rows: DataFrame) -> DataFrame:
     """One row: the number of rows and the fault that makes the whole result fail, null if all
-    rows are valid (columns as in :func:`save`)."""
-    return rows.select(version_fault().alias("fault")).agg(F.count(F.lit(1)).alias("n"), F.min("fault").alias("fault"))
+    rows are valid (columns as in :func:`save`).  Rows are decoded by id, newest version first:
+    the first faulty one decides."""
+    order = F.struct(F.col("id"), -F.col("version"))
+    return rows.select("id", "version", version_fault().alias("fault")).agg(F.count(F.lit(1)).alias("n"), F.min_by("fault", F.when(F.col("fault").isNotNull(), order)).alias("fault"))
+
+
+def read_versions(memories: DataFrame) -> DataFrame:
+    """id, n_rows, fault, versions: the versions of every id, newest first, as one read each, which
+    its first faulty row makes fail: then it has no versions."""
+    each = memories.select("id", "version", version_fault().alias("fault"))
+    first = F.max_by("fault", F.when(F.col("fault").isNotNull(), F.col("version")))
+    out = each.groupBy("id").agg(F.count(F.lit(1)).alias("n_rows"), first.alias("fault"), F.sort_array(F.collect_list("version"), asc=False).alias("versions"))
+    return out.withColumn("versions", F.when(F.col("fault").isNull(), F.col("versions")))

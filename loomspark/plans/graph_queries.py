@@ -130,7 +130,7 @@ def graph_delete_concepts(spark, d):
     p = X.read(spark, d, "part")
     lone = p.select(F.concat(F.lit("lone:"), k).alias("id"), F.lit(1).cast("long").alias("revision"))
     req = p.select(k.alias("ordinal"), F.when(k % 3 == 0, F.concat(F.lit("customer:"), k)).when(k % 3 == 1, F.concat(F.lit("lone:"), k)).otherwise(F.concat(F.lit("gone:"), k)).alias("id"), (k % 2 + 1).alias("revision"))
-    return GM.delete_concepts(c.unionByName(lone), X.provenance(spark, d)[2].limit(0), a, req)
+    return GM.delete_concepts(c.unionByName(lone), X.provenance(spark, d)[2], a, req)
 
 
 @query("graph_replace_aliases", "SELECT c_custkey AS ordinal, CASE WHEN c_custkey % 6 = 0 THEN 'missing' WHEN c_custkey % 6 = 1 THEN 'stale' WHEN c_custkey % 6 = 2 THEN 'invalid_set' WHEN c_custkey % 6 = 3 THEN 'alias_owned' ELSE 'updated' END AS outcome FROM customer")

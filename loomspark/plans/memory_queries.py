@@ -295,3 +295,16 @@ def embedding_calls(spark, d):
     """An embedder that measures its input is called for every rendered version, in batches."""
     made = M.embed(M.render(X.corpus(spark, d), 1 << 24), _lengths, 16)
     return made.select("id", "version", F.size("embedding").alias("n_components"), F.col("embedding")[0].cast("double").alias("first_component"))
+
+
+@query(
+    "memory_gated_reads",
+    f"""WITH {X.MEMORIES}, m AS (SELECT id, version, CASE WHEN version % 5 = 0 THEN 'title:empty' WHEN version % 3 = 0 AND CAST(id AS BIGINT) % 4 = 0 THEN 'content:nul' END AS f FROM memories)
+ SELECT id, count(*) AS n_rows, arg_max(f, version) FILTER (f IS NOT NULL) AS fault, CASE WHEN count(f) = 0 THEN string_agg(CAST(version AS VARCHAR), ',' ORDER BY version DESC) END AS versions FROM m GROUP BY 1""",
+)
+def memory_gated_reads(spark, d):
+    """A read fails as a whole, with the fault of its first faulty row."""
+    v, day = F.col("version"), F.lit(X.NOW).cast("timestamp")
+    content = F.when((v % 3 == 0) & (F.col("id").cast("long") % 4 == 0), "a\0b").otherwise("c")
+    m = X.memories(spark, d).withColumns({"title": F.when(v % 5 == 0, "").otherwise("t"), "content": content, "created_at": day, "updated_at": day})
+    return M.read_versions(m).withColumn("versions", F.array_join(F.transform("versions", lambda x: x.cast("string")), ","))
