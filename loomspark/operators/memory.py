@@ -27,6 +27,21 @@ def get_latest(memories: DataFrame, id: str) -> DataFrame:
     return heads(memories.filter(F.col("id") == id))
 
 
+def get_outcomes(memories: DataFrame, requests: DataFrame) -> DataFrame:
+    """requests (ordinal, id, version; null asks for the latest) -> ordinal, outcome, version, title,
+    content: found, not_found, invalid_request (empty id, NUL, version below 1) or invalid_response
+    (the stored row is at fault).  Two joins for any number of requests."""
+    nul = F.instr(F.col("id"), "\0") > 0
+    invalid = F.coalesce((F.col("id") == "") | nul, F.lit(True)) | F.coalesce(F.col("version") < 1, F.lit(False))
+    r = requests.select("ordinal", "id", F.col("version").alias("asked"), invalid.alias("invalid"))
+    top = memories.join(r.filter("asked is null and not invalid").select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.max("version").alias("top"))
+    stored = memories.select("id", F.col("version").alias("wanted"), "title", "content", version_fault().alias("fault"), F.lit(True).alias("there"))
+    j = r.join(top, "id", "left").withColumn("wanted", F.when(~F.col("invalid"), F.coalesce("asked", "top"))).join(stored, ["id", "wanted"], "left")
+    outcome = F.when(F.col("invalid"), "invalid_request").when(F.col("there").isNull(), "not_found").when(F.col("fault").isNotNull(), "invalid_response").otherwise("found")
+    shown = lambda c, name: F.when(outcome == "found", F.col(c)).alias(name)
+    return j.select("ordinal", outcome.alias("outcome"), shown("wanted", "version"), shown("title", "title"), shown("content", "content"))
+
+
 def list_versions(memories: DataFrame, id: str, offset: int = 0, limit: int = limits.VERSION_PAGE) -> DataFrame:
     """A page of versions, newest first, with ``position`` and ``next_offset`` (null on the last page)."""
     limits.bounded("offset", offset, 0, limits.VERSION_OFFSET_MAX)

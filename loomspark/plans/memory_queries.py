@@ -308,3 +308,19 @@ def memory_gated_reads(spark, d):
     content = F.when((v % 3 == 0) & (F.col("id").cast("long") % 4 == 0), "a\0b").otherwise("c")
     m = X.memories(spark, d).withColumns({"title": F.when(v % 5 == 0, "").otherwise("t"), "content": content, "created_at": day, "updated_at": day})
     return M.read_versions(m).withColumn("versions", F.array_join(F.transform("versions", lambda x: x.cast("string")), ","))
+
+
+@query(
+    "memory_get_outcomes",
+    f"""WITH {X.MEMORIES}, r AS (SELECT c_custkey AS ordinal, CASE c_custkey % 6 WHEN 5 THEN '' ELSE CAST(c_custkey % 120 AS VARCHAR) END AS id, CASE c_custkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 2 WHEN 2 THEN 99 WHEN 3 THEN 0 WHEN 4 THEN NULL ELSE 1 END AS asked FROM customer),
+ w AS (SELECT *, coalesce(asked, (SELECT max(version) FROM memories m WHERE m.id = r.id)) AS wanted FROM r),
+ j AS (SELECT ordinal, CASE WHEN w.id = '' OR asked < 1 THEN 'invalid_request' WHEN m.id IS NULL THEN 'not_found' WHEN m.version % 4 = 0 THEN 'invalid_response' ELSE 'found' END AS outcome, m.version, m.title FROM w LEFT JOIN memories m ON m.id = w.id AND m.version = wanted)
+ SELECT ordinal, outcome, CASE WHEN outcome = 'found' THEN version END AS version, CASE WHEN outcome = 'found' THEN title END AS title FROM j""",
+)
+def memory_get_outcomes(spark, d):
+    """Reads of single memories, exact and latest, with what they answer when there is none."""
+    k = F.col("c_custkey")
+    r = X.read(spark, d, "customer").select(k.alias("ordinal"), F.when(k % 6 == 5, "").otherwise((k % 120).cast("string")).alias("id"), F.when(k % 6 == 1, 2).when(k % 6 == 2, 99).when(k % 6 == 3, 0).when(k % 6 == 5, 1).cast("long").alias("version"))
+    day = F.lit(X.NOW).cast("timestamp")
+    m = X.memories(spark, d).withColumns({"created_at": day, "updated_at": F.when(F.col("version") % 4 == 0, day - F.expr("INTERVAL 1 SECOND")).otherwise(day)})
+    return M.get_outcomes(m, r).select("ordinal", "outcome", "version", "title")
