@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import limits
-from .components import components
-from .graph import canonical_ends
+from ..sources.shared import gone, written
+from .components import hashed, key_labels
+from .graph import canonical_ends, flagged
 
 LIMIT = limits.EVIDENCE_PER_ASSERTION
 
@@ -150,14 +151,19 @@ def _served(stored: DataFrame, requests: DataFrame, make: Callable) -> DataFrame
     """ordinal, outcome of ``requests`` on the ``stored`` rows that share keys with them.
 
     Both have ``keys``; ``make()`` gives the state of a component, with ``hold(row)`` and
-    ``serve(row) -> outcome``; rows are tuples of the columns of ``requests`` and ``stored``."""
-    asked = requests.select(F.explode("keys").alias("key")).distinct()
-    touched = stored.select("item", F.explode("keys").alias("key")).join(asked, "key", "left_semi").select("item").distinct()
-    stored = stored.join(touched, "item", "left_semi").withColumns({"held": F.lit(True), "ordinal": F.lit(-1).cast("long")})
-    requests = requests.withColumns({"held": F.lit(False), "item": F.concat(F.lit("request:"), F.lpad(F.col("ordinal").cast("string"), 19, "0")), "ordinal": F.col("ordinal").cast("long")})
-    rows = stored.unionByName(requests, allowMissingColumns=True)
-    rows = rows.join(components(rows.select("item", "keys")), "item")
-    rows = rows.repartition("component").sortWithinPartitions("component", ~F.col("held"), "ordinal", "item").drop("keys", "item")
+    ``serve(row) -> outcome``; rows are tuples of the columns of ``requests`` and ``stored``.  Keys are
+    hashed to find components only: keys that share a hash are served in one stream, by themselves."""
+    stored = written(stored.withColumn("hashes", hashed(F.col("keys"))).drop("keys").withColumns({"held": F.lit(True), "ordinal": F.lit(-1).cast("long")}), "stored")
+    item = F.concat(F.lit("request:"), F.lpad(F.col("ordinal").cast("string"), 19, "0"))
+    requests = written(requests.withColumn("hashes", hashed(F.col("keys"))).drop("keys").withColumns({"held": F.lit(False), "item": item, "ordinal": F.col("ordinal").cast("long")}), "requests")
+    asked = requests.select(F.explode("hashes").alias("key")).distinct()
+    touched = stored.select(F.xxhash64("item").alias("t_item"), F.explode("hashes").alias("key")).join(asked, "key", "left_semi").select("t_item").distinct()
+    stored = stored.join(touched, F.xxhash64("item") == F.col("t_item"), "left_semi")
+    rows = written(stored.unionByName(requests, allowMissingColumns=True).withColumn("first", F.when(F.size("hashes") > 0, F.col("hashes")[0]).otherwise(F.xxhash64("item"))), "rows")
+    gone(requests)
+    labels = key_labels(rows.select(F.col("hashes").alias("keys")))
+    rows = rows.join(labels, F.col("first") == F.col("key"), "left").withColumn("component", F.coalesce("label", "first")).drop("key", "label", "first", "hashes")
+    rows = rows.repartition("component").sortWithinPartitions("component", ~F.col("held"), "ordinal", "item").drop("item")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, state = None, None
@@ -298,8 +304,7 @@ def update_assertions(concepts: DataFrame, assertions: DataFrame, requests: Data
     snapshot_drift / stale / missing_subject / missing_object / duplicate / updated (the revision
     rises, the triple it had is free)."""
     r = canonical_ends(requests)
-    ids = concepts.select(F.col("id").alias("cid")).distinct()
-    r = r.join(ids.withColumn("s_ok", F.lit(True)), F.col("subject") == F.col("cid"), "left").drop("cid").join(ids.withColumn("o_ok", F.lit(True)), F.col("object") == F.col("cid"), "left").drop("cid")
+    r = flagged(flagged(r, "subject", concepts.select("id"), "s_ok"), "object", concepts.select("id"), "o_ok")
     bad = F.coalesce(F.col("is_symmetric").isNull() | (F.col("subject") == F.col("object")) | F.col("id").isNull() | (F.col("revision") < 1), F.lit(True))
     invalid = r.filter(bad).select(F.col("ordinal").cast("long").alias("ordinal"), F.lit("invalid_input").alias("outcome"))
     r = r.filter(~bad).select("ordinal", "id", F.col("revision").cast("long").alias("revision"), _triple().alias("triple"), F.when(F.col("s_ok").isNull(), "missing_subject").when(F.col("o_ok").isNull(), "missing_object").alias("no_concept"))
@@ -337,10 +342,9 @@ def create_assertions(concepts: DataFrame, assertions: DataFrame, evidence: Data
     invalid_input, missing_concept, missing_source, evidence_limit, existing (its sources are
     merged), created.  Requests for one triple are served in order; failed ones leave nothing."""
     r = canonical_ends(requests)
-    ids = concepts.select(F.col("id").alias("cid")).distinct()
-    known = sources.select(F.col("source_ref_id").alias("sid")).distinct()
-    found = requests.select("ordinal", F.explode(F.array_distinct("source_ids")).alias("sid")).join(known, "sid").groupBy("ordinal").agg(F.count(F.lit(1)).alias("n_found"))
-    r = r.join(ids.withColumn("s_ok", F.lit(True)), F.col("subject") == F.col("cid"), "left").drop("cid").join(ids.withColumn("o_ok", F.lit(True)), F.col("object") == F.col("cid"), "left").drop("cid").join(found, "ordinal", "left")
+    asked = requests.select("ordinal", F.explode(F.array_distinct("source_ids")).alias("sid"))
+    found = flagged(asked, "sid", sources.select("source_ref_id"), "known").filter("known").groupBy("ordinal").agg(F.count(F.lit(1)).alias("n_found"))
+    r = flagged(flagged(r, "subject", concepts.select("id"), "s_ok"), "object", concepts.select("id"), "o_ok").join(found, "ordinal", "left")
     bad = F.col("is_symmetric").isNull() | (F.col("subject") == F.col("object")) | (F.size("source_ids") < 1) | (F.size("source_ids") > LIMIT) | F.exists("source_ids", lambda s: s.isNull())
     fault = F.when(F.coalesce(bad, F.lit(True)), "invalid_input").when(F.col("s_ok").isNull() | F.col("o_ok").isNull(), "missing_concept").when(F.coalesce("n_found", F.lit(0)) < F.size(F.array_distinct("source_ids")), "missing_source")
     r = r.select(F.coalesce(_triple(), F.lit("")).alias("triple"), F.col("ordinal").cast("long").alias("ordinal"), fault.alias("fault"), F.coalesce(F.col("source_ids").cast("array<long>"), F.array().cast("array<long>")).alias("sources"))
