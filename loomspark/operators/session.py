@@ -285,7 +285,7 @@ def _in_frames(rows: Iterator[tuple], columns: list[str], most_bytes: int = 4 <<
     frame, size = [], 0
     for row in rows:
         frame.append(row)
-        size += sum(len(x) for x in row if isinstance(x, str))
+        size += sum(len(x) if isinstance(x, str) else sum(map(len, x)) for x in row if isinstance(x, (str, list)))
         if size >= most_bytes or len(frame) >= 10_000:
             yield pd.DataFrame(frame, columns=columns)
             frame, size = [], 0
@@ -355,11 +355,15 @@ def reduce(generated: DataFrame, reducer, budget: int = limits.CHUNK_BYTES) -> D
                         raise ValueError("the byte budget is too small for one result")
                     yield session, item
 
-        for key, number, payload, _ in _packed(items(), budget):
-            made = _final(reducer(payload))
-            yield pd.DataFrame({"session_id": [key], "chunk": [number], "summary_sentences": [made["summary_sentences"]], "concepts": [made["concepts"]]})
+        def reduced():
+            for key, number, payload, _ in _packed(items(), budget):
+                made = _final(reducer(payload))
+                yield key, number, made["summary_sentences"], made["concepts"]
 
-    level, done = generated.select("session_id", "chunk", "summary_sentences", "concepts"), None
+        yield from _in_frames(reduced(), ["session_id", "chunk", "summary_sentences", "concepts"])
+
+    # results are made once: a level is both counted and reduced
+    level, done = written(generated.select("session_id", "chunk", "summary_sentences", "concepts"), "generated"), None
     while True:
         before = level.groupBy(F.col("session_id").alias("b_session")).agg(F.count(F.lit(1)).alias("b_n"))
         made = written(level.repartition("session_id").sortWithinPartitions("session_id", "chunk").mapInPandas(run, schema), "reduced")
