@@ -32,7 +32,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,7 +40,9 @@ from pyspark.sql import functions as F
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
-MOST_REMEMBERED = 500_000
+MOST_REMEMBERED = 100_000
+#: Pairs of tokens whose compatibility is remembered.
+MOST_PAIRS = 250_000
 MARK = 0x1000
 
 
@@ -124,7 +126,7 @@ class PrefixCoder:
     def compatible(self, a: int, b: int) -> bool:
         if (known := self.pairs.get(a << 20 | b)) is None:
             known = self._replay((*self.tokens[a], *self.tokens[b])) == [self.strings[a], self.strings[b]]
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > MOST_PAIRS:
                 self.pairs.clear()
             self.pairs[a << 20 | b] = known
         return known
@@ -230,19 +232,23 @@ def encode(docs: DataFrame, path: str | None = None, with_ids: bool = False) ->
     spark: SparkSession = docs.sparkSession
     shared = spark.sparkContext.broadcast(read_vocabulary(path))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(shared.value)
-        for pdf in batches:
-            rows = []
-            for i, t in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), strict=True):
-                ids, n, decoded = c._run(t)
-                row = (None if i != i else i, n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest())
-                rows.append((*row, [int(x) for x in ids.split(" ")] if ids else [], decoded) if with_ids else row)
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
-            yield pd.DataFrame(rows, columns=names[: 6 if with_ids else 4], dtype=object)
+        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
+        width = 6 if with_ids else 4
+        for batch in batches:
+            columns = [[] for _ in range(width)]
+            # one text at a time is a Python string
+            for i, t in zip(batch.column(0), batch.column(1), strict=True):
+                ids, n, decoded = c._run(t.as_py())
+                row = (i.as_py(), n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest())
+                for column, value in zip(columns, (*row, [int(x) for x in ids.split(" ")] if ids else [], decoded) if with_ids else row, strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types[:width], strict=True)], names[:width])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
 def op7_bpe(spark, sf_dir):
