@@ -11,8 +11,9 @@ left to right and the ids are read off by following it back.
 * Compatibility of a pair is decided by replaying the merge rules on the pair's symbols and
   is remembered.
 
-Words are encoded once per task and remembered, up to a bound, so the work per text is one
-look-up per word.
+Words and pairs are remembered in two generations of bounded size: when the later one is full,
+it becomes the earlier one, and what is met again moves on.  So frequent words are never
+forgotten, however many rare ones pass, and the work per text is one look-up for most words.
 
 Scale: no shuffle; a map over the texts.  The vocabulary (a few MB, one file whose path is a
 parameter) is read on the driver and broadcast; executors need no file.
@@ -29,7 +30,8 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain, pairwise
 
 import ahocorasick
 import pyarrow as pa
@@ -40,9 +42,11 @@ from pyspark.sql import functions as F
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
-MOST_REMEMBERED = 100_000
-#: Pairs of tokens whose compatibility is remembered.
-MOST_PAIRS = 250_000
+#: Words, and pairs of tokens, that one generation remembers.
+MOST_REMEMBERED = 150_000
+MOST_PAIRS = 150_000
+#: Longer words are encoded each time.
+LONGEST_REMEMBERED = 64
 MARK = 0x1000
 
 
@@ -65,6 +69,25 @@ def byte_symbols() -> list[str]:
     return out
 
 
+class Remembered(dict):
+    """Results of ``make`` for the keys met lately: two generations of at most ``most`` keys."""
+
+    def __init__(self, make: Callable, most: int, keep: Callable = lambda key: True) -> None:
+        self.make, self.most, self.keep, self.earlier = make, most, keep, {}
+
+    def __missing__(self, key):
+        known = self.earlier.get(key)
+        if known is None:
+            known = self.make(key)
+            if not self.keep(key):
+                return known
+        if len(self) >= self.most:
+            self.earlier = dict(self)
+            self.clear()
+        self[key] = known
+        return known
+
+
 class PrefixCoder:
     """Encoder for a vocabulary file whose words end in a marked symbol."""
 
@@ -76,6 +99,7 @@ class PrefixCoder:
         self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         self.strings = {i: s for s, i in [*self.ids.items(), *self.special.items()]}
         self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): k for k, m in enumerate(model["merges"])}
+        self.decimal = {i: str(i) for i in self.strings}
         self.symbol = byte_symbols()
         self.content = content
         self.library = None
@@ -100,8 +124,8 @@ class PrefixCoder:
                 self.automaton.add_word(key, (len(parts), i))
                 self.tokens[i] = parts
         self.automaton.make_automaton()
-        self.pairs: dict[int, bool] = {}
-        self.words: dict[str, tuple[str, str]] = {}
+        self.pairs = Remembered(lambda pair: self.compatible(pair >> 20, pair & 0xFFFFF), MOST_PAIRS)
+        self.words = Remembered(self.encode_word, MOST_REMEMBERED, lambda word: len(word) <= LONGEST_REMEMBERED)
 
     def _parts(self, token: str) -> tuple[str, ...]:
         """A token's symbols; the last one carries the end mark if the token does."""
@@ -115,49 +139,37 @@ class PrefixCoder:
 
     def _replay(self, parts) -> list[str]:
         """The merge rules applied to symbols, lowest rank first, leftmost first."""
-        parts, rank = list(parts), self.rank
+        parts, rank, none = list(parts), self.rank.get, 1 << 30
         while len(parts) > 1:
-            best, at = min((rank.get((parts[k], parts[k + 1]), 1 << 30), k) for k in range(len(parts) - 1))
-            if best == 1 << 30:
+            ranks = [rank(pair, none) for pair in pairwise(parts)]
+            if (best := min(ranks)) == none:
                 break
+            at = ranks.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
     def compatible(self, a: int, b: int) -> bool:
-        if (known := self.pairs.get(a << 20 | b)) is None:
-            known = self._replay((*self.tokens[a], *self.tokens[b])) == [self.strings[a], self.strings[b]]
-            if len(self.pairs) > MOST_PAIRS:
-                self.pairs.clear()
-            self.pairs[a << 20 | b] = known
-        return known
-
-    def encode_word(self, word: str) -> list[int]:
-        if word.isascii() and word.isprintable():
-            return self._encode_packed(word[:-1] + (chr(ord(word[-1]) + MARK) if self.end else word[-1]))
-        return self._encode_symbols([self.symbol[b] for b in word.encode("utf-8")])
-
-    def _encode_symbols(self, symbols: list[str]) -> list[int]:
-        return self._encode_packed(self._packed([*symbols[:-1], symbols[-1] + self.end]))
-
-    def _encode_packed(self, packed: str) -> list[int]:
-        n = len(packed)
-        lengths, last, pairs = [0] * n, [-1] * n, self.pairs
-        for at, (length, token) in self.automaton.iter(packed):
-            if last[at] < 0:
-                before = at - length
-                if before >= 0:
-                    if (p := last[before]) < 0:
-                        continue
-                    if (ok := pairs.get(p << 20 | token)) is None:
-                        ok = self.compatible(p, token)
-                    if not ok:
-                        continue
-                lengths[at], last[at] = length, token
-        ids, at = [], n - 1
+        return self._replay((*self.tokens[a], *self.tokens[b])) == [self.strings[a], self.strings[b]]
+
+    def encode_word(self, word: str) -> tuple[int, ...]:
+        if not (word.isascii() and word.isprintable()):
+            word = word.encode("utf-8").decode("latin-1").translate(self.symbol)
+        return self._encode_packed(word[:-1] + chr(ord(word[-1]) + MARK) if self.end else word)
+
+    def _encode_packed(self, packed: str) -> tuple[int, ...]:
+        last, pairs = [None] * len(packed), self.pairs
+        for at, match in self.automaton.iter(packed):
+            if last[at] is None:
+                length, token = match
+                if at >= length and ((before := last[at - length]) is None or not pairs[before[1] << 20 | token]):
+                    continue
+                last[at] = match
+        ids, at = [], len(packed) - 1
         while at >= 0:
-            ids.append(last[at])
-            at -= lengths[at]
-        return ids[::-1]
+            length, token = last[at]
+            ids.append(token)
+            at -= length
+        return tuple(ids[::-1])
 
     def _split(self, text: str) -> list[str]:
         """The words of a normalised text, as strings of byte symbols.
@@ -177,37 +189,22 @@ class PrefixCoder:
         return [bytes(map(self.byte.__getitem__, w)).decode("utf-8") for w, _ in words]
 
     def encode(self, text: str | None) -> list[int]:
-        ids, _, _ = self._run(text)
-        return [int(x) for x in ids.split(" ")] if ids else []
+        out: list[int] = []
+        for k, piece in enumerate(self.cut.split(text) if self.cut and text else [text]):
+            if k % 2:
+                out.append(self.special[piece])
+            elif piece:
+                out += chain.from_iterable(map(self.words.__getitem__, self._split(piece)))
+        return out
+
+    def digits(self, ids: list[int]) -> str:
+        """Decimal ids joined by single spaces."""
+        return " ".join(map(self.decimal.__getitem__, ids))
 
     def decode(self, ids: list[int]) -> str:
         """The tokens' strings joined by single spaces, unknown ids left out."""
-        return " ".join(self.strings[i] for i in ids if i in self.strings)
-
-    def _run(self, text: str | None) -> tuple[str, int, str]:
-        """Decimal ids joined by single spaces, their number, and the decoded text."""
-        if not text:
-            return "", 0, ""
-        out: list[tuple[str, str]] = []
-        for k, piece in enumerate(self.cut.split(text) if self.cut else [text]):
-            if k % 2:
-                out.append((str(self.special[piece]), piece))
-            elif piece:
-                words = self._split(piece)
-                out += map(self._remember, words)
-        ids = " ".join([x[0] for x in out])
-        return ids, ids.count(" ") + 1 if ids else 0, " ".join([x[1] for x in out])
-
-    def _remember(self, word: str) -> tuple[str, str]:
-        """Ids and decoded form of a word, encoded if it isn't remembered."""
-        if (known := self.words.get(word)) is None:
-            ids = self.encode_word(word)
-            known = (" ".join(map(str, ids)), self.decode(ids))
-            if len(self.words) >= MOST_REMEMBERED:
-                self.words.clear()
-            if len(word) <= 64:
-                self.words[word] = known
-        return known
+        strings = self.strings
+        return " ".join([strings[i] for i in ids if i in strings])
 
 
 _AGREED = regex.compile(r"[\x00-\u024F]*")
@@ -241,9 +238,10 @@ def encode(docs: DataFrame, path: str | None = None, with_ids: bool = False) ->
             columns = [[] for _ in range(width)]
             # one text at a time is a Python string
             for i, t in zip(batch.column(0), batch.column(1), strict=True):
-                ids, n, decoded = c._run(t.as_py())
-                row = (i.as_py(), n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest())
-                for column, value in zip(columns, (*row, [int(x) for x in ids.split(" ")] if ids else [], decoded) if with_ids else row, strict=True):
+                ids = c.encode(t.as_py())
+                decoded = c.decode(ids)
+                row = (i.as_py(), len(ids), hashlib.sha256(c.digits(ids).encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest())
+                for column, value in zip(columns, (*row, ids, decoded) if with_ids else row, strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types[:width], strict=True)], names[:width])
 
